@@ -238,7 +238,7 @@ IDS = f"""ids AS (SELECT f.*, row_number() OVER (PARTITION BY project, {PREFIX},
    ORDER BY regexp_replace(file, '/[^/]*$', ''), regexp_replace(file, '^.*/', ''), line, rule_id, match) AS nr FROM f)"""
 
 
-@query("assign_ids", f"""WITH {FINDINGS}, {IDS} SELECT file, line, rule_id, concat({PREFIX}, '-', {CODE_OF}, '-', lpad(CAST(nr AS VARCHAR), greatest(3, len(CAST(nr AS VARCHAR))), '0')) AS vuln_id FROM ids""")
+@query("assign_ids", f"""WITH {FINDINGS}, {IDS} SELECT file, line, rule_id, concat({PREFIX}, '-', {CODE_OF}, '-', lpad(CAST(nr AS VARCHAR), CAST(greatest(3, len(CAST(nr AS VARCHAR))) AS INTEGER), '0')) AS vuln_id FROM ids""")
 def _(spark, sf):
     return dedup.assign_ids(doc_findings(spark, sf)).select("file", "line", "rule_id", "vuln_id")
 
@@ -254,10 +254,10 @@ def _(spark, sf):
     return dedup.severity_floor_cap(doc_findings(spark, sf), "low", 2).select("file", "line", "rule_id", "severity")
 
 
-@query("new_only", f"""WITH {FINDINGS}, {REVIEWS} SELECT rule_id, file, line FROM rv WHERE NOT EXISTS
-  (SELECT 1 FROM f WHERE f.location = rv.location AND left(f.title, 40) = left(rv.title, 40))""")
+@query("new_only", f"""WITH {FINDINGS}, {REVIEWS} SELECT rule_id, file, line FROM f WHERE NOT EXISTS
+  (SELECT 1 FROM rv WHERE f.location = rv.location AND left(f.title, 40) = left(rv.title, 40))""")
 def _(spark, sf):
-    return dedup.new_only(review_findings(spark, sf), doc_findings(spark, sf)).select("rule_id", "file", "line")
+    return dedup.new_only(doc_findings(spark, sf), review_findings(spark, sf)).select("rule_id", "file", "line")
 
 
 @query("existing_keys", f"""WITH {FINDINGS}, {REVIEWS} SELECT rule_id, file, line FROM f WHERE NOT EXISTS

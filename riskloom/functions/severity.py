@@ -55,13 +55,15 @@ def downgrade(col: Column) -> Column:
 def clamp_confidence(col: Column) -> Column:
     number = col.try_cast("double")
     number = F.when(F.isnan(number) | (F.abs(number) == float("inf")), None).otherwise(number)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), F.lit(0.65))
+    # greatest() and least() pass over nulls, so a missing number is caught first
+    return F.when(number.isNull(), F.lit(0.65)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
 
 
 def clamp_cvss(col: Column) -> Column:
     number = col.try_cast("double")
     number = F.when(F.isnan(number) | (F.abs(number) == float("inf")), None).otherwise(number)
-    return F.coalesce(round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(10.0), number)), 1), F.lit(5.0))
+    return F.when(number.isNull(), F.lit(5.0)).otherwise(
+        round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(10.0), number)), 1))
 
 
 def safe_string(col: Column, fallback: str) -> Column:
