@@ -267,18 +267,17 @@ def severity_points(col: Column) -> Column:
     return severity.severity_weight(col)
 
 
-def candidate_score(df: DataFrame, evidence: str = "evidence", language: str = "language", location: str = "location") -> Column:
+def candidate_score(profile: Column, severity_: Column, evidence: Column, location: Column) -> Column:
     """Severity * 5, plus signals in the evidence, plus 8 for a sensitive word in the location."""
-    from riskloom.operators.hints import hint_profile, hint_score
+    from riskloom.operators.hints import hint_score
 
-    profile = hint_profile(F.coalesce(F.col(evidence), F.lit("")), language_extension(F.col(language)))
     has_in, has_sink = profile["input_count"] > 0, profile["sink_count"] > 0
     guarded = (profile["validation_count"] > 0) | (profile["safety_count"] > 0)
     signals = (hint_score(profile) + F.when(has_in, 25).otherwise(0) + F.when(has_sink, 35).otherwise(0)
                + F.when(has_in & has_sink, 200).otherwise(0) + F.when(has_in & has_sink & ~guarded, 150).otherwise(0))
-    sensitive = F.coalesce(F.col(location), F.lit("")).rlike(
+    sensitive = F.coalesce(location, F.lit("")).rlike(
         r"(?i)\b(api|auth|admin|login|upload|download|user|password|token|secret)\b")
-    return (severity_points(F.col("severity")) * 5 + F.when(F.coalesce(F.col(evidence), F.lit("")) != "", signals).otherwise(0)
+    return (severity_points(severity_) * 5 + F.when(F.coalesce(evidence, F.lit("")) != "", signals).otherwise(0)
             + F.when(sensitive, 8).otherwise(0))
 
 
@@ -291,14 +290,22 @@ def candidate_priority(score: Column) -> Column:
     return F.when(score >= 50, "high").when(score >= 20, "medium").otherwise("low")
 
 
-def candidate_filter(df: DataFrame, mode: str = "strict", threshold: int = 12, **columns) -> DataFrame:
+def candidate_filter(df: DataFrame, mode: str = "strict", threshold: int = 12, evidence: str = "evidence",
+                     language: str = "language", location: str = "location") -> DataFrame:
     """Findings with score, priority and passed.
 
     strict: the score reaches the threshold. lenient: high always passes, medium from the threshold.
     Types that must be looked at always pass.
     """
-    out = df.withColumn("audit_score", candidate_score(df, **columns)).withColumn(
-        "audit_priority", candidate_priority(F.col("audit_score")))
+    from riskloom.operators.hints import hint_profile
+
+    def col(name):
+        return F.col(name) if name in df.columns else F.lit(None).cast("string")
+
+    # a column of its own, so that each signal is tested once
+    out = df.withColumn("_hints", hint_profile(F.coalesce(col(evidence), F.lit("")), language_extension(col(language))))
+    out = out.withColumn("audit_score", candidate_score(F.col("_hints"), F.col("severity"), col(evidence), col(location)))
+    out = out.withColumn("audit_priority", candidate_priority(F.col("audit_score"))).drop("_hints")
     must = F.coalesce(F.col("vuln_type").isin(MUST_PASS_TYPES), F.lit(False)) if "vuln_type" in df.columns else F.lit(False)
     if mode == "strict":
         ok = F.col("audit_score") >= threshold
