@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.operators import scan
-from riskloom.sources.corpus import read_corpus_table
+from riskloom.sources.corpus import read_corpus_table, spread
 from riskloom.sources.rules import Rule
 
 
@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document_files(spark, sf_dir) -> DataFrame:
-    return read_corpus_table(table(spark, sf_dir, "documents"), {
+    return read_corpus_table(spread(table(spark, sf_dir, "documents")), {
         "project": "source", "path": "concat(source, '/', lang, '/doc_', doc_id, '.txt')", "content": "text"})
 
 
@@ -32,7 +32,7 @@ lines AS (SELECT project, path, doc_id, lang, unnest(string_split(content, chr(1
 
 
 def page_files(spark, sf_dir) -> DataFrame:
-    return read_corpus_table(table(spark, sf_dir, "pages"), {
+    return read_corpus_table(spread(table(spark, sf_dir, "pages")), {
         "project": "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)",
         "path": "concat('site/', regexp_extract(url, '^[a-z]+://[^/?#]+/([^?#]*)', 1), '/', page_id, '.html')",
         "content": "html"})
@@ -269,7 +269,7 @@ code_lines AS (SELECT project, path, unnest(string_split(content, chr(10))) AS l
 
 
 def code_files(spark, sf_dir) -> DataFrame:
-    return read_corpus_table(table(spark, sf_dir, "part"), {"project": CODE_PROJECT, "path": CODE_PATH, "content": _case(1)})
+    return read_corpus_table(spread(table(spark, sf_dir, "part")), {"project": CODE_PROJECT, "path": CODE_PATH, "content": _case(1)})
 
 
 CODE_RULES = [

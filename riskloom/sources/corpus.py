@@ -60,6 +60,12 @@ def read_corpus_table(df: DataFrame, mapping: dict) -> DataFrame:
                      (col(mapping["size"]) if "size" in mapping else F.octet_length(content)).cast("long").alias("size"))
 
 
+def spread(df: DataFrame, at_least: int | None = None) -> DataFrame:
+    """Small inputs in few pieces dealt out to all cores before heavy per-text work; large inputs stay as they are."""
+    wanted = at_least or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def explode_lines(files: DataFrame) -> DataFrame:
     """lines(project, path, line_no, line); every file has at least one line."""
     return files.select("project", "path", F.posexplode(F.split("content", "\n", -1)).alias("_p", "line")).select(
