@@ -56,9 +56,14 @@ def with_source_lines(findings: DataFrame, files: DataFrame, how: str = "left")
     return keyed.join(texts_, keys + ["_file"], how)
 
 
-def guard_context(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """`guard` struct and a confidence lowered by literals and guards within five lines, or by a test path."""
+def guard_context(findings: DataFrame, files: DataFrame, snippet: bool = False) -> DataFrame:
+    """`guard` struct and a confidence lowered by literals and guards within five lines, or by a test path.
+
+    With `snippet` the lines around the finding come along, from the same join.
+    """
     df = with_source_lines(findings, files)
+    if snippet:
+        df = df.withColumn("snippet", texts.snippet(F.col("_lines"), F.greatest(F.col("_line"), F.lit(1))))
     line = F.trim(F.coalesce(F.try_element_at("_lines", F.greatest(F.col("_line"), F.lit(1))), F.lit("")))
     window = F.array_join(texts.line_window(F.col("_lines"), F.col("_line"), GUARD_LINES, GUARD_LINES), "\n")
     literal = line.rlike(r"""^["'][^"'{}]*["']\s*$""") | line.rlike(r"""^\s*\w+\s*\(\s*["'][^"']*["']\s*\)\s*$""")

@@ -33,6 +33,12 @@ def _hit_indexes(rules: list[Rule], language: Column, content: Column) -> Column
     return F.array_compact(F.array(*tests))
 
 
+def if_any(items: Column) -> Column:
+    """A generator that keeps rows with a non-empty array. Unlike a filter, which would be pushed below the
+    projection and work the array out a second time, it evaluates the array once."""
+    return F.explode(F.filter(F.array(items), lambda x: F.size(x) > 0))
+
+
 def with_language(files: DataFrame) -> DataFrame:
     return files if "language" in files.columns else files.withColumn("language", paths.detect_language(F.col("path")))
 
@@ -47,10 +53,8 @@ def scan_rules(files: DataFrame, rules: list[Rule], kind: str | None = None, wit
     if not rules:
         spark = files.sparkSession
         return spark.createDataFrame([], MATCH_COLUMNS)
-    hits = (with_language(files)
-            .select("project", "path", "language", "content",
-                    _hit_indexes(rules, F.col("language"), F.col("content")).alias("hits"))
-            .where(F.size("hits") > 0))
+    hits = with_language(files).select("project", "path", "language", "content",
+                                       if_any(_hit_indexes(rules, F.col("language"), F.col("content"))).alias("hits"))
     table = [(r.rule_id, r.pattern_ord, r.kind, r.category, r.vuln_type, r.cwe, r.severity, r.pattern) for r in rules]
 
     def find(batches):

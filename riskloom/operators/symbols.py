@@ -229,10 +229,12 @@ def call_tree(index: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
     keys = ["project", "root_path", "root", "path", "name"]
     front = roots.select("project", F.col("path").alias("root_path"), F.col("name").alias("root"), "path", "name").distinct().join(
         lines, ["project", "path", "name"], "left_semi").select(*keys).withColumn("depth", F.lit(1))
-    known = front
+    known = front = _checkpointed(front)
     for level in range(2, depth + 1):
         step = front.join(edges, ["project", "path", "name"]).select("project", "root_path", "root", F.col("to_path").alias("path"), F.col("to_name").alias("name"))
-        front = step.distinct().join(known.select(*keys), keys, "left_anti").withColumn("depth", F.lit(level))
+        front = _checkpointed(step.distinct().join(known.select(*keys), keys, "left_anti").withColumn("depth", F.lit(level)))
+        if not front.take(1):
+            break
         known = known.unionByName(front)
     return known.join(lines, ["project", "path", "name"]).select("project", "root_path", "root", "depth", "path", "name", "line")
 

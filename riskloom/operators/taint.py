@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom import dims
 from riskloom.functions import texts
-from riskloom.operators.scan import scan_rules, with_language
+from riskloom.operators.scan import if_any, scan_rules, with_language
 from riskloom.sources.rules import Rule
 
 NAME = r"\b([a-zA-Z_][a-zA-Z0-9_]*)\b"
@@ -59,8 +59,8 @@ def taint_sources(files: DataFrame, sources: DataFrame, rules: list[Rule]) -> Da
         F.filter("_later", lambda a: a["text"].contains(n)),
         lambda a: F.struct(a["line"].alias("line"), n.alias("name"),
                            (a["gain"] - F.when(a["sanitized"], 0.3).otherwise(0.0)).alias("delta"), a["sanitized"].alias("sanitized")))))
-    return df.select("project", "path", F.col("line").alias("source_line"), F.col("category").alias("source_category"), uses.alias("uses")).where(
-        F.size("uses") > 0).withColumn("first_use", F.array_min(F.transform("uses", lambda u: u["line"])))
+    return df.select("project", "path", F.col("line").alias("source_line"), F.col("category").alias("source_category"),
+                     if_any(uses).alias("uses")).withColumn("first_use", F.array_min(F.transform("uses", lambda u: u["line"])))
 
 
 def taint_paths(files: DataFrame, rules: list[Rule]) -> DataFrame:

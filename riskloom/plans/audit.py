@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from riskloom.functions import texts
 from riskloom.operators import chains, coverage, dedup, merge, risk, scan, scoring, validate
 from riskloom.operators.context import guard_context
 from riskloom.operators.enrich import enrich_findings
@@ -45,12 +44,9 @@ class Audit:
 def detect(files: DataFrame, rules: list[Rule]) -> DataFrame:
     """Scan findings with snippet, guards and 3D score, de-duplicated."""
     found = scan.scan_rules(files, [r for r in rules if r.kind in ("sink", "profile")])
-    findings = scan.make_findings(found, "quick_scan")
-    guarded = guard_context(findings, files)
-    lines = scan.attach_lines(found.select("project", "path", "line", "rule_id", "offset"), files)
-    snippets = lines.select("project", F.col("path").alias("file"), "line", "rule_id", "offset", texts.snippet(F.col("lines"), F.col("line")).alias("snippet"))
-    both = guarded.join(snippets, ["project", "file", "line", "rule_id", "offset"], "left")
-    return dedup.dedup_findings(scoring.cvss_3d(both))
+    # snippets and guards share the one join of findings with texts
+    guarded = guard_context(scan.make_findings(found, "quick_scan"), files, snippet=True)
+    return dedup.dedup_findings(scoring.cvss_3d(guarded))
 
 
 def audit(files: DataFrame, rules: list[Rule], detectors: list[DataFrame] | None = None, min_confidence: float = 0.4,
@@ -58,9 +54,11 @@ def audit(files: DataFrame, rules: list[Rule], detectors: list[DataFrame] | None
     """Runs the built-in scan, takes the findings of other detectors, merges, enriches and numbers them.
 
     A detector is any `files -> findings` result: tool reports, reviewer output, component matches.
-    With `keep` the numbered findings are checkpointed once, since every report reads them.
+    With `keep` the detected and the numbered findings are checkpointed, since the merge and every
+    report read them several times; texts are scanned once.
     """
     both = merge.union_detectors([detect(files, rules), *(detectors or [])])
+    both = _checkpointed(both) if keep else both
     kept, merged = merge.cross_source_merge(title_fp_filter(both))
     ranked = dedup.assign_ids(confidence_filter(enrich_findings(kept, gbt), min_confidence))
     return Audit(files, _checkpointed(ranked) if keep else ranked, merged)
