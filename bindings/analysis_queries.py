@@ -266,7 +266,15 @@ def _(spark, sf):
                          "source", at["file"].alias("dropped_file"), at["line"].alias("dropped_line"))
 
 
-@query("merge_prioritize")
+PRIO = f"""{FINDINGS}, {REVIEWS}, u0 AS (SELECT * FROM f UNION ALL BY NAME SELECT * FROM rv),
+ u1 AS (SELECT *, row_number() OVER (PARTITION BY project, vuln_type, lower(regexp_replace(file, '^.*/', '')), line // 5, source ORDER BY line, file, rule_id) AS r0 FROM u0), u AS (SELECT * EXCLUDE (r0) FROM u1 WHERE r0 = 1)"""
+
+
+@query("merge_prioritize", f"""WITH {PRIO}, {MERGED}, kept AS (SELECT m.project, m.source, m.file, m.line, m.rule_id, m.vuln_type, m.severity, m.cwe, m.confidence, (SELECT count(*) FROM hit WHERE hit.ord = m.ord) AS merged_count FROM m
+   UNION ALL SELECT n.project, n.source, n.file, n.line, n.rule_id, n.vuln_type, n.severity, n.cwe, n.confidence, 0 FROM n JOIN hit ON hit.file = n.file AND hit.line = n.line AND hit.rule_id = n.rule_id AND n.source = 'quick_scan' WHERE hit.ord IS NULL),
+ d AS (SELECT *, row_number() OVER (PARTITION BY project, file, line, vuln_type ORDER BY CASE WHEN source = 'llm' THEN 0 ELSE 1 END, {SEV_RANK} DESC, confidence DESC, source, rule_id) AS rn FROM kept)
+ SELECT project, source, file, line, rule_id, CASE vuln_type WHEN 'INFO_LEAK' THEN 'INFORMATION_DISCLOSURE' ELSE vuln_type END AS vuln_type, cwe, CASE vuln_type WHEN 'INFO_LEAK' THEN 'A01:2021' ELSE '' END AS owasp, 'GB/T39412-2020' AS gbt,
+  CASE severity WHEN 'critical' THEN 95e-1 WHEN 'high' THEN 75e-1 WHEN 'medium' THEN 5e0 WHEN 'low' THEN 25e-1 WHEN 'info' THEN 1e-1 END AS cvss, confidence, merged_count FROM d WHERE rn = 1""")
 def _(spark, sf):
     return merge.merge_prioritize(_both(spark, sf)).select("project", "source", "file", "line", "rule_id", "vuln_type", "cwe", "owasp", "gbt", "cvss", "confidence", "merged_count")
 
