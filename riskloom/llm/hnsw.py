@@ -34,7 +34,7 @@ def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarr
     who = np.full((n, beam), -1, np.int64)
     far = np.full((n, beam), np.inf, np.float32)
     shut = np.ones((n, beam), bool)
-    seen = np.zeros((n, len(x)), bool)
+    seen = np.zeros((n, len(x) + 1), bool)  # the last column stands for empty places
     rows = np.arange(n)
     for k, first in enumerate((start, also) if beam > 1 and also is not None else (start,)):
         new = ~seen[rows, first]
@@ -50,8 +50,8 @@ def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarr
         shut[rows, pick] = True
         near = links[who[rows, pick]]
         safe = np.maximum(near, 0)
-        new = (near >= 0) & ~seen[rows[:, None], safe]
-        seen[rows[:, None], safe] |= new
+        new = (near >= 0) & ~seen[rows[:, None], near]
+        seen[rows[:, None], near] = True
         d = np.where(new, _squares(x[safe], q[rows][:, None, :]), np.inf).astype(np.float32)
         all_far = np.concatenate((far[rows], d), 1)
         best = np.argsort(all_far, 1, kind="stable")[:, :beam]
