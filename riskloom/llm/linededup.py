@@ -78,8 +78,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     often = narrow.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
     bodies = _chunks(docs, key, text_col, True, divisor, least).join(often, "sig").groupBy("sig", "body").agg(F.min(F.struct("key", "chunk")).alias("first"))
     alike = bodies.groupBy("sig").agg(F.count("*").alias("c"), F.min("first").alias("first")).where("c = 1")  # bytes compared: one body for the signature
-    gone = narrow.join(alike.select("sig", "first"), "sig").where(F.struct("key", "chunk") != F.col("first")).groupBy("key").agg(F.collect_set("chunk").alias("__gone"))
-    joined = docs.select(*kept, key.alias("key")).join(gone, "key", "left").drop("key")
+    gone = narrow.join(alike.select("sig", "first"), "sig").where(~F.struct("key", "chunk").eqNullSafe(F.col("first")))
+    gone = gone.groupBy(F.col("key").alias("__key")).agg(F.collect_set("chunk").alias("__gone"))
+    joined = docs.select(*kept, key.alias("__key")).join(gone, "__key", "left").drop("__key")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema] + ["removed_chunks long", "removed_lines long"])
     at_text = kept.index(text_col)
 
