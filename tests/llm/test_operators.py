@@ -374,16 +374,11 @@ def test_brown_is_a_distribution_and_counts_right(spark):
 
 
 def test_brown_exchange_splits_two_kinds_of_words():
-    after = np.zeros((9, 4))
-    class_of = np.array([0, 1, 2, 3, 1, 2, 3, 1, 2])
-    pairs = [(w, u) for kind in ((1, 2, 3, 4), (5, 6, 7, 8)) for w in kind for u in kind]
-    for _ in range(6):
-        after[:], before = 0, np.zeros((9, 4))
-        for w, u in pairs:
-            after[w, class_of[u]] += 5
-            before[u, class_of[w]] += 5
-        class_of, moved = brown.exchange(after, before, class_of, 4)
-    assert not set(class_of[1:5]) & set(class_of[5:])
+    r = np.random.default_rng(1)
+    pairs = [(w, u) for kind in (range(1, 13), range(13, 25)) for w in kind for u in kind if r.random() < 0.8] + [(0, 1), (0, 14), (2, 0), (15, 0)]
+    left, right = np.array(pairs).T
+    class_of = brown.exchange(left, right, r.integers(1, 6, len(pairs)), 25, 4, 20)
+    assert class_of[0] == 0 and not set(class_of[1:13]) & set(class_of[13:]) and not (class_of[1:] == 0).any()
 
 
 def test_brown_rare_words_and_odd_rows(spark, odd, none, monkeypatch):
