@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.durable import durable
@@ -151,7 +151,8 @@ def link_fingerprints(distinct: DataFrame, cols: list[str], max_bits: int, parts
                       sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Links (key, root) between the keys of distinct fingerprints (`cols`, and `key`): per leaf each key with its component's first."""
     count = distinct.count()
-    sample = distinct.select(cols[0]).orderBy(F.xxhash64(cols[0]), cols[0]).limit(sample_rows).collect()  # a bounded sample, parameter sample_rows
+    part = min(1_000_000, int(1_000_000 * sample_rows / max(1, count)))
+    sample = distinct.select(cols[0]).where(F.pmod(F.xxhash64(F.lit("sample"), cols[0]), F.lit(1_000_000)) < part).collect()  # about sample_rows hashes
     forest = Forest(np.array([r[0] for r in sample], np.int64).view(np.uint64), count / max(1, len(sample)), max_bits, parts, leaf_rows)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
