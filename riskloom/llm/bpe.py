@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECES_KEPT = 400_000
+PIECES_KEPT = 150_000
 
 
 def byte_characters() -> list[str]:
@@ -27,18 +27,36 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-class ByteBPE:
+def read_ranks(ranks_path: str) -> dict[bytes, int]:
+    with open(ranks_path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
+class ByteTable:
+    """Decoder alone: the bytes of each id, held once per worker."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens: dict[int, bytes] = {r: w for w, r in ranks.items()}
+
+    def decode_bytes(self, ids) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
+
+    def decode(self, ids) -> str:
+        """Text of the ids; characters split over tokens are put together, bytes that are no UTF-8 become U+FFFD."""
+        return self.decode_bytes(ids).decode("utf-8", "replace")
+
+
+class ByteBPE(ByteTable):
     """Encoder and decoder of one vocabulary. Unknown ids and ids out of range raise on decoding."""
 
     def __init__(self, ranks_path: str, pattern: str, kept: int = PIECES_KEPT):
         import regex
         from tokenizers import Tokenizer, models
 
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        ranks = read_ranks(ranks_path)
+        super().__init__(ranks)
         char = byte_characters()
         self._spell = dict(enumerate(char))
-        self.tokens: dict[int, bytes] = {r: w for w, r in ranks.items()}
         spell = lambda w: "".join([char[b] for b in w])
         merges = []
         for word, rank in sorted(ranks.items(), key=lambda x: x[1]):
@@ -79,13 +97,6 @@ class ByteBPE:
         starts = ends - lengths
         return (char_of[starts].tolist(), (char_of[ends - 1] + 1).tolist()) if len(ids) else ([], [])
 
-    def decode_bytes(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
-    def decode(self, ids) -> str:
-        """Text of the ids; characters split over tokens are put together, bytes that are no UTF-8 become U+FFFD."""
-        return self.decode_bytes(ids).decode("utf-8", "replace")
-
 
 _LOADED: dict[tuple[str, str], ByteBPE] = {}
 
@@ -122,13 +133,13 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
     return source.mapInArrow(run, schema)
 
 
-def decode_ids(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
+def decode_ids(rows: DataFrame, ranks_path: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
     """`rows` with the binary column `out`: the bytes of the ids, exactly those of the encoded text. Null ids decode to null."""
     kept = [c for c in rows.columns if c != out]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema] + [f"`{out}` binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(ranks_path, pattern)
+        coder = ByteTable(read_ranks(ranks_path))
         for b in batches:
             ids = b.column(kept.index(ids_col))
             made = [None if i is None else coder.decode_bytes(i) for i in (x.values.tolist() if x.is_valid else None for x in ids)]
