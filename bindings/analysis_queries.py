@@ -280,8 +280,8 @@ def _(spark, sf):
 
 
 @query("type_gap_map", f"""WITH {BOTH}, g AS (SELECT project, file AS gap_file, {NORM} AS norm_type, max_by(severity, {SEV_RANK}) AS max_severity, count(*) AS findings, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line, severity) AS lines FROM u s WHERE source = 'quick_scan'
-  AND NOT EXISTS (SELECT 1 FROM rv WHERE rv.file = s.file AND rv.vuln_type = s.vuln_type) GROUP BY ALL HAVING max({SEV_RANK}) >= 3), k AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY gap_file, norm_type) AS rn FROM g)
- SELECT project, gap_file, norm_type, max_severity, findings, lines FROM k WHERE rn <= 10""")
+  AND NOT EXISTS (SELECT 1 FROM rv WHERE rv.file = s.file AND rv.vuln_type = s.vuln_type) GROUP BY ALL HAVING max({SEV_RANK}) >= 3)
+ SELECT project, gap_file, norm_type, max_severity, findings, lines FROM g""")
 def _(spark, sf):
     g = merge.type_gap_map(_both(spark, sf))
     return g.select("project", "gap_file", "norm_type", "max_severity", "findings", F.array_join(F.transform("members", lambda m: m["line"].cast("string")), ",").alias("lines"))

@@ -360,7 +360,7 @@ def _(spark, sf):
 
 
 @query("best_repo_per_name", f"""WITH {REPOS}, {RSCORE}, k AS (SELECT *, row_number() OVER (PARTITION BY full_name ORDER BY score DESC, id) AS rn FROM rt)
- SELECT full_name, id, round(score, 4) AS score FROM k WHERE rn = 1 ORDER BY k.score DESC, full_name LIMIT 60""")
+ SELECT full_name, id, round(score, 4) AS score FROM k WHERE rn = 1""")
 def _(spark, sf):
     return repos.best_repos(repos.score_repos(_repos(spark, sf), F.lit("2024-06-30 00:00:00"))).select("full_name", "id", F.round("score", 4).alias("score"))
 

@@ -285,10 +285,10 @@ def _(spark, sf):
     return java.trace_stats(c, java.controllability(c)).select("project", "route", "http_method", "layers", "chain", "terminal_points")
 
 
-@query("risky_routes", f"""WITH {CODE_FINDINGS}, {K}, {ROUTES}, h AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path, line, url_path) AS rn FROM rt WHERE contains(url_path, 'admin') OR contains(url_path, 'api') OR EXISTS (SELECT 1 FROM cf WHERE cf.project = rt.project AND cf.file = rt.path))
- SELECT project, path, url_path FROM h WHERE rn <= 5""")
+@query("risky_routes", f"""WITH {CODE_FINDINGS}, {K}, {ROUTES}, h AS (SELECT * FROM rt WHERE contains(url_path, 'admin') OR contains(url_path, 'api') OR EXISTS (SELECT 1 FROM cf WHERE cf.project = rt.project AND cf.file = rt.path))
+ SELECT project, path, url_path FROM h""")
 def _(spark, sf):
-    return java.risky_routes(_routes(spark, sf), code_findings(spark, sf), 5).select("project", "path", "url_path")
+    return java.risky_routes(_routes(spark, sf), code_findings(spark, sf)).select("project", "path", "url_path")
 
 
 @query("route_findings", f"""WITH {CODE}, {K}, {CHAIN}, s AS (SELECT project, route, max(CASE WHEN level > 1 AND method <> 'store' THEN 1 ELSE 0 END) AS sql, max(CASE WHEN method = 'store' THEN 1 ELSE 0 END) AS cmd FROM cc GROUP BY ALL)

@@ -46,7 +46,7 @@ def _(spark, sf):
 def _(spark, sf):
     e = _stream(spark, sf, "events").select(F.lit("p").alias("project"), F.concat(F.lit("u"), "user_id").alias("path"), F.col("event_type").alias("content"),
                                             F.col("ts").cast("timestamp").alias("modified"))
-    return jobs.run_to_table(jobs.stream_changed(e, keep="60 days")).select("path", "hash")
+    return jobs.run_to_table(jobs.stream_changed(e)).select("path", "hash")
 
 
 @query("stream_failure_rate", """WITH e AS (SELECT ts, user_id % 5 AS key, event_type <> 'error' AS ok, unnest(generate_series(0, 2)) AS k FROM events),

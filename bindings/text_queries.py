@@ -171,7 +171,7 @@ def _(spark, sf):
         "path", "line", "rule_id", "kind", F.round("confidence", 6).alias("confidence"), F.size("context").cast("long").alias("context_size"))
 
 
-@query("search_text", f"WITH {LINES} SELECT project, path, line_no, trim(line) AS content FROM lines WHERE contains(lower(line), 'license') ORDER BY project, path, line_no LIMIT 100")
+@query("search_text", f"WITH {LINES} SELECT project, path, line_no, trim(line) AS content FROM lines WHERE contains(lower(line), 'license')")
 def _(spark, sf):
     return scan.search_text(corpus.explode_lines(document_files(spark, sf)), "LICENSE")
 
@@ -303,9 +303,9 @@ def _(spark, sf):
 
 
 @query("rank_findings", f"""WITH {CODE_FINDINGS} SELECT file, line, rule_id, floor({CBASE} * {MULT} * 1e1 + 5e-1) / 1e1 AS cvss_base FROM cf
- ORDER BY {SEV_RANK} DESC, confidence DESC, cvss_base DESC, file, line LIMIT 50""")
+""")
 def _(spark, sf):
-    return dedup.rank_findings(scoring.cvss_base(code_findings(spark, sf)), "cvss_base").select("file", "line", "rule_id", "cvss_base").limit(50)
+    return dedup.rank_findings(scoring.cvss_base(code_findings(spark, sf)), "cvss_base").select("file", "line", "rule_id", "cvss_base")
 
 
 @query("component_cvss", f"""WITH {FINDINGS} SELECT file, line, rule_id, CASE severity WHEN 'critical' THEN 98e-1 WHEN 'high' THEN 8e0 WHEN 'medium' THEN 59e-1 WHEN 'low' THEN 31e-1 ELSE 5e0 END AS cvss,

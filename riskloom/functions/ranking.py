@@ -35,8 +35,10 @@ def numbered(df: DataFrame, keys: list[str], levels: list[str], order: list[str]
     return inner.join(base, finest).withColumn(out, F.col("_rn") + F.col("_base")).select(*df.columns, out)
 
 
-def top_n(df: DataFrame, n: int, order: list, by: list[str] | None = None) -> DataFrame:
-    """The first n rows overall, or per group; Spark limits each map task before the shuffle."""
+def top_n(df: DataFrame, n: int | None, order: list, by: list[str] | None = None) -> DataFrame:
+    """The first n rows overall, or per group; every row with n=None. Spark limits each map task before the shuffle."""
+    if n is None:
+        return df
     if not by:
         return df.orderBy(*order).limit(n)
     w = W.partitionBy(*by).orderBy(*order)

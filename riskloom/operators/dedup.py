@@ -182,7 +182,7 @@ def update_status(findings: DataFrame, validated: DataFrame) -> DataFrame:
     return joined.select(*out, *[F.col(f"_new.{c}").alias(c) for c in extra])
 
 
-def severity_floor_cap(df: DataFrame, floor: str = "low", per_file: int = 50) -> DataFrame:
+def severity_floor_cap(df: DataFrame, floor: str = "low", per_file: int | None = None) -> DataFrame:
     """At least this severe; the report lists at most `per_file` findings of one file, the worst first."""
     from riskloom.functions.ranking import top_n
 

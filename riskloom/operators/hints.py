@@ -87,7 +87,6 @@ BY_EXTENSION = {
         "validation": [r"\b(ModelState\.IsValid|DataAnnotations|FluentValidation)\b"],
     },
 }
-ALIASES = {"jsx": "js", "tsx": "ts"}
 
 
 def hint_profile(text: Column, ext: Column) -> Column:

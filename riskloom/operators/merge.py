@@ -73,10 +73,10 @@ def _file(df: DataFrame):
     return F.element_at(F.split(F.coalesce("location", F.lit("")), ":"), 1)
 
 
-def type_gap_map(findings: DataFrame, n: int | None = 10) -> DataFrame:
+def type_gap_map(findings: DataFrame, n: int | None = None) -> DataFrame:
     """(file, type) pairs only the scans found, at high or critical severity, with their findings.
 
-    The report lists the first n; members are gathered for those only.
+    With n, only the first n of a project and their members.
     """
     df = normalize_type(findings, "gap", out="norm_type").withColumn("gap_file", _file(findings)).withColumn("_line", line_of(findings))
     keys = ["project", "gap_file", "norm_type"]
@@ -107,7 +107,7 @@ def unverified_flag(findings: DataFrame) -> DataFrame:
     return df.join(seen, ["project", "_f", "vuln_type"], "left").withColumn("unverified", hit).select(*findings.columns, "unverified")
 
 
-def uncovered_files(files: DataFrame, findings: DataFrame, extra: int = 5) -> DataFrame:
+def uncovered_files(files: DataFrame, findings: DataFrame, extra: int | None = None) -> DataFrame:
     """Files with findings but none from a reviewer, and the first few files of a project without any."""
     hits = findings.select("project", _file(findings).alias("path"), (F.col("source") == "llm").alias("m")).groupBy("project", "path").agg(
         F.bool_or("m").alias("m"))

@@ -101,7 +101,7 @@ def score_repos(df: DataFrame, as_of: Column) -> DataFrame:
     return df.select("*", repo_score(as_of).alias("score"), *repo_traits(), adoption().alias("estimated_use"))
 
 
-def best_repos(df: DataFrame, n: int = 60) -> DataFrame:
+def best_repos(df: DataFrame, n: int | None = None) -> DataFrame:
     """The best-scored row per full name; the list holds the top n."""
     return top_n(first_per(df, ["full_name"], [-F.col("score"), "id"]), n, [F.col("score").desc(), F.col("full_name")])
 

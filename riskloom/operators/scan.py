@@ -178,7 +178,7 @@ def scan_with_context(files: DataFrame, rules: list[Rule], window: int = 3,
             .drop("lines", "_content", "fp_rate"))
 
 
-def search_text(lines: DataFrame, query: str, ignore_case: bool = True, limit: int | None = 100) -> DataFrame:
+def search_text(lines: DataFrame, query: str, ignore_case: bool = True, limit: int | None = None) -> DataFrame:
     """Lines holding a literal text; `limit` is the page size of the report, None for all."""
     text = F.lower("line") if ignore_case else F.col("line")
     found = lines.where(text.contains(query.lower() if ignore_case else query)).select(

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.functions import severity
+from riskloom.functions.durable import durable
 
 
 def summary_by(findings: DataFrame, keys: list[str] = ("severity", "category", "confidence_band", "source", "vuln_type")) -> DataFrame:
@@ -36,15 +35,6 @@ def rule_fp_rate(verdicts: DataFrame) -> DataFrame:
                                            F.avg(F.col("is_fp").cast("double")).alias("fp_rate"))
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the cluster names; a scratch folder of our own only where it names none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
-
-
 def similar_pairs(texts_: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Pairs (rule_id, a, b) of distinct texts with edit similarity of at least `threshold`.
 
@@ -85,13 +75,13 @@ def cluster_similar(findings: DataFrame, threshold: float = 0.8, order: list[str
     """
     nodes = findings.select("rule_id", F.coalesce("match", F.lit("")).alias("text"), *order).groupBy("rule_id", "text").agg(
         F.min(F.struct(*order)).alias("ord"), F.count("*").alias("rows"))
-    nodes = _checkpointed(nodes)
+    nodes = durable(nodes)
     pairs = similar_pairs(nodes.select("rule_id", "text"), threshold)
     o = nodes.select("rule_id", "text", F.struct("ord", "text").alias("o"))
     # links to earlier texts only
     edges = (pairs.join(o.select("rule_id", F.col("text").alias("a"), F.col("o").alias("oa")), ["rule_id", "a"])
              .join(o.select("rule_id", F.col("text").alias("b"), F.col("o").alias("ob")), ["rule_id", "b"]).where(F.col("ob") < F.col("oa")))
-    edges = _checkpointed(edges.select("rule_id", "a", "b", "ob"))
+    edges = durable(edges.select("rule_id", "a", "b", "ob"))
     state = nodes.select("rule_id", "text", F.lit(None).cast("boolean").alias("leads"))
     while True:
         known = state.select("rule_id", F.col("text").alias("b"), F.col("leads").alias("bl"))
@@ -100,7 +90,7 @@ def cluster_similar(findings: DataFrame, threshold: float = 0.8, order: list[str
         nxt = state.join(seen, ["rule_id", "text"], "left")
         leads = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("taken", F.lit(False)), False).when(
             ~F.coalesce("waits", F.lit(False)), True)
-        state = _checkpointed(nxt.select("rule_id", "text", leads.alias("leads")))
+        state = durable(nxt.select("rule_id", "text", leads.alias("leads")))
         if state.where(F.col("leads").isNull()).limit(1).count() == 0:
             break
     lead = state.where("leads").select("rule_id", F.col("text").alias("b"))
@@ -113,7 +103,3 @@ def similar_clusters(findings: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Clusters of more than one finding: leader, size. Empty matches are similar to nothing."""
     c = cluster_similar(findings.where(F.coalesce("match", F.lit("")) != ""), threshold)
     return c.groupBy("rule_id", "leader").agg(F.sum("rows").alias("members"), F.count("*").alias("texts")).where(F.col("members") > 1)
-
-
-def severity_counts(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("project", severity.severity_level(F.col("severity")).alias("level")).agg(F.count("*").alias("n"))

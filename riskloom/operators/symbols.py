@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskloom.functions.perfile import map_files
 from riskloom.functions.ranking import top_n
-from riskloom.operators.summary import _checkpointed
+from riskloom.functions.durable import durable
 
 SYMBOLS = ("kind string, name string, owner string, package string, type string, supers array<string>, "
            "params array<struct<type:string,name:string>>, line int, end_line int, modifiers array<string>")
@@ -152,13 +152,13 @@ def reachable(edges: DataFrame, src: str, dst: str, max_depth: int | None = None
     Each round extends the last one and drops pairs already known, so cycles end. Rounds are
     checkpointed; they stop when nothing new appears or at max_depth.
     """
-    e = _checkpointed(edges.select("project", src, dst).distinct())
+    e = durable(edges.select("project", src, dst).distinct())
     front = e.where(F.col(src) != F.col(dst)).withColumn("depth", F.lit(1))
     known, depth = front, 1
     while max_depth is None or depth < max_depth:
         depth += 1
         step = front.select("project", src, F.col(dst).alias("_mid")).join(e.select("project", F.col(src).alias("_mid"), dst), ["project", "_mid"])
-        front = _checkpointed(step.select("project", src, dst).distinct().where(F.col(src) != F.col(dst))
+        front = durable(step.select("project", src, dst).distinct().where(F.col(src) != F.col(dst))
                               .join(known.select("project", src, dst), ["project", src, dst], "left_anti").withColumn("depth", F.lit(depth)))
         if not front.take(1):
             break
@@ -224,15 +224,15 @@ def call_edges(index: DataFrame) -> DataFrame:
 
 def call_tree(index: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
     """(project, root_path, root, depth, path, name, line) from roots(project, path, name), each function once per root."""
-    edges = _checkpointed(call_edges(index))
+    edges = durable(call_edges(index))
     lines = index.groupBy("project", "path", "name").agg(F.min("line").alias("line"))
     keys = ["project", "root_path", "root", "path", "name"]
     front = roots.select("project", F.col("path").alias("root_path"), F.col("name").alias("root"), "path", "name").distinct().join(
         lines, ["project", "path", "name"], "left_semi").select(*keys).withColumn("depth", F.lit(1))
-    known = front = _checkpointed(front)
+    known = front = durable(front)
     for level in range(2, depth + 1):
         step = front.join(edges, ["project", "path", "name"]).select("project", "root_path", "root", F.col("to_path").alias("path"), F.col("to_name").alias("name"))
-        front = _checkpointed(step.distinct().join(known.select(*keys), keys, "left_anti").withColumn("depth", F.lit(level)))
+        front = durable(step.distinct().join(known.select(*keys), keys, "left_anti").withColumn("depth", F.lit(level)))
         if not front.take(1):
             break
         known = known.unionByName(front)

@@ -10,7 +10,7 @@ from riskloom.operators import chains, coverage, dedup, merge, risk, scan, scori
 from riskloom.operators.context import guard_context
 from riskloom.operators.enrich import enrich_findings
 from riskloom.operators.filters import confidence_filter, title_fp_filter
-from riskloom.operators.summary import _checkpointed
+from riskloom.functions.durable import durable
 from riskloom.sources.rules import Rule
 
 
@@ -58,7 +58,7 @@ def audit(files: DataFrame, rules: list[Rule], detectors: list[DataFrame] | None
     report read them several times; texts are scanned once.
     """
     both = merge.union_detectors([detect(files, rules), *(detectors or [])])
-    both = _checkpointed(both) if keep else both
+    both = durable(both) if keep else both
     kept, merged = merge.cross_source_merge(title_fp_filter(both))
     ranked = dedup.assign_ids(confidence_filter(enrich_findings(kept, gbt), min_confidence))
-    return Audit(files, _checkpointed(ranked) if keep else ranked, merged)
+    return Audit(files, durable(ranked) if keep else ranked, merged)

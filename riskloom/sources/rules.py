@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,12 +54,26 @@ class Rule:
                 self.description, float(self.confidence_boost), self.safe_patterns, self.remediation)
 
 
+LOOSE_BRACE = re.compile(r"(?<!\\)((?:\\\\)*)((?:\\[^pPxuNk\\])?)\{(?!\d+(?:,\d*)?\})")
+
+
+def portable(pattern: str) -> str:
+    """The pattern with braces that open no repetition escaped: some engines read them as plain text, the JVM refuses them."""
+    return LOOSE_BRACE.sub(r"\1\2\\{", pattern)
+
+
 def problem_with(pattern: str) -> str | None:
-    """Why a pattern cannot be used, or None. A pattern that matches empty text is refused too."""
+    """Why a pattern cannot be used by Python or the JVM (asked while a session runs), or None. Matching empty text is refused too."""
     try:
         compiled = re.compile(pattern, re.IGNORECASE | re.ASCII)
     except re.error as err:
         return f"does not compile: {err}"
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+        except Exception as err:  # the gateway wraps the JVM's PatternSyntaxException
+            return f"does not compile in the JVM: {str(err).splitlines()[0]}"
     return "matches empty text" if compiled.match("") else None
 
 
@@ -67,9 +81,10 @@ def usable(rules: list[Rule]) -> tuple[list[Rule], list[tuple[str, str, str]]]:
     """Rules that can run, and (rule_id, pattern, reason) for those that cannot."""
     good, bad = [], []
     for rule in rules:
-        reason = problem_with(rule.pattern)
+        fixed = portable(rule.pattern)
+        reason = problem_with(fixed)
         if reason is None:
-            good.append(rule)
+            good.append(rule if fixed == rule.pattern else replace(rule, pattern=fixed))
         else:
             bad.append((rule.rule_id, rule.pattern, reason))
     return good, bad
@@ -131,7 +146,7 @@ def read_rules(directory: str) -> list[Rule]:
                     continue
                 for lang, part in (rule.get("languages") or {}).items():
                     safe = [s if isinstance(s, str) else s.get("pattern") for s in part.get("safePatterns") or []]
-                    safe = [s for s in safe if s and problem_with(s) is None]
+                    safe = [portable(s) for s in safe if s and problem_with(portable(s)) is None]
                     for i, risk in enumerate(part.get(key) or []):
                         risk = {"pattern": risk} if isinstance(risk, str) else risk
                         out.append(Rule(
@@ -166,7 +181,7 @@ def load_rules(spark: SparkSession, directory: str, extra: list[Rule] | None = N
 def read_sanitizers(path: str) -> dict[str, list[str]]:
     """group -> patterns, for the checks around a finding."""
     groups = (read_rule_file(Path(path)) or {}).get("sanitizer_patterns") or {}
-    return {g: [p for e in entries for p in e.get("patterns") or [] if problem_with(p) is None]
+    return {g: [portable(p) for e in entries for p in e.get("patterns") or [] if problem_with(portable(p)) is None]
             for g, entries in groups.items()}
 
 

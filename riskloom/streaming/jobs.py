@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from riskloom.functions.ranking import first_per
 from riskloom.operators import scan
 from riskloom.operators.messages import ROUND_SCHEMA, advance
 from riskloom.sources.history import file_hash
@@ -39,10 +40,14 @@ def stream_scan(files: DataFrame, rules: list[Rule], exact_offsets: bool = False
     return scan.make_findings(found, "quick_scan")
 
 
-def stream_changed(files: DataFrame, time: str = "modified", keep: str = "30 days") -> DataFrame:
-    """Files whose (project, path, content hash) was not seen within `keep`."""
-    return (files.withColumn("hash", file_hash(F.col("content"))).withWatermark(time, keep)
-            .dropDuplicatesWithinWatermark(["project", "path", "hash"]))
+def stream_changed(files: DataFrame, keep: str = "30 days") -> DataFrame:
+    """Files whose (project, path, content hash) did not arrive within the last `keep`.
+
+    Time is the time of arrival, so a file counts however old its modification time is; a file that comes back after `keep`
+    counts again, which bounds the state by what arrives within `keep`.
+    """
+    return (files.withColumn("hash", file_hash(F.col("content"))).withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", keep)
+            .dropDuplicatesWithinWatermark(["project", "path", "hash"]).drop("_arrived"))
 
 
 def stream_failure_rate(log: DataFrame, window: str = "60 seconds", slide: str | None = "10 seconds", late: str = "1 minute",
@@ -110,20 +115,25 @@ def running_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("project", "severity").agg(F.sum("n").alias("n"), F.max("batch").alias("last_batch"))
 
 
-def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = None, keys: list[str] | None = None) -> DataFrame:
     """Runs a stream over everything available, into a parquet table, and returns that table.
 
-    append writes one folder per batch; complete and update write the last state of each batch.
+    append and update write one folder per batch, so a replayed batch overwrites itself; update returns the row of the last batch
+    for each of `keys`, which it needs. complete keeps the last state.
     """
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys that identify a row")
     spark = stream.sparkSession
     folder = folder or work_folder(spark)
     out = f"{folder}/out"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}" if mode == "append" else f"{out}/state")
+        batch.write.mode("overwrite").parquet(f"{out}/state" if mode == "complete" else f"{out}/batch={batch_id}")
 
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+    if mode == "update":
+        return first_per(spark.read.schema(stream.schema.add("batch", "long")).parquet(out), keys, [-F.col("batch")]).drop("batch")
     return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out)
