@@ -387,7 +387,7 @@ GAPS = f"""{COVER}, gp AS (SELECT project, path, {TIER} AS tier FROM wr WHERE NO
 
 
 @query("gap_targets", f"""WITH {CODE_FINDINGS}, {GAPS}, t2 AS (SELECT project, path, row_number() OVER (PARTITION BY project ORDER BY path) AS rn FROM gp WHERE tier = 'T2' AND project NOT IN (SELECT project FROM gp WHERE tier = 'T1'))
- SELECT project, path, tier, tier = 'T1' OR path IN (SELECT path FROM t2 WHERE rn <= 10 AND t2.project = gp.project) AS urgent FROM gp""")
+ SELECT project, path, tier, tier = 'T1' OR path IN (SELECT path FROM t2 WHERE t2.project = gp.project) AS urgent FROM gp""")
 def _(spark, sf):
     return coverage.gap_targets(code_files(spark, sf), _few(spark, sf))
 
@@ -402,26 +402,26 @@ EXTC = "CASE regexp_extract(path, '[.]([a-z]+)$', 1) " + " ".join(f"WHEN '{e}' T
 SPOTS = f"""{COVER}, ac AS (SELECT unnest({lst(coverage.ATTACK_CLASSES)}) AS attack_class, unnest(generate_series(0, {len(coverage.ATTACK_CLASSES) - 1})) AS ord),
  nv AS (SELECT s.project, s.sub, attack_class, ord, 0 AS pass, CAST(NULL AS VARCHAR) AS target_file FROM (SELECT DISTINCT project, sub FROM wr) s, ac WHERE NOT EXISTS (SELECT 1 FROM few JOIN wr w ON w.project = few.project AND w.path = few.file WHERE w.project = s.project AND w.sub = s.sub AND few.vuln_type = attack_class)),
  un AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path) AS rn FROM wr WHERE NOT reviewed AND {CODE_EXT} AND regexp_matches(lower(path), '{coverage.HIGH_SIGNAL}')),
- ft AS (SELECT project, sub, unnest({EXTC}) AS attack_class, unnest(generate_series(0, len({EXTC}) - 1)) AS ord, 1 AS pass, path AS target_file FROM un WHERE rn <= 5),
+ ft AS (SELECT project, sub, unnest({EXTC}) AS attack_class, unnest(generate_series(0, len({EXTC}) - 1)) AS ord, 1 AS pass, path AS target_file FROM un),
  al AS (SELECT *, row_number() OVER (PARTITION BY project, sub, attack_class ORDER BY pass, target_file, ord) AS r1 FROM (SELECT * FROM nv UNION ALL SELECT * FROM ft)),
  bs AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY pass, sub, ord, attack_class) AS r2 FROM al WHERE r1 = 1)"""
 
 
-@query("blind_spots", f"WITH {CODE_FINDINGS}, {SPOTS} SELECT project, sub AS subsystem, attack_class, CASE pass WHEN 0 THEN 'never_checked' ELSE 'unreviewed_file' END AS reason FROM bs WHERE r2 <= 100")
+@query("blind_spots", f"WITH {CODE_FINDINGS}, {SPOTS} SELECT project, sub AS subsystem, attack_class, CASE pass WHEN 0 THEN 'never_checked' ELSE 'unreviewed_file' END AS reason FROM bs")
 def _(spark, sf):
-    return coverage.blind_spots(code_files(spark, sf), _few(spark, sf), n=100).drop("target_file")
+    return coverage.blind_spots(code_files(spark, sf), _few(spark, sf)).drop("target_file")
 
 
 KW = "CASE attack_class " + " ".join("WHEN '%s' THEN list_filter(%s, lambda w: contains(content, w))[1]" % (c, lst(w)) for c, w in coverage.SINK_WORDS.items()) + " END"
 
 
-@query("gap_tasks", f"""WITH {CODE_FINDINGS}, {SPOTS}, sp AS (SELECT * FROM bs WHERE r2 <= 100), tg AS (SELECT code.project, code.path, content FROM code JOIN un ON un.project = code.project AND un.path = code.path WHERE rn <= 10),
+@query("gap_tasks", f"""WITH {CODE_FINDINGS}, {SPOTS}, sp AS (SELECT * FROM bs), tg AS (SELECT code.project, code.path, content FROM code JOIN un ON un.project = code.project AND un.path = code.path),
  h AS (SELECT sp.project, sp.sub AS subsystem, attack_class, tg.path AS target, content, {KW} AS keyword FROM sp JOIN tg ON tg.project = sp.project AND (target_file IS NULL OR target_file = tg.path)),
  k AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY subsystem, attack_class, target) AS rn FROM h WHERE keyword IS NOT NULL)
- SELECT project, subsystem, attack_class, target, keyword, CAST(len(string_split(substr(content, 1, instr(content, keyword) - 1), chr(10))) AS INTEGER) AS line FROM k WHERE rn <= 10""")
+ SELECT project, subsystem, attack_class, target, keyword, CAST(len(string_split(substr(content, 1, instr(content, keyword) - 1), chr(10))) AS INTEGER) AS line FROM k""")
 def _(spark, sf):
     files, few = code_files(spark, sf), _few(spark, sf)
-    return coverage.gap_tasks(coverage.blind_spots(files, few, n=100), files, few)
+    return coverage.gap_tasks(coverage.blind_spots(files, few), files, few)
 
 
 # ---------------------------------------------------------------- chains and summaries

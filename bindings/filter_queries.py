@@ -391,7 +391,7 @@ def _(spark, sf):
  w AS (SELECT project, 0 AS rn, CAST(0 AS BIGINT) AS bytes, 0 AS taken, FALSE AS took FROM (SELECT DISTINCT project FROM c)
   UNION ALL SELECT c.project, w.rn + 1, CASE WHEN w.taken >= 5 OR (w.taken > 0 AND w.bytes + c.size > 3000) THEN w.bytes ELSE w.bytes + c.size END,
    CASE WHEN w.taken >= 5 OR (w.taken > 0 AND w.bytes + c.size > 3000) THEN w.taken ELSE w.taken + 1 END, NOT (w.taken >= 5 OR (w.taken > 0 AND w.bytes + c.size > 3000))
-  FROM w JOIN c ON c.project = w.project AND c.rn = w.rn + 1 WHERE c.rn <= 10)
+  FROM w JOIN c ON c.project = w.project AND c.rn = w.rn + 1)
  SELECT w.project, CAST(w.taken AS INTEGER) AS ord, c.path, c.size, c.rank FROM w JOIN c ON c.project = w.project AND c.rn = w.rn WHERE took""")
 def _(spark, sf):
     return repos.mirror_select(code_files(spark, sf), 5, 180_000, 3000)
@@ -411,7 +411,7 @@ def _labels(tab, agg=True):
 
 @query("fingerprint", f"""WITH {PAGES}, p AS (SELECT project, path, content FROM pg UNION ALL SELECT project, path, content FROM code),
  h AS (SELECT DISTINCT project, concat('/', array_to_string(string_split(regexp_replace(path, '^src/', ''), '/')[1:3], '/')) AS hint FROM p WHERE regexp_matches(lower(path), '(api|graphql|content-api|rest)')),
- hk AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY hint) AS rn FROM h), ha AS (SELECT project, string_agg(hint, ',' ORDER BY hint) AS api_paths FROM hk WHERE rn <= 8 GROUP BY project)
+ hk AS (SELECT *, 1 AS one FROM h), ha AS (SELECT project, string_agg(hint, ',' ORDER BY hint) AS api_paths FROM hk GROUP BY project)
  SELECT p.project, count(*) AS file_count, array_to_string({_labels(fingerprint.PLATFORMS)}, ',') AS platforms, array_to_string({_labels(fingerprint.TECHNOLOGIES)}, ',') AS technologies,
   coalesce(first(api_paths), '') AS api_paths FROM p LEFT JOIN ha ON ha.project = p.project GROUP BY p.project""".replace("WITH ", f"WITH {CODE}, ", 1))
 def _(spark, sf):
@@ -427,5 +427,5 @@ def _(spark, sf):
 def _(spark, sf):
     prints = table(spark, sf, "pages").selectExpr("'x' AS project").distinct().selectExpr(
         "project", "array('M') AS platforms", "array('/en/') AS technologies", "array('.example.O') AS admin_paths", "CAST(array() AS array<string>) AS api_paths")
-    out = fingerprint.match_assets(table(spark, sf, "pages").select(F.col("url").alias("asset")), prints, limit=None)
+    out = fingerprint.match_assets(table(spark, sf, "pages").select(F.col("url").alias("asset")), prints)
     return out.select(F.explode("hit_tokens").alias("token"), "asset")

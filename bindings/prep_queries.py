@@ -44,12 +44,45 @@ def _(spark, sf):
     return chunk.chunk_lines_sized(document_files(spark, sf)).select("path", "line_start", "line_end")
 
 
-@query("chunk_by_function")
+EXT = "regexp_extract(path, '[.]([a-z]+)$', 1)"
+SPLIT_AT = {
+    "js": r"(?:function\s+(\w+)|(?:async\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\(|(\w+)\s*\([^)]*\)\s*\{)",
+    "py": r"(?:def\s+(\w+)|class\s+(\w+)|async\s+def\s+(\w+))",
+    "java": r"(?:public|private|protected)?\s*(?:static)?\s*(?:final)?\s*(?:\w+)\s+(\w+)\s*\([^)]*\)\s*\{"}
+SPLIT_PATTERN = " ".join(f"WHEN '{e}' THEN regexp_replace(content, '({p})', chr(1) || '\\1', 'g')" for e, p in SPLIT_AT.items() if e != "js")
+SPLIT_NAME = " ".join(f"WHEN '{e}' THEN " + "concat(" + ", ".join(f"regexp_extract(t, '^{p}', {i})" for i in range(1, p.count(r"(\w+)") + 1)) + ")" for e, p in SPLIT_AT.items() if e != "js")
+JS_NAME = "concat(" + ", ".join(f"regexp_extract(t, '^{SPLIT_AT['js']}', {i})" for i in (1, 2, 3)) + ")"
+
+
+@query("chunk_by_function", f"""WITH {CODE}, s AS (SELECT project, path, content, string_split(CASE {EXT} {SPLIT_PATTERN} ELSE regexp_replace(content, '({SPLIT_AT["js"]})', chr(1) || '\\1', 'g') END, chr(1)) AS ps FROM code),
+ u AS (SELECT project, path, ps, unnest(ps[2:]) AS t, unnest(generate_series(1, len(ps) - 1)) AS k FROM s),
+ n AS (SELECT *, 1 + len(string_split(array_to_string(ps[1:k], ''), chr(10))) - 1 AS first FROM u)
+ SELECT project, path, CAST(k AS INTEGER) AS chunk_no, 'function' AS chunk_type, CASE {EXT} {SPLIT_NAME} ELSE {JS_NAME} END AS name, CAST(first AS INTEGER) AS line_start, CAST(first + len(string_split(t, chr(10))) - 1 AS INTEGER) AS line_end, t AS content FROM n
+ UNION ALL SELECT project, path, 1, 'block', NULL, 1, CAST(len(string_split(content, chr(10))) AS INTEGER), content FROM s WHERE len(ps) = 1""")
 def _(spark, sf):
     return chunk.chunk_by_function(code_files(spark, sf))
 
 
-@query("chunk_structure")
+# (extensions, order, kind, pattern); the groups of a pattern hold the name
+STARTS = [("java", 1, "class", r"^(?:public|private|protected)?\s*(?:static\s+)?class\s+(\w+)"),
+          ("java", 2, "function", r"^(?:public|private|protected)?\s*(?:static\s+)?[\w<>\[\],\s]+\s+(\w+)\s*\([^;]*\)\s*\{?\s*$"),
+          ("py", 1, "comment", r"^\s*@()"), ("py", 2, "function", r"^\s*(?:async\s+def|def)\s+(\w+)\s*\("), ("py", 3, "class", r"^\s*class\s+(\w+)"),
+          ("go", 1, "function", r"^\s*func\s+(\w+)"), ("go", 2, "class", r"^\s*type\s+(\w+)\s+struct\b"), ("go", 3, "class", r"^\s*type\s+(\w+)\s+interface\b"),
+          ("php", 1, "class", r"^(?:abstract\s+|final\s+)?class\s+(\w+)"), ("php", 2, "function", r"^(?:public|private|protected)?\s*function\s+(\w+)"),
+          ("js", 1, "function", r"^(?:export\s+)?(?:async\s+)?function\s+(\w+)"), ("js", 2, "class", r"^(?:export\s+)?class\s+(\w+)"),
+          ("js", 3, "function", r"^(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\("), ("js", 4, "function", r"^\s*(\w+)\s*:\s*(?:async\s*)?\("),
+          ("js", 5, "function", r"^(\w+)\s*\([^)]*\)\s*\{$")]
+START_ROWS = ", ".join(f"('{e}', {o}, '{k}', '{p}')" for e, o, k, p in STARTS)
+
+
+@query("chunk_structure", f"""WITH {CODE}, f AS (SELECT project, path, content, string_split(content, chr(10)) AS ls, CASE WHEN {EXT} IN ('java', 'py', 'go', 'php') THEN {EXT} ELSE 'js' END AS e FROM code),
+ l AS (SELECT project, path, e, unnest(ls) AS t, unnest(generate_series(1, len(ls))) AS i, len(ls) AS n FROM f),
+ d AS (SELECT *, sum(len(t) - len(replace(t, '{{', '')) - (len(t) - len(replace(t, '}}', '')))) OVER (PARTITION BY project, path ORDER BY i) AS lvl FROM l),
+ g AS (SELECT d.*, lvl - (len(t) - len(replace(t, '{{', '')) - (len(t) - len(replace(t, '}}', '')))) AS base, first(p.kind ORDER BY p.o) AS kind, first(regexp_extract(t, p.pat, 1) ORDER BY p.o) AS name FROM d JOIN (VALUES {START_ROWS}) AS p(e, o, kind, pat) ON p.e = d.e AND regexp_matches(t, p.pat) GROUP BY ALL),
+ w AS (SELECT *, coalesce(lead(i) OVER (PARTITION BY project, path ORDER BY i) - 1, n) AS stop FROM g),
+ x AS (SELECT project, path, kind, name, i, coalesce((SELECT min(d.i) FROM d WHERE d.project = w.project AND d.path = w.path AND d.i BETWEEN w.i AND w.stop AND contains(d.t, '}}') AND d.lvl <= w.base), stop) AS last FROM w WHERE kind <> 'comment')
+ SELECT x.project, x.path, CAST(row_number() OVER (PARTITION BY x.project, x.path ORDER BY i) AS INTEGER) AS chunk_no, kind AS chunk_type, name, CAST(i AS INTEGER) AS line_start, CAST(last AS INTEGER) AS line_end, array_to_string(ls[i:last], chr(10)) AS content FROM x JOIN f ON f.project = x.project AND f.path = x.path
+ UNION ALL SELECT project, path, 1, 'block', NULL, 1, CAST(len(ls) AS INTEGER), content FROM f WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.project = f.project AND x.path = f.path)""")
 def _(spark, sf):
     return chunk.chunk_structure(code_files(spark, sf))
 

@@ -204,4 +204,4 @@ def _(spark, sf):
 @query("project_hash_tree", f"""WITH {DOCS}, b AS (SELECT project, left(md5(path), 3) AS b, string_agg(concat(path, ':', left(sha256(content), 16)), '|' ORDER BY concat(path, ':', left(sha256(content), 16))) AS t FROM docs GROUP BY ALL)
  SELECT project, 'tree' AS hash_kind, left(sha256(string_agg(concat(b, ':', sha256(t)), '|' ORDER BY concat(b, ':', sha256(t)))), 32) AS hash FROM b GROUP BY project""")
 def _(spark, sf):
-    return history.project_hash(document_files(spark, sf), flat_limit=10)
+    return history.project_hash_tree(document_files(spark, sf))

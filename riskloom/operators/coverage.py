@@ -71,21 +71,21 @@ def subsystem_coverage(files: DataFrame, findings: DataFrame) -> DataFrame:
         F.count("*").alias("total"), F.count(F.when(F.col("reviewed"), 1)).alias("reviewed"))
 
 
-def unreviewed(files: DataFrame, findings: DataFrame, high_signal: bool = True, n: int | None = 20) -> DataFrame:
-    """The first unreviewed code files per project, high-signal ones only by default."""
+def unreviewed(files: DataFrame, findings: DataFrame, high_signal: bool = True, n: int | None = None) -> DataFrame:
+    """Unreviewed code files per project (the first n, if asked), high-signal ones only by default."""
     df = with_review(files, findings).where(~F.col("reviewed") & is_code(F.col("path")))
     df = df.where(is_high_signal(F.col("path"))) if high_signal else df
     return (df if n is None else top_n(df, n, [F.col("path")], by=["project"])).select("project", "path")
 
 
-def gap_targets(files: DataFrame, findings: DataFrame) -> DataFrame:
+def gap_targets(files: DataFrame, findings: DataFrame, urgent_t2: int | None = None) -> DataFrame:
     """Unreviewed code files with their tier, and whether they are urgent.
 
-    Urgent are all T1 files; in a project without any, the first ten T2 files.
+    Urgent are all T1 files; in a project without any, its T2 files (the first urgent_t2, if asked).
     """
     gaps = unreviewed(files, findings, False, None).withColumn("tier", file_tier(F.col("path")))
     t1 = gaps.where("tier = 'T1'").select("project").distinct()
-    second = top_n(gaps.where("tier = 'T2'").join(t1, "project", "left_anti"), 10, [F.col("path")], by=["project"])
+    second = top_n(gaps.where("tier = 'T2'").join(t1, "project", "left_anti"), urgent_t2, [F.col("path")], by=["project"])
     urgent = gaps.where("tier = 'T1'").select("project", "path").unionByName(second.select("project", "path")).withColumn("urgent", F.lit(True))
     return gaps.join(urgent, ["project", "path"], "left").withColumn("urgent", F.coalesce("urgent", F.lit(False)))
 
@@ -97,8 +97,10 @@ def gap_summary(targets: DataFrame) -> DataFrame:
     return per.withColumn("needs_gapfill", (F.col("missed_t1") > 0) | (F.col("missed_t2") > 0)).withColumn("summary", text)
 
 
-def blind_spots(files: DataFrame, findings: DataFrame, classes: list[str] = ATTACK_CLASSES, n: int | None = 20) -> DataFrame:
-    """(subsystem, attack class) never checked, plus classes that fit unreviewed files; the first n per project.
+def blind_spots(files: DataFrame, findings: DataFrame, classes: list[str] = ATTACK_CLASSES, n: int | None = None,
+                targets: int | None = None) -> DataFrame:
+    """(subsystem, attack class) never checked, plus classes that fit unreviewed files (of the first `targets` files,
+    and the first n per project, if asked).
 
     The class list is a literal that is exploded, so there is no cross join.
     """
@@ -109,7 +111,7 @@ def blind_spots(files: DataFrame, findings: DataFrame, classes: list[str] = ATTA
     checked = _reviewed(findings).select("project", sub.alias("subsystem"), F.col("vuln_type").alias("attack_class")).distinct()
     never = all_pairs.join(checked, ["project", "subsystem", "attack_class"], "left_anti").select(
         "*", F.lit("never_checked").alias("reason"), F.lit(None).cast("string").alias("target_file"), F.lit(0).alias("pass"))
-    few = unreviewed(files, findings, True, 5)
+    few = unreviewed(files, findings, True, targets)
     ext, chain = paths.extension(F.col("path")), None
     for e, cs in CLASSES_BY_EXTENSION.items():
         arr = F.array(*[F.lit(c) for c in cs])
@@ -122,9 +124,10 @@ def blind_spots(files: DataFrame, findings: DataFrame, classes: list[str] = ATTA
     return out.select("project", "subsystem", "attack_class", "reason", "target_file")
 
 
-def gap_tasks(spots: DataFrame, files: DataFrame, findings: DataFrame, words: dict = SINK_WORDS, n: int | None = 10) -> DataFrame:
+def gap_tasks(spots: DataFrame, files: DataFrame, findings: DataFrame, words: dict = SINK_WORDS, n: int | None = None,
+              targets: int | None = None) -> DataFrame:
     """For each blind spot, target files that hold a sink word of its class, with the first line that does."""
-    few = unreviewed(files, findings, True, 10)
+    few = unreviewed(files, findings, True, targets)
     texts_ = files.join(few, ["project", "path"], "left_semi").select("project", "path", "content")
     # which classes a file speaks of is found in one pass over each text
     tests = []

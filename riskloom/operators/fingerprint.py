@@ -20,7 +20,6 @@ TECHNOLOGIES = {"Next.js": [r"\bnext\b", "next/config"], "NestJS": [r"\bnestjs\b
                 "S3/Object Storage": [r"\bs3\b", "minio", "r2"]}
 LANGUAGES = {"JavaScript / TypeScript": ["ts", "tsx", "js", "jsx"], "PHP": ["php"], "Python": ["py"], "Java": ["java"],
              "C#": ["cs"], "Ruby": ["rb"], "Go": ["go"]}
-HINTS_PER_PROJECT = 8
 
 
 def path_hint(path: Column) -> Column:
@@ -31,8 +30,8 @@ def _labels(flags: dict[str, str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.col(c), F.lit(label)) for label, c in flags.items()]))
 
 
-def fingerprint(files: DataFrame) -> DataFrame:
-    """Per project: platforms, their kinds, technologies, languages, and up to eight admin and API path hints.
+def fingerprint(files: DataFrame, hints_per_project: int | None = None) -> DataFrame:
+    """Per project: platforms, their kinds, technologies, languages, and admin and API path hints (the first few, if asked).
 
     Signature tests run per file and are combined with bool_or before the shuffle.
     """
@@ -55,7 +54,7 @@ def fingerprint(files: DataFrame) -> DataFrame:
                      _labels(flags["l"]).alias("languages")).withColumn("platform_kinds", kinds)
     for name, pattern in (("admin_paths", "(admin|dashboard|backoffice|panel)"), ("api_paths", "(api|graphql|content-api|rest)")):
         hints = files.where(F.lower("path").rlike(pattern)).select("project", path_hint(F.col("path")).alias("hint")).distinct()
-        few = top_n(hints, HINTS_PER_PROJECT, [F.col("hint")], by=["project"]).groupBy("project").agg(
+        few = top_n(hints, hints_per_project, [F.col("hint")], by=["project"]).groupBy("project").agg(
             F.sort_array(F.collect_list("hint")).alias(name))
         out = out.join(few, "project", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
     return out
@@ -67,9 +66,9 @@ def asset_tokens(fingerprints: DataFrame) -> DataFrame:
     return fingerprints.select("project", F.posexplode(F.transform(tokens, F.lower)).alias("ord", "token")).where("token <> ''")
 
 
-def match_assets(assets: DataFrame, fingerprints: DataFrame, per_asset: int = 6, limit: int | None = 100,
+def match_assets(assets: DataFrame, fingerprints: DataFrame, per_asset: int | None = None, limit: int | None = None,
                  text: str = "asset") -> DataFrame:
-    """Asset lines that hold a token of a project, with the first tokens hit.
+    """Asset lines that hold a token of a project, with the tokens hit, in report order; per_asset and limit shorten the report if asked.
 
     Containment becomes an equi-join: a token can only start where one of its own first three
     characters does, so assets are cut into three-character pieces, joined to the heads of the distinct

@@ -139,15 +139,18 @@ def rank_mirror_path(path: Column) -> Column:
             + F.when(low.rlike("users-permissions|authentication|graphql"), 45).otherwise(0))
 
 
-def mirror_select(files: DataFrame, max_files: int = 72, max_file_bytes: int = 180_000, max_bytes: int = 4_500_000) -> DataFrame:
-    """Files to take per project: best rank first, small first, within a count and a byte budget.
+def mirror_select(files: DataFrame, max_files: int, max_file_bytes: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Files to take per project: best rank first, small first, within a count and a byte budget the caller states.
 
-    A file that would break the byte budget is passed over, the next one may still fit. Only the
-    first 2 * max_files candidates of a project are looked at, so the fold is bounded.
+    A file that would break the byte budget is passed over, a smaller one of another rank may still fit; every
+    candidate counts. Inside a rank sizes ascend, so what is taken of it is always its first files: max_files of
+    each rank are enough for an exact fold, and there are few ranks.
     """
-    ok = files.where(mirror_path(F.col("path")) & (F.col("size") > 0) & (F.col("size") <= max_file_bytes))
+    ok = files.where(mirror_path(F.col("path")) & (F.col("size") > 0))
+    ok = ok if max_file_bytes is None else ok.where(F.col("size") <= max_file_bytes)
+    max_bytes = 2 ** 63 - 1 if max_bytes is None else max_bytes
     ranked = ok.select("project", "path", "size", rank_mirror_path(F.col("path")).alias("rank"))
-    best = top_n(ranked, 2 * max_files, [F.col("rank").desc(), F.col("size"), F.col("path")], by=["project"])
+    best = top_n(ranked, max_files, [F.col("size"), F.col("path")], by=["project", "rank"])
     listed = best.groupBy("project").agg(F.sort_array(F.collect_list(F.struct(
         (-F.col("rank")).alias("neg_rank"), "size", "path"))).alias("c"))
     start = F.struct(F.lit(0).cast("long").alias("bytes"), F.array().cast("array<int>").alias("taken"))
@@ -155,7 +158,7 @@ def mirror_select(files: DataFrame, max_files: int = 72, max_file_bytes: int = 1
     def take(acc, i):
         size = F.element_at("c", i)["size"]
         full = F.size(acc["taken"]) >= max_files
-        over = (F.size(acc["taken"]) > 0) & (acc["bytes"] + size > max_bytes)
+        over = (F.size(acc["taken"]) > 0) & (acc["bytes"] > F.lit(max_bytes) - size)
         return F.when(full | over, acc).otherwise(F.struct(
             (acc["bytes"] + size).alias("bytes"), F.concat(acc["taken"], F.array(i)).alias("taken")))
 

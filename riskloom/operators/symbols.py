@@ -28,7 +28,7 @@ JS = {"class": r"(?P<words>(?:(?:export|default)\s+)*+)(?P<type>class)\s+(?P<nam
       "field": r"(?![^\n]*(?:\(|function))" + JS_WORDS + r"(?P<name>\w+)\s*[?:][^\n]*\S"}
 PYTHON = {"class": r"(?P<type>class)\s+(?P<name>\w+)(?:\s*\((?P<supers>[^)]*)\))?",
           "method": r"(?P<words>(?:async\s+)?+)def\s+(?P<name>\w+)\s*\(",
-          "field": r"(?P<name>[^\s=@#()\[\]{},]++)\s*(?::[^=\n]*)?=(?!=)"}
+          "field": r"(?P<name>[^\s=:@#()\[\]{},]++)\s*(?::[^=\n]*)?=(?!=)"}
 MEMBERS = {language: {kind: re.compile(r"^[ \t]*+" + pattern, re.A | re.M) for kind, pattern in table.items()}
            for language, table in (("java", JAVA), ("javascript", JS), ("typescript", JS), ("python", PYTHON))}
 SUPERS = re.compile(r"\b(?:extends|implements)\s+((?:(?!\b(?:extends|implements)\b)[\w.,<>\s])+)", re.A)
@@ -160,8 +160,8 @@ def _body_end(lines, bare, ext, line, head_end, next_head):
     if ext in ("py", "rb"):
         last = indented_end(lines, line)
         return lines.breaks[last - 1] if last <= len(lines.breaks) else len(bare)
-    parens = PARENS.search(bare, lines.start(line))
-    after = max(head_end, parens.end() if parens and parens.start() < head_end else head_end)
+    parens = PARENS.match(bare, head_end - 1) or PARENS.match(bare, head_end)
+    after = parens.end() if parens else head_end
     opened, stop = bare.find("{", after), bare.find(";", after)
     if opened >= 0 and opened < next_head and not 0 <= stop < opened:
         closed = closing_brace(bare, opened)
@@ -217,11 +217,11 @@ def call_tree(index: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
     return known.join(lines, ["project", "path", "name"]).select("project", "root_path", "root", "depth", "path", "name", "line")
 
 
-def dependency_context(findings: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 2, max_nodes: int = 12) -> DataFrame:
+def dependency_context(findings: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 2, max_nodes: int | None = None) -> DataFrame:
     """findings(project, node) with what lies up- and downstream: counts, signal flags, combined risk.
 
-    edges(project, src, dst); nodes(project, node, code, extension). Per finding node and direction the
-    first twelve nodes in order of distance are described.
+    edges(project, src, dst); nodes(project, node, code, extension). All nodes within `depth` steps count,
+    or per finding node and direction the nearest max_nodes.
     """
     from riskloom.operators.hints import hint_profile
 

@@ -59,18 +59,22 @@ def merge_cached(files: DataFrame, last: DataFrame, cached: DataFrame, new: Data
     return cached.join(keep, ["project", "file"], "left_semi").unionByName(new, allowMissingColumns=True)
 
 
-def project_hash(files: DataFrame, flat_limit: int = 100_000) -> DataFrame:
-    """One hash per project over its sorted `path:hash` entries.
-
-    Up to `flat_limit` files it is the hash of the joined entries. Larger projects hash 4096 buckets of
-    paths first and then the bucket hashes, so that no value holds a whole project; `hash_kind` tells
-    the two apart, and the same content always takes the same way.
-    """
-    entries = files.select("project", F.concat_ws(":", "path", file_hash(F.col("content"))).alias("e"),
-                           F.left(F.md5("path"), F.lit(3)).alias("b"))
-    sizes = files.groupBy("project").agg(F.count("*").alias("n"))
-    kinds = sizes.select("project", F.when(F.col("n") <= flat_limit, "flat").otherwise("tree").alias("hash_kind"))
-    df = entries.join(kinds, "project").withColumn("b", F.when(F.col("hash_kind") == "flat", F.lit("")).otherwise(F.col("b")))
-    buckets = df.groupBy("project", "hash_kind", "b").agg(F.array_join(F.sort_array(F.collect_list("e")), "|").alias("t"))
-    one = buckets.withColumn("t", F.when(F.col("hash_kind") == "flat", F.col("t")).otherwise(F.concat_ws(":", "b", F.sha2("t", 256))))
-    return one.groupBy("project", "hash_kind").agg(F.left(F.sha2(F.array_join(F.sort_array(F.collect_list("t")), "|"), 256), F.lit(32)).alias("hash"))
+def _hash_entries(files: DataFrame) -> DataFrame:
+    return files.select("project", F.concat_ws(":", "path", file_hash(F.col("content"))).alias("e"), F.left(F.md5("path"), F.lit(3)).alias("b"))
+
+
+def _joined_hash(entries: str) -> Column:
+    return F.left(F.sha2(F.array_join(F.sort_array(F.collect_list(entries)), "|"), 256), F.lit(32)).alias("hash")
+
+
+def project_hash(files: DataFrame) -> DataFrame:
+    """One hash per project over its sorted `path:hash` entries, joined. A project's entries meet in one value
+    (some 60 bytes a file); `project_hash_tree` is the way for projects of any size."""
+    return _hash_entries(files).groupBy("project").agg(_joined_hash("e")).select("project", F.lit("flat").alias("hash_kind"), "hash")
+
+
+def project_hash_tree(files: DataFrame) -> DataFrame:
+    """One hash per project over the hashes of 4,096 buckets of paths, so that no value holds a whole project."""
+    buckets = _hash_entries(files).groupBy("project", "b").agg(F.array_join(F.sort_array(F.collect_list("e")), "|").alias("t"))
+    one = buckets.select("project", F.concat_ws(":", "b", F.sha2("t", 256)).alias("t"))
+    return one.groupBy("project").agg(_joined_hash("t")).select("project", F.lit("tree").alias("hash_kind"), "hash")

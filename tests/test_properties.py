@@ -102,14 +102,28 @@ def test_clusters_equal_greedy(spark):
     assert {r.text: r.leader for r in summary.cluster_similar(df).collect()} == want
 
 
-def test_packing_keeps_everything_within_limits(spark):
-    df = spark.createDataFrame([("p", f"src/s{i}.java", "word " * (i % 50), 0) for i in range(200)], FILES)
-    out = chunk.pack_batches(df, chunk.BatchLimits(6, 900), slab=50).collect()
-    assert len({r.path for r in out}) == 200
-    groups = {}
-    for r in out:
-        groups.setdefault((r.slab, r.batch), []).append(r)
-    assert all(len(g) <= 6 and (len(g) == 1 or sum(r.chars + len(r.path) for r in g) <= 900) for g in groups.values())
+def test_packing_in_blocks_equals_one_greedy_run(spark):
+    rng = random.Random(3)
+    rows = [("p", f"src/s{i}.java", "word " * rng.randrange(60), 0) for i in range(230)] + [("q", "one.py", "x", 0)]
+    lim = chunk.BatchLimits(4, 700, 180)
+    got = chunk.pack_batches(spark.createDataFrame(rows, FILES), lim, block=20).collect()
+    assert len(got) == len({(r.project, r.path) for r in got}) == 231
+    batch, n, chars, tokens = 1, 0, 0, 0
+    for r in sorted((r for r in got if r.project == "p"), key=lambda r: r.ord):
+        size, cost = r.chars + len(r.path), r.tokens + 10
+        if n and (n >= lim.files or tokens + cost > lim.tokens or chars + size > min(lim.chars, lim.tokens * 4)):
+            batch, n, chars, tokens = batch + 1, 0, 0, 0
+        n, chars, tokens = n + 1, chars + size, tokens + cost
+        assert r.batch == batch
+
+
+def test_mirror_select_sees_every_candidate(spark):
+    from riskloom.operators import repos
+
+    big = [("p", f"src/auth/policy/big{i:03}.ts", None, 900) for i in range(50)]
+    rows = big + [("p", "src/api/small.ts", None, 90), ("p", "src/api/tiny.ts", None, 10)]
+    got = repos.mirror_select(spark.createDataFrame(rows, FILES), 4, max_bytes=1000).orderBy("ord").collect()
+    assert [r.path.rsplit("/", 1)[1] for r in got] == ["big000.ts", "tiny.ts", "small.ts"]
 
 
 def test_comments(spark):
