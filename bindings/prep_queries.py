@@ -8,6 +8,7 @@ from bindings.common import CODE, CODE_FINDINGS, DOCS, FINDINGS, code_files, cod
 from bindings.filter_queries import TIER
 from riskloom.functions import texts
 from riskloom.operators import chunk, java, messages, retrieve, symbols
+from riskloom.sources.corpus import spread
 
 QUERIES, ORACLES = {}, {}
 
@@ -186,7 +187,7 @@ def _(spark, sf):
  t AS (SELECT query_id, doc_id, CAST(sum(pts) AS BIGINT) AS score FROM s GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM t) SELECT query_id, doc_id, score FROM k WHERE rn <= 5""")
 def _(spark, sf):
     q = table(spark, sf, "benchmark").selectExpr("item_id AS query_id", "text")
-    d = table(spark, sf, "documents").selectExpr("doc_id", "left(text, 60) AS title", "array(lang) AS tags", "text AS content")
+    d = spread(table(spark, sf, "documents")).selectExpr("doc_id", "left(text, 60) AS title", "array(lang) AS tags", "text AS content")
     return retrieve.retrieve_docs(q, d, 5)
 
 

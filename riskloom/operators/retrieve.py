@@ -2,38 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from riskloom.functions.ranking import top_n
 
+BLOCK_CHARS = 4_000_000
+TOKENS_KEPT, CANDIDATES_KEPT = 100_000, 100_000
+FIELDS = (("title", 10), ("tags", 5), ("cwe_ids", 8))
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
-def _contained(needles: DataFrame, hay: DataFrame, max_length: int | None = None) -> DataFrame:
-    """(needle, id) where the needle, a text without white space, occurs in a token of the haystack.
 
-    A word without white space lies within one token. Distinct tokens are cut into their pieces of the
-    lengths the needles have and met by equality, so the cost follows the vocabulary, not queries times texts.
-    """
-    sizes = needles.select(F.length("needle").alias("size")).distinct()
-    tokens = hay.select("token").distinct()
-    # needle lengths are a few dozen numbers at most
-    cut = tokens.join(F.broadcast(sizes), F.col("size") <= F.length("token"))
-    pieces = cut.select("token", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("token") - F.col("size") + 1), lambda i: F.substring("token", i, F.col("size"))))).alias("needle"))
-    met = pieces.join(needles.select("needle").distinct(), "needle")
-    return hay.join(met, "token").select("needle", "id").distinct()
+class _Matcher:
+    """Points of one block of queries for a document, in one pass over its distinct tokens."""
+
+    def __init__(self, queries: list[tuple]):
+        self.n = len(queries)
+        words: dict[str, list[tuple[int, int]]] = {}
+        whole: dict[str, list[int]] = {}
+        for k, (_id, q) in enumerate(queries):
+            counted = Counter(w for w in _SPACE.split(q) if w)
+            for w, times in counted.items():
+                words.setdefault(w, []).append((k, times))
+            if counted:
+                whole.setdefault(q, []).append(k)
+        self.postings = [np.array(p, np.int64).T for p in words.values()]
+        self.words, self.whole, self.seen = ahocorasick.Automaton(), ahocorasick.Automaton(), {}
+        for i, w in enumerate(words):
+            self.words.add_word(w, i)
+        for q, ks in whole.items():
+            self.whole.add_word(q, ks)
+        self.empty = not words
+        if not self.empty:
+            self.words.make_automaton()
+            self.whole.make_automaton()
+
+    def _in_token(self, token: str) -> tuple[int, ...]:
+        got = self.seen.get(token)
+        if got is None:
+            if len(self.seen) >= TOKENS_KEPT:
+                self.seen.clear()
+            got = self.seen[token] = tuple({i for _, i in self.words.iter(token)})
+        return got
+
+    def points(self, content: str | None, fields: list[tuple[int, list]]) -> np.ndarray:
+        found = {i for token in set(_SPACE.split(content or "")) if token for i in self._in_token(token)}
+        out = np.zeros(self.n, np.int64)
+        if found:
+            q, times = np.concatenate([self.postings[i] for i in found], axis=1)
+            out += np.bincount(q, times, self.n).astype(np.int64)
+        for worth, values in fields:
+            inside = {k for v in values if v for _, ks in self.whole.iter(v) for k in ks}
+            if inside:
+                out[list(inside)] += worth
+        return out
 
 
-def tokens_of(df: DataFrame, id_: Column, text: Column) -> DataFrame:
-    """(id, token): the distinct lower-case tokens of each text."""
-    return df.select(id_.alias("id"), F.explode(F.array_distinct(F.split(F.lower(text), r"\s+"))).alias("token")).where("token <> ''")
+def _blocks(queries: DataFrame) -> Iterator[list[tuple]]:
+    """(query_id, text) in blocks of about BLOCK_CHARS characters; the driver and each task hold one block at a time."""
+    rows = queries.select("query_id", F.lower("text").alias("q")).where("q IS NOT NULL")
+    total = rows.agg(F.sum(F.length("q"))).first()[0] or 0
+    n = max(1, -(-total // BLOCK_CHARS))
+    for k in range(n):
+        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("q", "query_id"), F.lit(n)) == k).collect()]
+
+
+def _best(rows: list[tuple], k: int) -> list[tuple]:
+    """The first k rows (query, points, id) of each query: most points first, then the smallest id."""
+    rows.sort(key=lambda r: (r[0], -r[1], r[2] is not None, r[2] if r[2] is not None else 0))
+    seen: Counter = Counter()
+    kept = []
+    for r in rows:
+        if seen[r[0]] < k:
+            seen[r[0]] += 1
+            kept.append(r)
+    return kept
 
 
 def retrieve_docs(queries: DataFrame, docs: DataFrame, k: int = 5, category: str | None = None, severity: str | None = None,
                   language: str | None = None) -> DataFrame:
     """(query_id, doc_id, score): the k best documents per query.
 
-    +10 when the title holds the query, +5 for a tag, +8 for a CWE, +1 per query word in the text (a
-    repeated word counts again). queries(query_id, text); docs(doc_id, title, tags, cwe_ids, content, ...).
+    +10 when the title holds the query, +5 for a tag, +8 for a CWE, +1 per query word in the text (a repeated word counts
+    again). queries(query_id, text); docs(doc_id, title, tags, cwe_ids, content, ...). Every document is read once per block of
+    queries; tasks keep the k best per query, so that tasks x queries x k rows are shuffled at most, never queries x documents.
     """
     if category:
         docs = docs.where(F.col("category") == category)
@@ -41,25 +99,35 @@ def retrieve_docs(queries: DataFrame, docs: DataFrame, k: int = 5, category: str
         docs = docs.where(F.col("severity") == severity)
     if language:
         docs = docs.where(F.exists("tags", lambda t: F.lower(t).contains(language.lower())))
-    q = queries.select("query_id", F.lower("text").alias("q"))
-    words = q.select("query_id", F.explode(F.split("q", r"\s+")).alias("needle")).where("needle <> ''").groupBy("query_id", "needle").agg(
-        F.count("*").alias("times"))
-    hit = _contained(words, tokens_of(docs, F.col("doc_id"), F.col("content")))
-    by_word = words.join(hit, "needle").select("query_id", F.col("id").alias("doc_id"), F.col("times").alias("points"))
-    parts = [by_word]
-    # a whole query inside a title, tag or CWE: every word of it is inside too, so candidates come from its longest word
-    keyed = q.withColumn("needle", F.element_at(F.sort_array(F.transform(F.filter(F.split("q", r"\s+"), lambda w: w != ""), lambda w: F.struct(
-        F.length(w).alias("n"), w.alias("w")))), -1)["w"])
-    for field, points in (("title", 10), ("tags", 5), ("cwe_ids", 8)):
-        if field not in docs.columns:
-            continue
-        listed = F.col(field) if field != "title" else F.array("title")
-        d = docs.select("doc_id", F.explode(F.transform(listed, lambda x: F.lower(x))).alias("v"))
-        near = _contained(keyed.select("needle"), d.select(F.col("doc_id").alias("id"), F.explode(F.split("v", r"\s+")).alias("token")).where("token <> ''"))
-        ok = keyed.join(near, "needle").join(d, F.col("id") == F.col("doc_id")).where(F.contains("v", "q"))
-        parts.append(ok.select("query_id", "doc_id").distinct().withColumn("points", F.lit(points).cast("long")))
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    scores = both.groupBy("query_id", "doc_id").agg(F.sum("points").alias("score"))
-    return top_n(scores, k, [F.col("score").desc(), F.col("doc_id")], by=["query_id"])
+    fields = [(f, worth) for f, worth in FIELDS if f in docs.columns]
+    lists = [F.transform(F.array("title") if f == "title" else F.col(f), lambda x: F.lower(x)).alias(f) for f, _ in fields]
+    texts = docs.select("doc_id", F.lower("content").alias("content"), *lists)
+    qid, did = (d.schema[c].dataType.simpleString() for d, c in ((queries, "query_id"), (docs, "doc_id")))
+    out = None
+    for block in _blocks(queries):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            matcher, held, least = _Matcher(sent.value), [], np.ones(len(sent.value), np.int64)
+            id_type = None
+            for b in batches:
+                id_type = b.column(0).type
+                if matcher.empty:
+                    continue
+                for i, own in enumerate(b.column(0).to_pylist()):
+                    got = matcher.points(b.column(1)[i].as_py(), [(worth, b.column(2 + j)[i].as_py() or []) for j, (_f, worth) in enumerate(fields)])
+                    held += [(q, int(got[q]), own) for q in np.flatnonzero(got >= least).tolist()]
+                    if len(held) > CANDIDATES_KEPT + len(least) * k:
+                        held, full = _best(held, k), Counter()
+                        for q, points, _own in held:
+                            full[q] += 1
+                            if full[q] == k:
+                                least[q] = points
+            if held:
+                q, points, ids = zip(*_best(held, k))
+                names = [sent.value[x][0] for x in q]
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids, id_type), pa.array(points, pa.int64())], names=["query_id", "doc_id", "score"])
+
+        part = texts.mapInArrow(run, f"query_id {qid}, doc_id {did}, score long")
+        out = part if out is None else out.unionByName(part)
+    return top_n(out, k, [F.col("score").desc(), F.col("doc_id")], by=["query_id"])

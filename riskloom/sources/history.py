@@ -47,9 +47,9 @@ def snapshot(files: DataFrame) -> DataFrame:
 
 
 def changed_files(files: DataFrame, last: DataFrame) -> DataFrame:
-    """Files whose (path, hash) is not in the last snapshot. Only hashes of the old run are read."""
-    return (files.withColumn("hash", file_hash(F.col("content")))
-            .join(last.select("project", "path", "hash").distinct(), ["project", "path", "hash"], "left_anti"))
+    """Files whose (path, hash) is not in the last snapshot. Hashes alone are compared; only texts of changed files are fetched."""
+    new = snapshot(files).distinct().join(last.select("project", "path", "hash").distinct(), ["project", "path", "hash"], "left_anti")
+    return files.withColumn("hash", file_hash(F.col("content"))).join(new, ["project", "path", "hash"], "left_semi")
 
 
 def merge_cached(files: DataFrame, last: DataFrame, cached: DataFrame, new: DataFrame) -> DataFrame:
