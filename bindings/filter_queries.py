@@ -100,8 +100,8 @@ def _(spark, sf):
   AND NOT regexp_matches(lower(text), 'ping')""")
 def _(spark, sf):
     files = code_files(spark, sf)
-    found = scan.attach_lines(scan.scan_lines(files, [r for r in CODE_RULES if r.kind == "sink"]), files)
-    f = found.withColumn("context", texts.context_lines(F.col("lines"), F.col("line"), 3, 3)).withColumn("confidence", F.lit(0.75))
+    found = scan.scan_lines(files, [r for r in CODE_RULES if r.kind == "sink"], around=3)
+    f = found.withColumn("context", texts.context_lines(F.col("line"))).withColumn("confidence", F.lit(0.75))
     return filters.heuristic_fp_filter(f, 0.5, ["ping"], path="path").select(F.col("path").alias("file"), "line", "rule_id")
 
 

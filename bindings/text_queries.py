@@ -99,16 +99,16 @@ def _(spark, sf):
   md5(array_to_string(string_split(content, chr(10))[greatest(f.line - 2, 1):f.line + 2], chr(10))) AS snippet_md5
   FROM f JOIN docs ON f.file = docs.path""")
 def _(spark, sf):
-    found = scan.attach_lines(scan.scan_lines(document_files(spark, sf), DOC_RULES), document_files(spark, sf))
-    return found.select(F.col("path").alias("file"), "line", "rule_id", F.md5(texts.snippet(F.col("lines"), F.col("line"))).alias("snippet_md5"))
+    found = scan.scan_lines(document_files(spark, sf), DOC_RULES, around=2)
+    return found.select(F.col("path").alias("file"), "line", "rule_id", F.md5(texts.snippet(F.col("line"))).alias("snippet_md5"))
 
 
 @query("context_lines", f"""WITH {FINDINGS} SELECT f.file, f.line, rule_id, l.line_no AS ctx_line, md5(l.line) AS ctx_md5, l.line_no = f.line AS is_target
   FROM f JOIN lines l ON f.file = l.path AND l.line_no BETWEEN f.line - 3 AND f.line + 3""")
 def _(spark, sf):
-    found = scan.attach_lines(scan.scan_lines(document_files(spark, sf), DOC_RULES), document_files(spark, sf))
+    found = scan.scan_lines(document_files(spark, sf), DOC_RULES, around=3)
     return found.select(F.col("path").alias("file"), "line", "rule_id",
-                        F.explode(texts.context_lines(F.col("lines"), F.col("line"), 3, 3)).alias("c")).select(
+                        F.explode(texts.context_lines(F.col("line"))).alias("c")).select(
         "file", "line", "rule_id", F.col("c.line").alias("ctx_line"), F.md5("c.content").alias("ctx_md5"), F.col("c.is_target").alias("is_target"))
 
 
@@ -152,8 +152,8 @@ FILE_CC = """fc AS (SELECT path, CASE WHEN len(ne) = 0 THEN 0e0 ELSE least(1e0,
  SELECT file, line, rule_id, round({CONF_SQL}, 6) AS confidence FROM x""")
 def _(spark, sf):
     files = code_files(spark, sf)
-    found = scan.attach_lines(scan.scan_lines(files, CODE_SINKS), files)
-    conf = scan.match_confidence(F.element_at("lines", F.col("line")), scan.text_complexity(F.col("_content")))
+    found = scan.scan_lines(files, CODE_SINKS, carry={"complexity": scan.text_complexity(F.col("content"))})
+    conf = scan.match_confidence(F.col("text"), F.col("complexity"))
     return found.select(F.col("path").alias("file"), "line", "rule_id", F.round(conf, 6).alias("confidence"))
 
 

@@ -45,17 +45,31 @@ def line_window(lines: Column, line_no: Column, before: int, after: int) -> Colu
         F.array().cast("array<string>"))
 
 
-def context_lines(lines: Column, line_no: Column, before: int, after: int) -> Column:
-    """array<struct<line,content,is_target>> around a hit."""
-    start = F.greatest(line_no - before, F.lit(1))
-    return F.transform(
-        line_window(lines, line_no, before, after),
-        lambda text, i: F.struct((start + i).alias("line"), text.alias("content"),
-                                 (start + i == line_no).alias("is_target")))
+def near_lines(line_no: Column, before: int, after: int) -> Column:
+    """The lines from line_no-before to line_no+after out of the carried lines `_around`, the first of which is line `_from`."""
+    start = F.greatest(line_no - before, F.col("_from"))
+    stop = F.least(line_no + after, F.col("_from") + F.size("_around") - 1)
+    return F.when(stop >= start, F.slice("_around", start - F.col("_from") + 1, stop - start + 1)).otherwise(
+        F.array().cast("array<string>"))
+
+
+def near_line(line_no: Column) -> Column:
+    """One of the carried lines; null beyond the end of the file. line_no must not lie before `_from`."""
+    return F.try_element_at("_around", line_no - F.col("_from") + 1)
+
+
+def near_text(line_no: Column, before: int, after: int) -> Column:
+    return F.array_join(near_lines(line_no, before, after), "\n")
+
+
+def context_lines(line_no: Column) -> Column:
+    """array<struct<line,content,is_target>> of the carried lines."""
+    return F.transform("_around", lambda text, i: F.struct(
+        (F.col("_from") + i).alias("line"), text.alias("content"), (F.col("_from") + i == line_no).alias("is_target")))
 
 
-def snippet(lines: Column, line_no: Column) -> Column:
-    return F.array_join(line_window(lines, line_no, 2, 2), "\n")
+def snippet(line_no: Column) -> Column:
+    return near_text(line_no, 2, 2)
 
 
 def mask_secret(col: Column) -> Column:

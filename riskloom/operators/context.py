@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskloom.functions import paths, texts
 from riskloom.operators.dedup import file_of, line_of
 from riskloom.operators.filters import is_test_path
-from riskloom.operators.scan import scan_rules
+from riskloom.operators.scan import if_any, scan_rules
 from riskloom.sources.rules import Rule
 
 # Code that guards against a type of finding. (?i:...) marks those that ignore case.
@@ -56,21 +56,39 @@ def with_source_lines(findings: DataFrame, files: DataFrame, how: str = "left")
     return keyed.join(texts_, keys + ["_file"], how)
 
 
+def with_windows(findings: DataFrame, files: DataFrame, around: int) -> DataFrame:
+    """Findings with up to `around` lines on both sides (`_around`, the first is line `_from`), null when the file is unknown.
+
+    The lines asked of a file are gathered first (numbers only), so that each text meets one row and gives narrow windows;
+    no row holds a text beside a finding. `_at` is the finding's line, 1 at least.
+    """
+    keyed = findings.withColumn("_file", file_of(findings)).withColumn("_line", line_of(findings)).withColumn(
+        "_at", F.greatest(F.col("_line"), F.lit(1)))
+    keys = (["project"] if "project" in findings.columns and "project" in files.columns else []) + ["_file"]
+    asked = keyed.groupBy(*keys).agg(F.collect_set("_at").alias("_ats"))
+    whole = files.withColumn("_file", F.col("path")).select(*keys, "content").join(asked, keys)
+    rows = whole.select(*keys, "_ats", if_any(texts.lines_of(F.col("content"))).alias("_lines"))
+    windows = rows.select(*keys, F.explode(F.transform("_ats", lambda a: F.struct(
+        a.alias("_at"), F.greatest(a - around, F.lit(1)).alias("_from"),
+        texts.line_window(F.col("_lines"), a, around, around).alias("_around")))).alias("w")).select(*keys, "w.*")
+    return keyed.join(windows, [*keys, "_at"], "left")
+
+
 def guard_context(findings: DataFrame, files: DataFrame, snippet: bool = False) -> DataFrame:
     """`guard` struct and a confidence lowered by literals and guards within five lines, or by a test path.
 
     With `snippet` the lines around the finding come along, from the same join.
     """
-    df = with_source_lines(findings, files)
+    df = with_windows(findings, files, GUARD_LINES)
     if snippet:
-        df = df.withColumn("snippet", texts.snippet(F.col("_lines"), F.greatest(F.col("_line"), F.lit(1))))
-    line = F.trim(F.coalesce(F.try_element_at("_lines", F.greatest(F.col("_line"), F.lit(1))), F.lit("")))
-    window = F.array_join(texts.line_window(F.col("_lines"), F.col("_line"), GUARD_LINES, GUARD_LINES), "\n")
+        df = df.withColumn("snippet", texts.snippet(F.col("_at")))
+    line = F.trim(F.coalesce(texts.near_line(F.col("_at")), F.lit("")))
+    window = texts.near_text(F.col("_at"), GUARD_LINES, GUARD_LINES)
     literal = line.rlike(r"""^["'][^"'{}]*["']\s*$""") | line.rlike(r"""^\s*\w+\s*\(\s*["'][^"']*["']\s*\)\s*$""")
     guarded = by_type(F.col("vuln_type"), {t: texts.any_match(window, p, False) for t, p in GUARDS.items()})
     test = is_test_path(F.col("_file"), "directory")
     checked = (~test & ~F.col("_file").rlike(SAMPLE_PATH) & (F.col("_file") != "") & (F.col("_line") >= 1)
-               & F.col("_lines").isNotNull() & (F.col("_line") <= F.size("_lines")))
+               & texts.near_line(F.col("_at")).isNotNull())
     limit = (F.when(F.col("_lit") & F.col("_grd"), 0.1).when(F.col("_lit"), 0.2).when(F.col("_grd"), 0.3).otherwise(1.0))
     notes = F.array_compact(F.array(
         F.when(F.col("_lit"), "argument_appears_to_be_string_literal"), F.when(F.col("_grd"), "security_guard_pattern_detected"),
@@ -90,7 +108,7 @@ def guard_context(findings: DataFrame, files: DataFrame, snippet: bool = False)
                        .when(F.col("_checked"), guard(F.col("_lit"), F.col("_grd"), False, limit, notes)))
     df = df.withColumn("confidence", F.when(F.col("_test"), F.least(given, F.lit(0.15)))
                        .when(F.col("_checked"), F.least(given, limit)).otherwise(kept))
-    return df.drop("_file", "_line", "_lines", "_test", "_checked", "_lit", "_grd")
+    return df.drop("_file", "_line", "_at", "_around", "_from", "_test", "_checked", "_lit", "_grd")
 
 
 # Signals looked for near a finding. (?i:...) marks those that ignore case.
@@ -161,16 +179,15 @@ def context_flags(findings: DataFrame, files: DataFrame, min_rows: int = 0) -> D
 
     The windows hold [line-before, line+after) lines. Findings whose file is unknown stay as they are.
     """
-    df = with_source_lines(findings, files)
+    df = with_windows(findings, files, max(max(f[1], f[2]) for f in FAMILIES.values()))
     skill = F.col("skill_id") if "skill_id" in df.columns else F.lit("")
     df = df.withColumn("family", family_of(F.col("vuln_type"), F.coalesce(skill, F.lit(""))))
-    at = F.greatest(F.col("_line"), F.lit(1))
     named = texts.any_match(F.coalesce("evidence", F.lit("")), [n.replace(".", r"\.") for n in DANGEROUS_NAMES])
-    known = F.col("_lines").isNotNull() & ((F.col("family") != "injection") | named)
+    known = F.col("_around").isNotNull() & ((F.col("family") != "injection") | named)
     flags, query_type, gain = None, None, None
     for name, (_types, before, after, plus, signals) in FAMILIES.items():
         # lines before+1 .. after, counted as the half-open window of the scan
-        text = F.array_join(texts.line_window(F.col("_lines"), at, before - 1, after), "\n")
+        text = texts.near_text(F.col("_at"), before - 1, after)
         present = F.array_compact(F.array(*[F.when(texts.any_match(text, SIGNALS[s], False), s) for s in signals]))
         here = F.col("family") == name
         flags = F.when(here, present) if flags is None else flags.when(here, present)
@@ -181,7 +198,7 @@ def context_flags(findings: DataFrame, files: DataFrame, min_rows: int = 0) -> D
                                 .when(text.rlike(r"(?i)\b(prepare|bind|param)\s*\("), "parameterized").otherwise("unknown"))
     return (df.withColumn("flags", F.when(known, flags)).withColumn("query_type", F.when(known, query_type))
             .withColumn("confidence", F.when(known, F.least(F.col("confidence") + gain, F.lit(1.0))).otherwise(F.col("confidence")))
-            .drop("_file", "_line", "_lines"))
+            .drop("_file", "_line", "_at", "_around", "_from"))
 
 
 # Advice per family: when one of the listed signals is present, and otherwise.

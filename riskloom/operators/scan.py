@@ -43,25 +43,35 @@ def with_language(files: DataFrame) -> DataFrame:
     return files if "language" in files.columns else files.withColumn("language", paths.detect_language(F.col("path")))
 
 
-def scan_rules(files: DataFrame, rules: list[Rule], kind: str | None = None, with_text: bool = False) -> DataFrame:
+def scan_rules(files: DataFrame, rules: list[Rule], kind: str | None = None, around: int | None = None, span: int | None = None,
+               carry: dict[str, Column] | None = None) -> DataFrame:
     """Every match of every rule of the file's language, with its offset and line.
 
     No shuffle. Files without any hit are dropped by the JVM test; Python sees the remaining
-    (file, rules) pairs only and finds the exact offsets in one pass over each text.
+    (file, rules) pairs only and finds the exact offsets in one pass over each text. What later steps
+    need of the text comes along from the same pass, so that no text is joined again: `around` lines on
+    both sides (`_around`, the first is line `_from`), `span` characters on both sides (`_near`), and
+    measures of the file (`carry`, by name).
     """
     rules = [r for r in rules if kind in (None, r.kind)]
+    carry = carry or {}
+    kinds = with_language(files).select(*[c.alias(n) for n, c in carry.items()]).schema
+    extra = (["_around array<string>", "_from int"] if around is not None else []) + (["_near string"] if span is not None else [])
+    schema = ", ".join([MATCH_COLUMNS, *extra, *[f"{f.name} {f.dataType.simpleString()}" for f in kinds]])
     if not rules:
-        spark = files.sparkSession
-        return spark.createDataFrame([], MATCH_COLUMNS)
+        return files.sparkSession.createDataFrame([], schema)
     hits = with_language(files).select("project", "path", "language", "content",
-                                       if_any(_hit_indexes(rules, F.col("language"), F.col("content"))).alias("hits"))
+                                       if_any(_hit_indexes(rules, F.col("language"), F.col("content"))).alias("hits"),
+                                       *[c.alias(n) for n, c in carry.items()])
     table = [(r.rule_id, r.pattern_ord, r.kind, r.category, r.vuln_type, r.cwe, r.severity, r.pattern) for r in rules]
+    names = [c.split()[0].strip("`") for c in MATCH_COLUMNS.split(", ") + extra] + list(carry)
 
     def find(batches):
         compiled = [re.compile(t[-1], re.IGNORECASE | re.ASCII) for t in table]
         for batch in batches:
             rows = []
-            for project, path, language, content, hit in batch.itertuples(index=False):
+            for project, path, language, content, hit, *measures in batch.itertuples(index=False, name=None):
+                lines = content.split("\n") if around is not None else []
                 for i in hit:
                     t, line, at = table[i], 1, 0
                     for m in compiled[i].finditer(content):
@@ -69,33 +79,53 @@ def scan_rules(files: DataFrame, rules: list[Rule], kind: str | None = None, wit
                             continue
                         line += content.count("\n", at, m.start())
                         at = m.start()
-                        rows.append((project, path, language, t[0], t[1], t[2], t[3], t[4], t[5], t[6], m.group(), at, line))
-            yield pd.DataFrame(rows, columns=["project", "path", "language", "rule_id", "pattern_ord", "kind", "category",
-                                              "vuln_type", "cwe", "severity", "match", "offset", "line"])
+                        row = [project, path, language, t[0], t[1], t[2], t[3], t[4], t[5], t[6], m.group(), at, line]
+                        if around is not None:
+                            first = max(line - around, 1)
+                            row += [lines[first - 1:line + around], first]
+                        if span is not None:
+                            row.append(content[max(at - span, 0):m.end() + span])
+                        rows.append(row + measures)
+            yield pd.DataFrame(rows, columns=names)
 
-    return hits.mapInPandas(find, MATCH_COLUMNS)
+    return hits.mapInPandas(find, schema)
 
 
-def scan_lines(files: DataFrame, rules: list[Rule]) -> DataFrame:
+def scan_lines(files: DataFrame, rules: list[Rule], around: int | None = None, carry: dict[str, Column] | None = None) -> DataFrame:
     """First match of each rule on each line, without leaving the JVM.
 
-    For rules that cannot match across lines. One row per (line, rule).
+    For rules that cannot match across lines. One row per (line, rule). `around` and `carry` bring along what `scan_rules`
+    does with them.
     """
-    files = with_language(files)
-    lines = files.select("project", "path", "language",
-                         F.posexplode(F.split("content", "\n", -1)).alias("_p", "text"))
-    tests = []
-    for r in rules:
-        test = F.col("text").rlike(java_pattern(r.pattern))
-        guard = _applies(r, F.col("language"))
-        made = F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.kind).alias("kind"), F.lit(r.category).alias("category"),
-                        F.lit(r.vuln_type).alias("vuln_type"), F.lit(r.cwe).alias("cwe"),
-                        F.lit(r.severity).alias("severity"),
-                        F.regexp_extract("text", java_pattern(r.pattern), 0).alias("match"))
-        tests.append(F.when(test if guard is None else guard & test, made))
-    return (lines.select("project", "path", "language", (F.col("_p") + 1).alias("line"), "text",
-                         F.explode(F.array_compact(F.array(*tests))).alias("h"))
-            .select("project", "path", "language", "line", "text", "h.*"))
+    def found(text: Column) -> Column:
+        tests = []
+        for r in rules:
+            test = text.rlike(java_pattern(r.pattern))
+            guard = _applies(r, F.col("language"))
+            made = F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.kind).alias("kind"), F.lit(r.category).alias("category"),
+                            F.lit(r.vuln_type).alias("vuln_type"), F.lit(r.cwe).alias("cwe"),
+                            F.lit(r.severity).alias("severity"),
+                            F.regexp_extract(text, java_pattern(r.pattern), 0).alias("match"))
+            tests.append(F.when(test if guard is None else guard & test, made))
+        return F.array_compact(F.array(*tests))
+
+    carry = carry or {}
+    base, files = ["project", "path", "language"], with_language(files)
+    lines = texts.lines_of(F.col("content"))
+    if around is None and not carry:
+        rows = files.select(*base, F.posexplode(lines).alias("_p", "text"))
+        return rows.select(*base, (F.col("_p") + 1).alias("line"), "text", F.explode(found(F.col("text"))).alias("h")).select(
+            *base, "line", "text", "h.*")
+    rows = files.select(*base, if_any(lines).alias("_lines"), *[c.alias(n) for n, c in carry.items()])
+    hits = F.filter(F.transform("_lines", lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"), found(x).alias("hits"))),
+                    lambda h: F.size(h["hits"]) > 0)
+    n = around or 0
+    wide = F.transform(hits, lambda h: F.struct(
+        h["line"].alias("line"), h["text"].alias("text"), h["hits"].alias("hits"),
+        texts.line_window(F.col("_lines"), h["line"], n, n).alias("_around"), F.greatest(h["line"] - n, F.lit(1)).alias("_from")))
+    return (rows.select(*base, *carry, F.explode(wide).alias("r")).select(*base, *carry, "r.*")
+            .select(*base, "line", "text", "_around", "_from", *carry, F.explode("hits").alias("h"))
+            .select(*base, "line", "text", "_around", "_from", *carry, "h.*"))
 
 
 def rule_text_join(files: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -103,22 +133,13 @@ def rule_text_join(files: DataFrame, rules: list[Rule]) -> DataFrame:
     return scan_lines(files, rules).select("project", "path", "language", "line", "rule_id", "vuln_type", "match")
 
 
-def attach_lines(matches: DataFrame, files: DataFrame, columns: list[str] = ("lines",)) -> DataFrame:
-    """Matches with their file's lines: the one (project, path) shuffle of the context operators."""
-    texts_ = files.select("project", "path", texts.lines_of(F.col("content")).alias("lines"), F.col("content").alias("_content"))
-    return matches.join(texts_, ["project", "path"])
-
-
 def scan_profiles(files: DataFrame, rules: list[Rule], span: int = 150) -> DataFrame:
     """Risk-pattern matches with no safe pattern within `span` characters of them."""
     risky = [r for r in rules if r.kind == "profile"]
-    found = scan_rules(files, risky)
     guarded = [r for r in risky if r.safe_patterns]
     if not guarded:
-        return found
-    near = found.join(files.select("project", "path", "content"), ["project", "path"]).withColumn(
-        "_near", F.substring("content", F.greatest(F.col("offset") - span, F.lit(0)) + 1,
-                             F.least(F.col("offset"), F.lit(span)) + F.length("match") + span)).drop("content")
+        return scan_rules(files, risky)
+    near = scan_rules(files, risky, span=span)
     safe = F.lit(False)
     for key in sorted({(r.rule_id, r.language, tuple(r.safe_patterns)) for r in guarded}):
         rule_id, language, pats = key
@@ -166,16 +187,16 @@ def match_confidence(line: Column, content_complexity: Column, boost: Column | N
 def scan_with_context(files: DataFrame, rules: list[Rule], window: int = 3,
                       fp_rates: DataFrame | None = None) -> DataFrame:
     """Sources and sinks with their surrounding lines and a confidence."""
-    found = scan_rules(files, [r for r in rules if r.kind in ("source", "sink")])
-    ctx = attach_lines(found, files)
+    ctx = scan_rules(files, [r for r in rules if r.kind in ("source", "sink")], around=window,
+                     carry={"_complexity": text_complexity(F.col("content"))})
     if fp_rates is not None:
         # one row per rule: bounded by the rule set
         ctx = ctx.join(F.broadcast(fp_rates.select("rule_id", "fp_rate")), "rule_id", "left")
-    line = F.coalesce(F.try_element_at("lines", F.col("line")), F.lit(""))
-    return (ctx.withColumn("context", texts.context_lines(F.col("lines"), F.col("line"), window, window))
-            .withColumn("confidence", match_confidence(line, text_complexity(F.col("_content")),
+    line = F.coalesce(texts.near_line(F.col("line")), F.lit(""))
+    return (ctx.withColumn("context", texts.context_lines(F.col("line")))
+            .withColumn("confidence", match_confidence(line, F.col("_complexity"),
                                                        fp_rate=F.col("fp_rate") if fp_rates is not None else None))
-            .drop("lines", "_content", "fp_rate"))
+            .drop("_around", "_from", "_complexity", "fp_rate"))
 
 
 def search_text(lines: DataFrame, query: str, ignore_case: bool = True, limit: int | None = None) -> DataFrame:

@@ -40,27 +40,30 @@ def taint_sources(files: DataFrame, sources: DataFrame, rules: list[Rule]) -> Da
     """Each input line with the later uses of its names: uses array<struct<line,name,delta,sanitized>>.
 
     A use adds 0.15 for concatenation or interpolation and 0.1 for a call, and takes 0.3 when the
-    line sanitizes. A name that occurs twice on the input line counts twice.
+    line sanitizes. A name that occurs twice on the input line counts twice. The input lines of a file
+    (numbers) meet its text as one row; uses leave it, texts do not.
     """
-    marks = sources.select("project", "path", "line", "category").distinct()
-    f = with_language(files).select("project", "path", "language", texts.lines_of(F.col("content")).alias("_lines"))
+    marks = sources.groupBy("project", "path").agg(F.collect_set(F.struct("line", "category")).alias("_marks"))
+    f = with_language(files).select("project", "path", "language", "content")
     cleaners = [r for r in rules if r.kind == "sanitizer"]
-    df = marks.join(f, ["project", "path"])
-    # what a line does is worked out once per line, not once per name
+    df = marks.join(f, ["project", "path"]).select("project", "path", "language", "_marks", if_any(texts.lines_of(F.col("content"))).alias("_lines"))
+    # what a line does is worked out once per line, not once per name or input
     about = F.transform("_lines", lambda x, i: F.struct(
         (i + 1).alias("line"), x.alias("text"), _sanitized(x, F.col("language"), cleaners).alias("sanitized"),
         (F.when(x.contains("+") | x.contains("${"), 0.15).otherwise(0.0)
          + F.when(x.contains("(") & x.contains(")"), 0.1).otherwise(0.0)).alias("gain")))
-    names = F.regexp_extract_all(F.element_at("_lines", F.col("line")), F.lit(NAME), F.lit(1))
-    df = df.withColumn("_about", about).withColumn("_names", names)
-    later = F.slice("_about", F.col("line") + 1, F.greatest(F.size("_about") - F.col("line"), F.lit(0)))
-    df = df.withColumn("_later", F.when(F.col("line") < F.size("_about"), later).otherwise(F.slice("_about", 1, 0)))
-    uses = F.flatten(F.transform("_names", lambda n: F.transform(
-        F.filter("_later", lambda a: a["text"].contains(n)),
-        lambda a: F.struct(a["line"].alias("line"), n.alias("name"),
-                           (a["gain"] - F.when(a["sanitized"], 0.3).otherwise(0.0)).alias("delta"), a["sanitized"].alias("sanitized")))))
-    return df.select("project", "path", F.col("line").alias("source_line"), F.col("category").alias("source_category"),
-                     if_any(uses).alias("uses")).withColumn("first_use", F.array_min(F.transform("uses", lambda u: u["line"])))
+    df = df.select("project", "path", "_marks", if_any(about).alias("_about"))
+
+    def uses(line):
+        names = F.regexp_extract_all(F.element_at("_about", line)["text"], F.lit(NAME), F.lit(1))
+        return F.flatten(F.transform(names, lambda n: F.transform(
+            F.filter("_about", lambda a: (a["line"] > line) & a["text"].contains(n)),
+            lambda a: F.struct(a["line"].alias("line"), n.alias("name"),
+                               (a["gain"] - F.when(a["sanitized"], 0.3).otherwise(0.0)).alias("delta"), a["sanitized"].alias("sanitized")))))
+
+    every = F.transform("_marks", lambda m: F.struct(m["line"].alias("source_line"), m["category"].alias("source_category"), uses(m["line"]).alias("uses")))
+    df = df.select("project", "path", F.explode(F.filter(every, lambda e: F.size(e["uses"]) > 0)).alias("e")).select("project", "path", "e.*")
+    return df.withColumn("first_use", F.array_min(F.transform("uses", lambda u: u["line"])))
 
 
 def taint_paths(files: DataFrame, rules: list[Rule]) -> DataFrame:

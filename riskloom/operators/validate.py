@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskloom import dims
 from riskloom.functions import paths, severity, texts
 from riskloom.functions.severity import round_half_up
-from riskloom.operators.context import with_source_lines
+from riskloom.operators.context import with_source_lines, with_windows
 from riskloom.operators.filters import type_supported
 
 SEARCH_RANGE = 10
@@ -103,11 +103,10 @@ def verify_path(findings: DataFrame, files: DataFrame, sanitizers: dict[str, lis
     within 50 is a false positive.
     """
     sanitizers = SANITIZERS if sanitizers is None else sanitizers
-    df = with_source_lines(findings, files)
-    at = F.greatest(F.col("_line"), F.lit(1))
+    df = with_windows(findings, files, 100)
 
     def near(n):
-        return F.array_join(texts.line_window(F.col("_lines"), at, n, n), "\n")
+        return texts.near_text(F.col("_at"), n, n)
 
     t = F.upper(F.coalesce("vuln_type", F.lit("")))
     group = (F.when(t.contains("SQL"), "sql").when(t.contains("XSS"), "xss").when(t.contains("COMMAND") | t.contains("CMD"), "cmd")
@@ -119,7 +118,7 @@ def verify_path(findings: DataFrame, files: DataFrame, sanitizers: dict[str, lis
             hit = F.col("_near").rlike(p)
             tests.append(F.when(hit if name == "general" else (F.col("_group") == name) & hit, F.lit(p.replace("\\", "").replace("/", ""))))
     found = F.array_distinct(F.array_compact(F.array(*tests))) if tests else F.array().cast("array<string>")
-    known = F.col("_lines").isNotNull()
+    known = F.col("_around").isNotNull()
     df = df.withColumn("sanitizers", F.when(known, found).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("source_found", known & texts.any_match(near(100), SOURCE_MARKS, False)).withColumn(
         "sink_found", known & texts.any_match(near(50), SINK_MARKS, False))
@@ -129,7 +128,7 @@ def verify_path(findings: DataFrame, files: DataFrame, sanitizers: dict[str, lis
     verdict = verdict.when(F.size("sanitizers") > 0, "downgraded").otherwise("confirmed")
     score = round_half_up(reachability_score(findings) * 40 / 3.0 + impact_score() * 35 / 3.0 + complexity_score() * 25 / 3.0)
     return (df.withColumn("verdict", verdict).withColumn("adjusted_severity", F.when(F.col("verdict") == "downgraded", severity.downgrade(F.col("severity"))))
-            .withColumn("overall_score", F.when(known, score).otherwise(0)).drop("_file", "_line", "_lines", "_near", "_group"))
+            .withColumn("overall_score", F.when(known, score).otherwise(0)).drop("_file", "_line", "_at", "_around", "_from", "_near", "_group"))
 
 
 def verify_chain(chain: DataFrame, files: DataFrame) -> DataFrame:

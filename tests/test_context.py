@@ -62,3 +62,34 @@ def test_location_with_line(spark):
     f = spark.createDataFrame([("p", "high", "UserService.java:4", 4, "SQL_INJECTION", 0.9)], FINDING)
     files = spark.createDataFrame([("p", "UserService.java", GUARDED, 0)], FILE)
     assert context.guard_context(f, files).first().confidence == 0.3
+
+
+def test_windows_hold_the_lines_around_and_no_text(spark):
+    text = "\n".join(f"l{i}" for i in range(1, 41))
+    files = spark.createDataFrame([("p", "a.java", text, 0), ("p", "empty.java", "", 0)], FILE)
+    asked = [("a.java", 1), ("a.java", 20), ("a.java", 20), ("a.java", 40), ("a.java", 42), ("a.java", 60), ("a.java", 0), ("empty.java", 1), ("gone.java", 3)]
+    found = spark.createDataFrame([("p", "high", f, n, "XSS", 0.5) for f, n in asked], FINDING)
+    rows = context.with_windows(found, files, 3).collect()
+    assert len(rows) == len(asked) and "_lines" not in rows[0].asDict()
+    got = {(r._file, r._line): r._around for r in rows}
+    whole = text.split("\n")
+    for n in (1, 20, 40, 42, 60):
+        assert got["a.java", n] == whole[max(n - 4, 0):n + 3]
+    assert got["a.java", 0] == whole[:4] and got["empty.java", 1] == [""] and got["gone.java", 3] is None
+
+
+def test_the_scan_carries_lines_characters_and_measures(spark):
+    from pyspark.sql import functions as F
+
+    from riskloom.operators.scan import scan_lines, scan_rules
+    from riskloom.sources.rules import Rule
+
+    text = "\n".join(["x"] * 5 + ["eval(a); eval(b)"] + ["y"] * 2)
+    files = spark.createDataFrame([("p", "a.js", text, 0), ("p", "b.js", "nothing", 0)], FILE)
+    rules = [Rule("R1", r"eval\s*\(")]
+    a, b = scan_rules(files, rules, around=2, span=4, carry={"chars": F.length("content")}).orderBy("offset").collect()
+    assert a._around == b._around == ["x", "x", "eval(a); eval(b)", "y", "y"] and a._from == 4 and a.chars == len(text)
+    assert a._near == "x\nx\neval(a); " and b._near == "a); eval(b)\ny"
+    assert scan_rules(files, [], around=2, span=4, carry={"chars": F.length("content")}).columns == scan_rules(files, rules, around=2, span=4, carry={"chars": F.length("content")}).columns
+    row = scan_lines(files, rules, around=2).first()
+    assert (row._around, row._from, row.line) == (a._around, 4, 6)
