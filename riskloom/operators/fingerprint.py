@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions import paths, texts
+from riskloom.functions.blocks import BLOCK_CHARS, blocks_of
+from riskloom.functions.durable import durable
 from riskloom.functions.ranking import top_n
 
 # Label -> patterns; platform label -> kind.
@@ -66,22 +72,35 @@ def asset_tokens(fingerprints: DataFrame) -> DataFrame:
     return fingerprints.select("project", F.posexplode(F.transform(tokens, F.lower)).alias("ord", "token")).where("token <> ''")
 
 
+def _token_finder(sent):
+    """Rows (asset, token) for the tokens that a lower-cased asset holds."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = ahocorasick.Automaton()
+        for token in sent.value:
+            words.add_word(token, token)
+        words.make_automaton()
+        for b in batches:
+            hits = [sorted({t for _, t in words.iter(low)}) if len(words) else [] for low in b.column(1).to_pylist()]
+            at = [i for i, h in enumerate(hits) for _ in h]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([t for h in hits for t in h], pa.string())],
+                                             names=["asset", "token"])
+
+    return run
+
+
 def match_assets(assets: DataFrame, fingerprints: DataFrame, per_asset: int | None = None, limit: int | None = None,
                  text: str = "asset") -> DataFrame:
     """Asset lines that hold a token of a project, with the tokens hit, in report order; per_asset and limit shorten the report if asked.
 
-    Containment becomes an equi-join: a token can only start where one of its own first three
-    characters does, so assets are cut into three-character pieces, joined to the heads of the distinct
-    tokens, and the few candidates are verified. Shorter tokens meet the one- and two-character pieces.
+    Each distinct asset is read once per block of distinct tokens, by one automaton that finds all tokens of the block in a
+    single pass. Only true hits leave a task; nothing is joined on pieces of text.
     """
-    tokens = asset_tokens(fingerprints)
-    heads = tokens.select("token").distinct().withColumn("_head", F.left("token", F.lit(3)))
-    a = assets.select(F.trim(text).alias("asset")).where("asset <> ''").distinct().withColumn("_low", F.lower("asset"))
-    n = F.length("_low")
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.array(
-        F.substring("_low", i, F.lit(3)), F.substring("_low", i, F.lit(2)), F.substring("_low", i, F.lit(1))))))
-    pieces = a.select("asset", "_low", F.explode(grams).alias("_head"))
-    found = pieces.join(heads, "_head").where(F.contains("_low", "token")).select("asset", "token").distinct()
+    tokens = durable(asset_tokens(fingerprints))
+    a = assets.select(F.trim(text).alias("asset")).where("asset <> ''").distinct().select("asset", F.lower("asset").alias("low"))
+    found = None
+    for block in blocks_of(tokens.select("token").distinct(), "token", BLOCK_CHARS):
+        part = a.mapInArrow(_token_finder(assets.sparkSession.sparkContext.broadcast([t for (t,) in block])), "asset string, token string")
+        found = part if found is None else found.unionByName(part)
     hits = found.join(tokens, "token")
     few = top_n(hits, per_asset, [F.col("ord")], by=["project", "asset"])
     out = few.groupBy("project", "asset").agg(

@@ -11,9 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from riskloom.functions.blocks import BLOCK_CHARS, blocks_of
 from riskloom.functions.ranking import top_n
 
-BLOCK_CHARS = 4_000_000
 TOKENS_KEPT, CANDIDATES_KEPT = 100_000, 100_000
 FIELDS = (("title", 10), ("tags", 5), ("cwe_ids", 8))
 _SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
@@ -64,15 +64,6 @@ class _Matcher:
         return out
 
 
-def _blocks(queries: DataFrame) -> Iterator[list[tuple]]:
-    """(query_id, text) in blocks of about BLOCK_CHARS characters; the driver and each task hold one block at a time."""
-    rows = queries.select("query_id", F.lower("text").alias("q")).where("q IS NOT NULL")
-    total = rows.agg(F.sum(F.length("q"))).first()[0] or 0
-    n = max(1, -(-total // BLOCK_CHARS))
-    for k in range(n):
-        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("q", "query_id"), F.lit(n)) == k).collect()]
-
-
 def _best(rows: list[tuple], k: int) -> list[tuple]:
     """The first k rows (query, points, id) of each query: most points first, then the smallest id."""
     rows.sort(key=lambda r: (r[0], -r[1], r[2] is not None, r[2] if r[2] is not None else 0))
@@ -104,7 +95,7 @@ def retrieve_docs(queries: DataFrame, docs: DataFrame, k: int = 5, category: str
     texts = docs.select("doc_id", F.lower("content").alias("content"), *lists)
     qid, did = (d.schema[c].dataType.simpleString() for d, c in ((queries, "query_id"), (docs, "doc_id")))
     out = None
-    for block in _blocks(queries):
+    for block in blocks_of(queries.select("query_id", F.lower("text").alias("q")).where("q IS NOT NULL"), "q", BLOCK_CHARS):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

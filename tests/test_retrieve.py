@@ -27,3 +27,24 @@ def test_retrieval_equals_brute_force(spark, monkeypatch):
                 scored.append((-points, i))
         want += [(qid, i, -p) for p, i in sorted(scored)[:4]]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_asset_matches_equal_brute_force(spark, monkeypatch):
+    from riskloom.operators import fingerprint
+
+    monkeypatch.setattr(fingerprint, "BLOCK_CHARS", 12)
+    none = []
+    prints = [("p", ["WordPress"], ["React", "S3/Object Storage"], ["/admin"], none), ("q", none, ["React"], none, ["/api", "a"]), ("r", none, none, none, none)]
+    kind = "project string, platforms array<string>, technologies array<string>, admin_paths array<string>, api_paths array<string>"
+    frame = spark.createDataFrame(prints, kind)
+    lines = ["http://x/ADMIN/react", "http://y/wordpress", " http://x/ADMIN/react ", "zzz", "", None, "react-reaction/api"]
+    got = {(r.project, r.asset): r.hit_tokens for r in fingerprint.match_assets(spark.createDataFrame([(x,) for x in lines], "asset string"), frame).collect()}
+    want = {}
+    for project, *lists in prints:
+        tokens = [t.lower() for part in lists for t in part]
+        for line in {x.strip() for x in lines if x and x.strip()}:
+            hits = [t for t in tokens if t in line.lower()]
+            if hits:
+                want[project, line] = hits
+    assert got == want and len(got) > 4
+    assert fingerprint.match_assets(spark.createDataFrame([("x",)], "asset string"), frame.limit(0)).collect() == []
