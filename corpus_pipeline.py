@@ -17,8 +17,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated multi-line chunks; n_chars follows the text."""
-    done = linededup.dedup_lines(docs)
+    """Texts without repeated multi-line chunks and repeated passages of more than 50 words; n_chars follows the text."""
+    done = linededup.dedup_passages(docs)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else done.select(*docs.columns)
 
 

@@ -297,6 +297,52 @@ def test_line_chunks(spark, odd, none):
     assert got[2]["removed_chunks"] == 0 and got[1]["text"] is None and got[None]["removed_chunks"] > 0
 
 
+def test_passages_of_one_to_six_lines_go_in_any_surroundings(spark, odd, none):
+    r = random.Random(4)
+
+    def fresh(n):
+        return " ".join(f"u{r.randrange(10**9)}" for _ in range(n))
+
+    docs, planted = [], []
+    for k in range(1, 7):  # 54 words or more in k lines, blank lines between some of them
+        lines = [fresh(54 // k + 1) + (f"\n" if i % 2 and i < k - 1 else "") for i in range(k)]
+        planted.append("\n".join(lines))
+        for _ in range(3):
+            docs.append("\n".join([fresh(r.randint(1, 9)) for _ in range(r.randint(1, 4))] + [planted[-1]] + [fresh(r.randint(1, 9)) for _ in range(r.randint(1, 4))]))
+    docs.append("\n".join(["short and common", fresh(9)]))
+    docs.append("\n".join(["short and common", fresh(9)]))
+    docs.append("\n".join(["the same line over and over"] * 40))
+    got = {x["doc_id"]: x for x in linededup.dedup_passages(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(docs[:18]):
+        passage = planted[i // 3]
+        assert got[i]["text"] == (text if i % 3 == 0 else text.replace(passage + "\n", "")), i
+        assert got[i]["removed_lines"] == (0 if i % 3 == 0 else passage.count("\n") + 1)
+    assert got[18]["text"] == docs[18] and got[19]["text"] == docs[19]
+    assert 9 <= got[20]["text"].count("\n") + 1 < 40 and set(got[20]["text"].split("\n")) == {"the same line over and over"}
+    rows = linededup.dedup_passages(odd)
+    assert rows.columns == odd.columns + ["removed_lines"] and rows.count() == len(ROWS) and linededup.dedup_passages(none).count() == 0
+    kept = linededup.dedup_passages(spark.createDataFrame([(2, docs[0]), (None, docs[0]), (2, docs[0]), (1, None)], "doc_id long, text string")).collect()
+    assert sorted(((x["doc_id"], x["removed_lines"]) for x in kept), key=str) == [(1, 0), (2, 0), (2, 0), (None, docs[0].count("\n") + 1)]
+
+
+def test_passages_against_brute_force(spark):
+    r = random.Random(6)
+    docs = [[f"w{r.randrange(6)} " * r.randint(0, 4) for _ in range(r.randint(1, 30))] for _ in range(25)]
+    got = {x["doc_id"]: x for x in linededup.dedup_passages(spark.createDataFrame([(i, "\n".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"), over=6).collect()}
+    left = [got[i]["text"].split("\n") for i in range(len(docs))]
+    seen, lines = set(), set()
+    for k, d in enumerate(docs):
+        repeated, last = set(), len(d)
+        for a in range(last):
+            for b in range(a + 1, last + 1):
+                if sum(len(x.split()) for x in d[a:b]) > 6 and tuple(d[a:b]) in seen:
+                    repeated.update(i for i in range(a, b) if d[i].strip())
+        assert sum(1 for x in left[k] if x.strip()) <= sum(1 for i, x in enumerate(d) if x.strip() and i not in repeated)
+        seen |= {tuple(d[a:b]) for a in range(last) for b in range(a + 1, last + 1)}
+        lines |= {x for x in left[k] if x.strip()}
+        assert {x for x in d if x.strip()} <= lines  # nothing is lost
+
+
 # -- 7 ---------------------------------------------------------------------------------------------------------------------
 def test_least_loaded_is_the_plain_schedule():
     r = random.Random(6)
