@@ -45,7 +45,10 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = 4, size: int = 1) -> np.ndarray:
     """`size` words of 64 bits; a bit is one if it is set in over half the hashes. No words at all: zero."""
-    h = shingle_hashes(text, words)
+    return fingerprint_of(shingle_hashes(text, words), size)
+
+
+def fingerprint_of(h: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(size, np.uint64)
     if not len(h):
         return out
@@ -193,19 +196,137 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(whole, cols).select("id", *cols, "component_id")
 
 
-#: Stage settings: five-word shingles and a similarity of 0.8 or more. 0.8 shared shingles turn 15 % of the bits; 48 of 256 is that
-#: plus 1.6 deviations, 12 of the first 64 the candidates' radius.
-NEAR = {"words": 5, "size": 4, "max_bits": 12, "parts": 7, "all_bits": 48}
+#: Stage settings: five-word shingles and a similarity of 0.8 or more. 0.8 shared shingles turn 15 to 19 % of the bits. The bits only
+#: propose: 13 of 64 in any of four words (one run of seven within 1, as at 12), 76 of all 256.
+NEAR = {"words": 5, "similarity": 0.8, "size": 4, "max_bits": 13, "parts": 7, "all_bits": 76}
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def shingle_prints(docs: DataFrame, words: int, size: int) -> DataFrame:
+    """(id, key, n, f0..) for rows (id, t): 64 bits over the whole set of shingles, its size, and the fingerprint of the set (repeats do not count)."""
+    names = ["key", "n"] + [f"f{k}" for k in range(size)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.zeros((b.num_rows, len(names)), np.int64)
+            for r, t in enumerate(b.column(1)):
+                own = shingle_set(t.as_py(), words)
+                rows[r, 0] = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).astype(np.int64)
+                rows[r, 1] = len(own)
+                rows[r, 2:] = fingerprint_of(own, size).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(rows[:, k]) for k in range(len(names))], names=["id"] + names)
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
+
+
+def leaf_pairs(rows: np.ndarray, n: np.ndarray, label: np.ndarray, word: int, max_bits: int, all_bits: int, similarity: float, few: bool) -> np.ndarray:
+    """(i, j) of rows, ordered by `n`, whose sizes allow the similarity, whose `word` is within `max_bits`, all words within `all_bits`,
+    and whose labels differ. `few`: for each i only the nearest j and the last, enough to join most of a family."""
+    found, i = [np.empty((0, 2), np.int64)], 0
+    own = np.ascontiguousarray(rows[:, word])
+    last = np.searchsorted(n, n / similarity + 1e-9, "right")
+    while i < len(rows):
+        step = max(1, min(len(rows) - i, (1 << 19) // max(1, int(last[i]) - i)))
+        end = int(last[i + step - 1])
+        a, b = np.nonzero(np.bitwise_count(own[i:i + step, None] ^ own[None, i:end]) <= max_bits)
+        a, b = a + i, b + i
+        good = (b > a) & (b < last[a]) & (label[a] != label[b])
+        a, b = a[good], b[good]
+        bits = np.bitwise_count(rows[a] ^ rows[b]).sum(1, dtype=np.int64)
+        a, b, bits = a[bits <= all_bits], b[bits <= all_bits], bits[bits <= all_bits]
+        if few and len(a):
+            order = np.lexsort((bits, a))
+            nearest = order[np.unique(a[order], return_index=True)[1]]
+            final = len(a) - 1 - np.unique(a[::-1], return_index=True)[1]
+            pick = np.union1d(nearest, final)
+            a, b = a[pick], b[pick]
+        found.append(np.stack((a, b), 1))
+        i += step
+    return np.concatenate(found)
+
+
+def propose(nodes: DataFrame, cols: list[str], word: int, max_bits: int, parts: int, all_bits: int, similarity: float, few: bool,
+            sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """Pairs (a, b) of keys from one forest over word `word` of nodes (key, n, label, cols); a pair may come from several leaves."""
+    count = nodes.count()
+    part = min(1_000_000, int(1_000_000 * sample_rows / max(1, count)))
+    sample = nodes.select(cols[word]).where(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) < part).collect()  # about sample_rows hashes
+    forest = Forest(np.array([r[0] for r in sample], np.int64).view(np.uint64), count / max(1, len(sample)), max_bits, parts, leaf_rows)
+    held = ["key", "n", "label", *cols]
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leaf, at = forest.route(b.column(3 + word).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf)] + [c.take(pa.array(at)) for c in b.columns], names=["leaf"] + held)
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", "key"], kind="stable")
+        key = pdf["key"].to_numpy()
+        at = leaf_pairs(np.ascontiguousarray(pdf[cols].to_numpy(np.int64)).view(np.uint64), pdf["n"].to_numpy(), pdf["label"].to_numpy(), word, max_bits, all_bits, similarity, few)
+        return pd.DataFrame({"a": np.minimum(key[at[:, 0]], key[at[:, 1]]), "b": np.maximum(key[at[:, 0]], key[at[:, 1]])})
+
+    routed = nodes.select(*held).mapInArrow(visits, "leaf int, " + ", ".join(f"{c} long" for c in held))
+    return routed.groupBy("leaf").applyInPandas(pairs, "a long, b long")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, owners: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have that Jaccard similarity or more. texts(id, t), owners(key, first_id)."""
+    needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(owners.select("key", F.col("first_id").alias("id")), "key")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], names=["key", "s"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    whole = durable(texts.join(needed, "id").select("key", "t").dropDuplicates(["key"]).mapInArrow(sets, "key long, s binary"))
+    met = pairs.join(whole.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(whole.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
+    return durable(met.select("a", "b", "x", "y").mapInArrow(meet, "a long, b long"))
+
+
+def similar_components(docs: DataFrame, words: int, similarity: float, size: int, max_bits: int, parts: int, all_bits: int) -> DataFrame:
+    """(id, component_id) for rows (id, t): components over all proposed pairs whose shingle sets have the similarity.
+
+    A first round proposes few links per row and joins families of near copies; the second proposes every pair not yet in one component.
+    """
+    cols = [f"f{k}" for k in range(size)]
+    prints = durable(shingle_prints(docs, words, size))
+    owners = durable(prints.groupBy("key", "n", *cols).agg(F.min("id").alias("first_id")))
+    alone = owners.withColumn("label", F.col("key"))
+    pairs = durable(propose(alone, cols, 0, max_bits, parts, all_bits, similarity, True).distinct())
+    links = similar(pairs, docs, owners, words, similarity)
+    classes = connected_components(links, "a", "b").select(F.col("node").alias("key"), F.col("root"))
+    nodes = durable(owners.join(classes, "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root"))
+    rest = None
+    for k in range(size):
+        more = propose(nodes, cols, k, max_bits, parts, all_bits, similarity, False)
+        rest = more if rest is None else rest.unionByName(more)
+    links = links.unionByName(similar(durable(rest.distinct()), docs, owners, words, similarity))
+    classes = connected_components(links, "a", "b").select(F.col("node").alias("key"), F.col("root"))
+    named = durable(owners.select("key", "first_id").join(classes, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return prints.select("id", "key").join(named.select("key", "root").join(smallest, "root"), "key").select("id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of `docs` (all their columns) that stand first in their component, one for each component.
 
-    First is the smallest (id, text hash), null ids last. Rows that repeat both count as copies too: one of them stays. Only ids
-    and hashes go through the search; texts are read twice and shuffled once, to meet the keys that stay.
+    Rows link where their sets of five-word shingles have a Jaccard similarity of 0.8 or more; fingerprints only propose pairs.
+    First is the smallest (id, text hash), null ids last. Rows that repeat both count as copies too: one of them stays. Only ids,
+    hashes and the shingles of proposed pairs go through the search.
     """
     key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))
-    found = near_duplicates(docs.select(key.alias("k"), F.col(text_col).alias("t")), "k", "t", **{**NEAR, **settings})
+    found = similar_components(docs.select(key.alias("id"), F.col(text_col).alias("t")), **{**NEAR, **settings})
     best = found.groupBy("component_id").agg(F.sum((F.col("id") == F.col("component_id")).cast("long")).alias("__rows"))
     best = durable(best.select(F.to_json("component_id", {"ignoreNullFields": "false"}).alias("__key"), "__rows"))
     met = docs.withColumn("__key", F.to_json(key, {"ignoreNullFields": "false"})).join(best, "__key")

@@ -118,6 +118,34 @@ def test_simhash_odd_rows(odd, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def jaccard_texts(seed, sizes, copies):
+    """Texts of one size each with copies in bands around 0.8, and two texts alike in the bits of a repeated shingle only."""
+    r = random.Random(seed)
+    out = []
+    for n in sizes:
+        base = [f"v{r.randrange(10**6)}" for _ in range(n)]
+        for k in range(copies):
+            w = base.copy()
+            cut = max(1, round(n * r.uniform(0.02, 0.5)))
+            w[-cut:] = [f"v{r.randrange(10**6)}" for _ in range(r.randint(0, cut))]
+            out.append(" ".join(w))
+    return out + ["same word again and " * 60 + " ".join(f"{c}{i}" for i in range(90)) for c in "pq"]
+
+
+def test_near_copies_by_exact_similarity(spark):
+    texts = jaccard_texts(11, [12, 20, 30, 45, 80, 150, 300] * 6, 6)
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    pairs = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i) if sets[i] & sets[j]}
+    bands = [sum(lo <= v < hi for v in pairs.values()) for lo, hi in ((0.6, 0.7), (0.7, 0.75), (0.75, 0.8), (0.8, 0.85), (0.85, 1.01))]
+    assert min(bands) > 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {x["id"]: x["component_id"] for x in simhash.similar_components(docs, **simhash.NEAR).collect()}
+    want = roots(len(texts), [p for p, v in pairs.items() if v >= 0.8])
+    lost = [(v, len(sets[i])) for (i, j), v in pairs.items() if v >= 0.8 and got[i] != got[j]]
+    assert not lost, lost
+    assert [got[i] for i in range(len(texts))] == want  # nothing else is joined
+
+
 def test_keep_one_takes_similar_texts_and_leaves_others(spark):
     r = random.Random(9)
     words = [f"t{r.randrange(400)}" for _ in range(300)]
