@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -222,23 +223,20 @@ def shingle_prints(docs: DataFrame, words: int, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
 
 
-def leaf_pairs(rows: np.ndarray, n: np.ndarray, label: np.ndarray, word: int, max_bits: int, all_bits: int, similarity: float, few: bool) -> np.ndarray:
-    """(i, j) of rows, ordered by `n`, whose sizes allow the similarity, whose `word` is within `max_bits`, all words within `all_bits`,
-    and whose labels differ. `few`: for each i only the nearest j and the last, enough to join most of a family."""
+def leaf_pairs(own: np.ndarray, n: np.ndarray, label: np.ndarray, max_bits: int, similarity: float, few: bool) -> np.ndarray:
+    """(i, j) of rows, ordered by `n`, whose sizes allow the similarity, whose words are within `max_bits`, and whose labels differ.
+    `few`: for each i only the nearest j and the last, enough to join most of a family."""
     found, i = [np.empty((0, 2), np.int64)], 0
-    own = np.ascontiguousarray(rows[:, word])
     last = np.searchsorted(n, n / similarity + 1e-9, "right")
-    while i < len(rows):
-        step = max(1, min(len(rows) - i, (1 << 19) // max(1, int(last[i]) - i)))
+    while i < len(own):
+        step = max(1, min(len(own) - i, (1 << 17) // max(1, int(last[i]) - i)))
         end = int(last[i + step - 1])
         a, b = np.nonzero(np.bitwise_count(own[i:i + step, None] ^ own[None, i:end]) <= max_bits)
         a, b = a + i, b + i
         good = (b > a) & (b < last[a]) & (label[a] != label[b])
         a, b = a[good], b[good]
-        bits = np.bitwise_count(rows[a] ^ rows[b]).sum(1, dtype=np.int64)
-        a, b, bits = a[bits <= all_bits], b[bits <= all_bits], bits[bits <= all_bits]
         if few and len(a):
-            order = np.lexsort((bits, a))
+            order = np.lexsort((np.bitwise_count(own[a] ^ own[b]), a))
             nearest = order[np.unique(a[order], return_index=True)[1]]
             final = len(a) - 1 - np.unique(a[::-1], return_index=True)[1]
             pick = np.union1d(nearest, final)
@@ -250,26 +248,36 @@ def leaf_pairs(rows: np.ndarray, n: np.ndarray, label: np.ndarray, word: int, ma
 
 def propose(nodes: DataFrame, cols: list[str], word: int, max_bits: int, parts: int, all_bits: int, similarity: float, few: bool,
             sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """Pairs (a, b) of keys from one forest over word `word` of nodes (key, n, label, cols); a pair may come from several leaves."""
+    """Pairs (a, b) of keys from one forest over word `word` of nodes (key, n, label, cols). A visit carries that word only; the other
+    words are asked of the pairs. A null label is the key."""
     count = nodes.count()
     part = min(1_000_000, int(1_000_000 * sample_rows / max(1, count)))
     sample = nodes.select(cols[word]).where(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) < part).collect()  # about sample_rows hashes
     forest = Forest(np.array([r[0] for r in sample], np.int64).view(np.uint64), count / max(1, len(sample)), max_bits, parts, leaf_rows)
-    held = ["key", "n", "label", *cols]
+    held = ["key", "n", "label", cols[word]]
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            leaf, at = forest.route(b.column(3 + word).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf)] + [c.take(pa.array(at)) for c in b.columns], names=["leaf"] + held)
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "key"], kind="stable")
-        key = pdf["key"].to_numpy()
-        at = leaf_pairs(np.ascontiguousarray(pdf[cols].to_numpy(np.int64)).view(np.uint64), pdf["n"].to_numpy(), pdf["label"].to_numpy(), word, max_bits, all_bits, similarity, few)
-        return pd.DataFrame({"a": np.minimum(key[at[:, 0]], key[at[:, 1]]), "b": np.maximum(key[at[:, 0]], key[at[:, 1]])})
-
-    routed = nodes.select(*held).mapInArrow(visits, "leaf int, " + ", ".join(f"{c} long" for c in held))
-    return routed.groupBy("leaf").applyInPandas(pairs, "a long, b long")
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                b = whole.slice(start, 1024)
+                leaf, at = forest.route(b.column(3).to_numpy().view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf)] + [c.take(pa.array(at)) for c in b.columns], names=["leaf"] + held)
+
+    def pairs(t: pa.Table) -> pa.Table:
+        key, n = t["key"].to_numpy(), t["n"].to_numpy()
+        order = np.lexsort((key, n))
+        key, n, own = key[order], n[order], t[cols[word]].to_numpy()[order].view(np.uint64)
+        label = pc.coalesce(t["label"], t["key"]).to_numpy()[order]
+        at = leaf_pairs(own, n, label, max_bits, similarity, few)
+        return pa.table({"a": np.minimum(key[at[:, 0]], key[at[:, 1]]), "b": np.maximum(key[at[:, 0]], key[at[:, 1]])})
+
+    label = F.when(F.col("label") != F.col("key"), F.col("label")).alias("label")
+    routed = nodes.select("key", "n", label, cols[word]).mapInArrow(visits, "leaf int, " + ", ".join(f"{c} long" for c in held))
+    found = routed.groupBy("leaf").applyInArrow(pairs, "a long, b long").distinct()
+    for end in "ab":
+        found = found.join(nodes.select(F.col("key").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in cols]), end)
+    turned = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in cols[1:]), F.bit_count(F.col(f"a_{cols[0]}").bitwiseXOR(F.col(f"b_{cols[0]}"))))
+    return found.where(turned <= all_bits).select("a", "b")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, owners: DataFrame, words: int, similarity: float) -> DataFrame:
