@@ -40,6 +40,10 @@ disqus respond reply replies footer masthead copyright login search toolbar skip
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 MAIN_NAMES = frozenset("article-body articlebody article-content article-text entry-content post-content post-body story-body main-content page-content".split())
 
+#: A name with one of these tells about the page or a wrapper: no-sidebar, content-sidebar-wrap, cookie-banner-shown.
+ABOUT = frozenset("no not has have with without is wrap wrapper layout container page shown hidden open closed enabled disabled fixed".split())
+HARD, FIRM, SOFT = 1, 2, 3  # noise for sure; by its name; by a name that only tells about a wrapper, or a form
+
 TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 WORD = re.compile(r"[^\W\d_]+")
@@ -47,30 +51,75 @@ WORD = re.compile(r"[^\W\d_]+")
 LINK_DENSE, SHORT, LONG, STOPS_LOW, STOPS_HIGH = 0.34, 70, 200, 0.10, 0.18
 
 
-def _kind(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
-    """(is noise, is the main container) of an opening tag."""
+def _kind(tag: str, attributes: str, in_main: bool) -> tuple[int, bool]:
+    """(0 or the kind of noise, is the main container) of an opening tag."""
     found = {m[1].lower(): next((v for v in m.groups()[1:] if v is not None), "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip(" /") else {}
     role = found.get("role", "").lower()
-    noise = tag in DROPPED or role in NOISE_ROLES or (tag == "header" and not in_main)
+    noise = (tag in DROPPED and tag != "form") or role in NOISE_ROLES or (tag == "header" and not in_main)
+    named = SOFT if tag == "form" else 4
     names = (found.get("class", "") + " " + found.get("id", "")).lower().split()
     if tag not in ("html", "body", "article", "main"):
-        words = [w for n in names for w in re.split(r"[-_]+", n)]
-        noise = noise or any(w in NOISE_WORDS for w in words) or ("header" in words and not in_main)
+        for n in names:
+            words = [w for w in re.split(r"[-_]+", n) if w]
+            if any(w in NOISE_WORDS for w in words) or ("header" in words and not in_main):
+                named = min(named, SOFT if len(words) > 1 and not ABOUT.isdisjoint(words) else FIRM)
     noise = noise or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
-    return noise, tag in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody" or any(n in MAIN_NAMES for n in names)
+    main = tag in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody" or any(n in MAIN_NAMES for n in names)
+    if noise or (named == FIRM and tag not in BLOCK):
+        return HARD, main
+    return (named if named < 4 and tag in BLOCK and not (main and named == SOFT) else 0), main
 
 
 class Block:
-    __slots__ = ("text", "linked", "heading", "main", "label")
+    __slots__ = ("text", "linked", "heading", "main", "label", "under")
+
+    def __init__(self, text: str, linked: int, heading: bool, main: bool, under: tuple):
+        self.text, self.linked, self.heading, self.main, self.label, self.under = text, linked, heading, main, "", under
+
+
+class Named:
+    """An element that is noise by its name, unless it holds the page's own text."""
+
+    __slots__ = ("kind", "depth", "text")
+
+    def __init__(self, kind: int, depth: int):
+        self.kind, self.depth, self.text = kind, depth, 0
 
-    def __init__(self, text: str, linked: int, heading: bool, main: bool):
-        self.text, self.linked, self.heading, self.main, self.label = text, linked, heading, main, ""
+
+def _stops(text: str) -> float:
+    words = [w.lower() for w in WORD.findall(text)]
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def _listed(found: list[Block]) -> bool:
+    """Whether one of the listed languages fits the page's longer blocks; without any, it counts as fitting."""
+    long = " ".join(b.text for b in found if len(b.text) >= SHORT and b.linked <= LINK_DENSE * len(b.text))
+    return not long or _stops(long) >= STOPS_LOW
+
+
+def _spare(found: list[Block], mains: list[tuple], elements: list[Named]) -> list[Block]:
+    """The blocks outside noise. A named element is spared if it holds the only article or main elements and half
+    of the page's dense text, or most of the page's dense text."""
+    listed, total, left = _listed(found), 0, set(elements)
+    for b in found:
+        if len(b.text) >= SHORT and b.linked <= LINK_DENSE * len(b.text) and (not listed or _stops(b.text) >= STOPS_LOW):
+            total += len(b.text)
+            for e in b.under:
+                e.text += len(b.text)
+    for e in sorted(elements, key=lambda e: (e.depth, -e.text)):  # outermost first
+        alone = 2 * e.text >= total and any(e in m for m in mains) and not any(left.isdisjoint(m) for m in mains)
+        if alone or (e.text > 0.5 * total if e.kind == SOFT else e.text > 0.9 * total and e.text >= 1_000):
+            left.discard(e)
+    return [b for b in found if left.isdisjoint(b.under)]
 
 
 def blocks(html: str) -> list[Block]:
     """Blocks of the page in order, without those inside noise. White space is one space, references are decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, noise, main container
+    stack: list[tuple[str, bool, bool]] = []  # tag, noise for sure, main container
+    under: list[tuple[int, Named]] = []  # open named elements and their place on the stack
+    elements: list[Named] = []
+    mains: list[tuple] = []  # the named elements around each main container
     parts: list[str] = []
     linked, breaks, noise, main, links = 0, 0, 0, 0, 0
 
@@ -79,7 +128,7 @@ def blocks(html: str) -> list[Block]:
         text = " ".join("".join(parts).split())
         if text:
             heading = any(len(t) == 2 and t[0] == "h" and t[1] in "123456" for t, _, _ in stack)
-            out.append(Block(text, min(linked, len(text)), heading, main > 0))
+            out.append(Block(text, min(linked, len(text)), heading, main > 0, tuple(e for _, e in under)))
         parts, linked, breaks = [], 0, 0
 
     def pop(depth: int) -> None:
@@ -87,6 +136,8 @@ def blocks(html: str) -> list[Block]:
         while len(stack) > depth:
             t, n, m = stack.pop()
             noise, main, links = noise - n, main - m, links - (t == "a")
+        while under and under[-1][0] >= depth:
+            under.pop()
 
     def close(names: tuple[str, ...], stop: tuple[str, ...]) -> None:
         for d in range(len(stack) - 1, -1, -1):
@@ -143,10 +194,16 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag == "a":
             close(("a",), tuple(BLOCK))
-        stack.append((tag, bad, container and not noise and not bad))
-        noise, main, links = noise + bad, main + stack[-1][2], links + (tag == "a")
+        hard = bad == HARD
+        if bad and not hard and not noise:
+            elements.append(Named(bad, len(stack)))
+            under.append((len(stack), elements[-1]))
+        stack.append((tag, hard, container and not noise and not bad))
+        if stack[-1][2]:
+            mains.append(tuple(e for _, e in under))
+        noise, main, links = noise + hard, main + stack[-1][2], links + (tag == "a")
     flush()
-    return out
+    return _spare(out, mains, elements) if elements else out
 
 
 def judge(found: list[Block]) -> None:

@@ -491,6 +491,17 @@ def test_html_broken_pages(html):
     assert isinstance(html_text.main_text(html), str)
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "no-sidebar", "has-sidebar", "with-menu", "page-header-fixed", "cookie-banner-shown", "sidebar"])
+def test_html_wrappers_with_noise_names(name):
+    good = "This is the text of the page and it has a lot of the words that are in all of the texts. " * 4
+    inner = f"<p>{good}</p><div class='comments'><article><p>I like it</p></article></div><div class='ad'>Buy this</div>"
+    assert html_text.main_text(f"<body><div class='{name}'><article><p>{good}</p></article>{inner[inner.index('<div'):]}</div></body>") == good.strip()
+    if name != "sidebar":
+        assert html_text.main_text(f"<body><div class='{name}'>{inner}</div></body>") == good.strip()
+    assert html_text.main_text(f"<body><form>{inner}</form></body>") == good.strip()
+    assert html_text.main_text(f"<body><p>{good}</p><div class='{name}'><p>Some of the other things are in here.</p></div></body>") == good.strip()
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit(5))
     got = html_text.extract_text(pages)
