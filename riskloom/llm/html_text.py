@@ -207,42 +207,50 @@ def blocks(html: str) -> list[Block]:
 
 
 def judge(found: list[Block]) -> None:
-    """First pass labels good, bad, near or short; the second pass leaves good and bad only."""
-    contained = any(b.main for b in found)
+    """First pass labels good, bad, near or short; the second pass leaves good and bad only. Where the page has an article or main
+    element, standing in it is one more feature: it helps a block that is not decided, and only blocks outside it speak for those outside."""
+    contained, listed = any(b.main for b in found), _listed(found)
     for b in found:
         n, density = len(b.text), b.linked / len(b.text)
-        if contained:  # the article's own blocks stay, save lists of links
-            b.label = "bad" if not b.main or density > 0.8 and n < LONG else "good"
-            continue
-        words = [w.lower() for w in WORD.findall(b.text)]
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if density > LINK_DENSE or "©" in b.text[:40]:
+        stops = _stops(b.text) if listed else STOPS_HIGH  # no listed language fits: length and links decide
+        if density > LINK_DENSE and not (b.main and (density <= 0.8 or n >= LONG)) or "©" in b.text[:40]:
             b.label = "bad"
         elif n < SHORT:
-            b.label = "bad" if b.linked else "short"
+            b.label = "bad" if b.linked and not b.main else "short"
         elif stops >= STOPS_HIGH:
-            b.label = "good" if n >= LONG else "near"
+            b.label = "good" if n >= LONG or b.main else "near"
         else:
-            b.label = "near" if stops >= STOPS_LOW else "bad"
-    decided = [i for i, b in enumerate(found) if b.label in ("good", "bad")]
-    if not decided and any(b.label == "near" for b in found):
+            b.label = "near" if stops >= STOPS_LOW or b.main else "bad"
+    if not any(b.label in ("good", "bad") for b in found):
         for b in found:
             b.label = "good" if b.label == "near" else b.label
-        decided = [i for i, b in enumerate(found) if b.label == "good"]
-    labels, k = [b.label for b in found], 0
+    if contained:
+        _neighbours([b for b in found if b.main], "good", False)
+        _neighbours([b for b in found if not b.main], "bad", True)
+    else:
+        _neighbours(found, "bad", False)
+
+
+def _neighbours(found: list[Block], edge: str, outside: bool) -> None:
+    """Second pass over blocks on one side of the container; `edge` is what stands before the first and after the last.
+    `outside` a container a short block needs good text on both sides, or after a heading."""
+    decided, k = [i for i, b in enumerate(found) if b.label in ("good", "bad")], 0
+    labels = [b.label for b in found]
     for i, b in enumerate(found):
         while k < len(decided) and decided[k] < i:
             k += 1
         if labels[i] not in ("near", "short"):
             continue
-        before = labels[decided[k - 1]] if k else "bad"
-        after = labels[decided[k]] if k < len(decided) else "bad"
+        before = labels[decided[k - 1]] if k else edge
+        after = labels[decided[k]] if k < len(decided) else edge
         if labels[i] == "near":
             b.label = "good" if "good" in (before, after) else "bad"
         elif before == after:
             b.label = before
         elif b.heading:
             b.label = after
+        elif outside:
+            b.label = "bad"
         else:  # the nearer of the two decides
             left = i - decided[k - 1] if k else len(found)
             right = decided[k] - i if k < len(decided) else len(found)

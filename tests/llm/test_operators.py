@@ -502,6 +502,20 @@ def test_html_wrappers_with_noise_names(name):
     assert html_text.main_text(f"<body><p>{good}</p><div class='{name}'><p>Some of the other things are in here.</p></div></body>") == good.strip()
 
 
+def test_html_container_is_one_feature_of_the_rules():
+    good = "This is the text of the page and it has a lot of the words that are in all of the texts. " * 4
+    cards = "".join(f"<article><a href=/{i}>Teaser number {i}</a></article>" for i in range(3))
+    assert html_text.main_text(f"<body><div><p>{good}</p></div>{cards}<div>Imprint</div></body>") == good.strip()
+    assert html_text.main_text(f"<main><h1>Title</h1><p>{good}</p><p>© 2020 Some company</p></main><p>{good}</p><div>Imprint</div>") == "\n".join(["Title", good.strip(), good.strip()])
+
+
+@pytest.mark.parametrize("good", ["Это обычный текст страницы на языке, которого нет в списке служебных слов, и он достаточно длинный. " * 4,
+                                  "De kat zat gisteren rustig naast onze oude keukentafel terwijl buiten harde regen viel. " * 4, "这是一个没有列出的语言的网页正文,它应该被完整地保留下来。" * 12])
+def test_html_other_languages_without_container(good):
+    html = f"<body><div><a href=1>Раз</a> <a href=2>Два</a> <a href=3>Три</a></div><p>{good}</p><p>{good}</p><div>© 2020 {good}</div></body>"
+    assert html_text.main_text(html) == "\n".join([good.strip(), good.strip()])
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit(5))
     got = html_text.extract_text(pages)
