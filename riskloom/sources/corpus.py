@@ -14,17 +14,18 @@ IGNORED_DIRECTORIES = [".git", "node_modules", "dist", "build", ".next", ".nuxt"
 MAX_BYTES = 250_000
 
 
-def read_corpus(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, extensions: list[str] | None = None,
+def read_corpus(spark: SparkSession, root: str, max_bytes: int | None = None, extensions: list[str] | None = None,
                 ignore: list[str] | None = None, project_depth: int = 1) -> DataFrame:
     """files(project, path, content, size, modified) below a directory or object-store prefix.
 
-    The size limit is pushed to the file listing, so larger files are never opened. The first
+    Files of any size, or of at most `max_bytes`; that limit is pushed to the file listing, so larger files are never opened. The first
     `project_depth` segments below the root name the project.
     """
     exts = extensions or CODE_EXTENSIONS
     skipped = IGNORED_DIRECTORIES if ignore is None else ignore
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-           .where(F.col("length") <= max_bytes))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if max_bytes is not None:
+        raw = raw.where(F.col("length") <= max_bytes)
     base = root.rstrip("/")
     base = base.split("://", 1)[1] if "://" in base else base
     relative = F.ltrim(F.substring_index(F.col("path"), base, -1), F.lit("/"))
@@ -41,7 +42,7 @@ def read_corpus(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, exte
 
 
 def oversized(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """What `read_corpus` left out for its size; only the listing is read."""
+    """What `read_corpus` leaves out under that size limit; only the listing is read."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
             .where(F.col("length") > max_bytes).select("path", F.col("length").alias("size")))
 

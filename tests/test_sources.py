@@ -44,3 +44,9 @@ def test_second_run_scans_only_changes(spark):
     new = spark.createDataFrame([("p", "a", "1"), ("p", "b", "3"), ("p", "c", "4")], cols)
     assert sorted(r.path for r in history.changed_files(new, history.snapshot(old)).collect()) == ["b", "c"]
     assert history.project_hash(new).select(F.length("hash")).first()[0] == 32
+
+
+def test_read_corpus_keeps_large_files_by_default(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "large.py").write_text("x = 1\n" * 100_000)
+    assert [(r.path, r.size, len(r.content)) for r in corpus.read_corpus(spark, str(tmp_path)).collect()] == [("large.py", 600_000, 600_000)]
