@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.durable import durable
-from riskloom.llm import bpe, bradley_terry, brown, chat, decontaminate, hnsw, html_text, linededup, periodic, prefix_trie, sharding, simhash
+from riskloom.llm import bpe, bradley_terry, brown, chat, decontaminate, hnsw, html_text, linededup, periodic, pii, prefix_trie, sharding, simhash
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 SHARDS = 24
@@ -192,9 +192,20 @@ SELECT documents.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(bes
 FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data of every text; the counts and base_sha256 are those of the base rules, `spans` has all."""
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    names = F.array(*map(F.lit, pii.KINDS))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat(names[s["ord"]], F.lit(":"), s["start"], F.lit(":"), s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    of = F.transform(base, lambda s: s["ord"])
+    counts = [F.size(F.filter(of, lambda o: o == F.lit(n))).cast("long").alias(f"n_{k}") for n, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_simhash": simhash_components, "op2_hnsw": hnsw_neighbours, "op3_decontaminate": benchmark_hits, "op4_chat_prefixes": chat_examples, "op5_byte_bpe": bpe_round_trip,
     "op6_line_chunks": line_chunks, "op7_lpt_shards": balanced_shards, "op8_brown": brown_scores, "op9_html_text": page_texts, "op10_bradley_terry": quality_scores,
-    "op11_prefix_trie": conversation_trie, "op12_periodic_runs": periodic_texts,
+    "op11_prefix_trie": conversation_trie, "op12_periodic_runs": periodic_texts, "op13_personal_data": personal_data,
 }
 ORACLES = {"op4_chat_prefixes": CHAT_SQL, "op6_line_chunks": LINES_SQL, "op11_prefix_trie": TRIE_SQL, "op12_periodic_runs": PERIODIC_SQL}
