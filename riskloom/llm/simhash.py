@@ -223,17 +223,29 @@ def shingle_prints(docs: DataFrame, words: int, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
 
 
-def leaf_pairs(own: np.ndarray, n: np.ndarray, label: np.ndarray, max_bits: int, similarity: float, few: bool) -> np.ndarray:
-    """(i, j) of rows, ordered by `n`, whose sizes allow the similarity, whose words are within `max_bits`, and whose labels differ.
-    `few`: for each i only the nearest j and the last, enough to join most of a family."""
-    found, i = [np.empty((0, 2), np.int64)], 0
+def size_band(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Sets whose sizes allow the similarity are in one band or in neighbouring ones; empty sets have a band of their own."""
+    return np.where(n > 0, np.floor(np.log(np.maximum(n, 1)) / -np.log(similarity) + 1e-9), -2).astype(np.int64)
+
+
+GUEST, SECOND = 1, 2
+
+
+def leaf_pairs(own: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, max_bits: int, similarity: float, few: bool) -> Iterator[np.ndarray]:
+    """(i, j) of rows, ordered by `n`, whose sizes allow the similarity, whose words are within `max_bits`, and whose labels differ; in slices.
+
+    `side` has GUEST for rows of the band below, which do not meet each other here, and SECOND for rows of the second of two blocks; then
+    only pairs between the blocks count. `few`: for each i only the nearest j and the last, enough to join most of a family."""
+    i, cross = 0, bool((side & SECOND).any())
     last = np.searchsorted(n, n / similarity + 1e-9, "right")
     while i < len(own):
-        step = max(1, min(len(own) - i, (1 << 17) // max(1, int(last[i]) - i)))
+        step = max(1, min(len(own) - i, (1 << 18) // max(1, int(last[i]) - i)))
         end = int(last[i + step - 1])
         a, b = np.nonzero(np.bitwise_count(own[i:i + step, None] ^ own[None, i:end]) <= max_bits)
         a, b = a + i, b + i
-        good = (b > a) & (b < last[a]) & (label[a] != label[b])
+        good = (b > a) & (b < last[a]) & (label[a] != label[b]) & ((side[a] & side[b] & GUEST) == 0)
+        if cross:
+            good &= (side[a] ^ side[b]) & SECOND > 0
         a, b = a[good], b[good]
         if few and len(a):
             order = np.lexsort((np.bitwise_count(own[a] ^ own[b]), a))
@@ -241,39 +253,80 @@ def leaf_pairs(own: np.ndarray, n: np.ndarray, label: np.ndarray, max_bits: int,
             final = len(a) - 1 - np.unique(a[::-1], return_index=True)[1]
             pick = np.union1d(nearest, final)
             a, b = a[pick], b[pick]
-        found.append(np.stack((a, b), 1))
+        if len(a):
+            yield np.stack((a, b), 1)
         i += step
-    return np.concatenate(found)
+
+
+class Groups:
+    """The groups that rows visit: (leaf, size band), and pairs of blocks of those that the sample says hold more than `block_rows` rows."""
+
+    def __init__(self, forest: Forest, words: np.ndarray, n: np.ndarray, scale: float, similarity: float, block_rows: int):
+        self.forest, self.similarity = forest, similarity
+        code, _, _ = self._codes(words, n)
+        codes, counts = np.unique(code, return_counts=True)
+        blocks = np.ceil(counts * scale / block_rows).astype(np.int64)
+        self.hot, self.blocks = codes[blocks > 1], blocks[blocks > 1]
+
+    def _codes(self, words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaf and band as one number, place, side) of every visit: each row goes to its own band and to the next one as a guest."""
+        leaf, at = self.forest.route(words)
+        band = size_band(n, self.similarity)[at] + 2
+        code = leaf.astype(np.int64) * 1024 + band
+        return np.concatenate((code, code + 1)), np.concatenate((at, at)), np.concatenate((np.zeros(len(at), np.int8), np.full(len(at), GUEST, np.int8)))
+
+    def visits(self, words: np.ndarray, n: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(group, place, side) of every visit. In a group of k blocks a row of block i meets every block: k visits."""
+        code, at, side = self._codes(words, n)
+        k = np.ones(len(code), np.int64)
+        if len(self.hot):
+            where = np.minimum(np.searchsorted(self.hot, code), len(self.hot) - 1)
+            k = np.where(self.hot[where] == code, self.blocks[where], 1)
+        block = ((key[at].view(np.uint64) * np.uint64(_MIX[0])) >> np.uint64(33)).astype(np.int64) % k
+        other = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        code, at, side, block = (np.repeat(x, k) for x in (code, at, side, block))
+        low, high = np.minimum(block, other), np.maximum(block, other)
+        return (code << 24) + low * 4096 + high, at, side + np.where((block == high) & (low < high), SECOND, 0).astype(np.int8)
 
 
 def propose(nodes: DataFrame, cols: list[str], word: int, max_bits: int, parts: int, all_bits: int, similarity: float, few: bool,
-            sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+            sample_rows: int = SAMPLE_ROWS, leaf_rows: int = 4 * LEAF_ROWS, block_rows: int = LEAF_ROWS) -> DataFrame:
     """Pairs (a, b) of keys from one forest over word `word` of nodes (key, n, label, cols). A visit carries that word only; the other
-    words are asked of the pairs. A null label is the key."""
+    words are asked of the pairs. A null label is the key.
+
+    A leaf is cut by size bands (no pair is lost: sizes of similar sets differ by at most one band) and what is still large into blocks
+    that meet two by two, so a group holds about 2 x `block_rows` rows at any size of table, and pairs leave it slice by slice."""
     count = nodes.count()
     part = min(1_000_000, int(1_000_000 * sample_rows / max(1, count)))
-    sample = nodes.select(cols[word]).where(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) < part).collect()  # about sample_rows hashes
-    forest = Forest(np.array([r[0] for r in sample], np.int64).view(np.uint64), count / max(1, len(sample)), max_bits, parts, leaf_rows)
+    sample = nodes.where(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) < part).select(cols[word], "n").collect()  # about sample_rows hashes
+    words = np.array([r[0] for r in sample], np.int64).view(np.uint64)
+    scale = count / max(1, len(sample))
+    forest = Forest(words, scale, max_bits, parts, leaf_rows)
+    groups = Groups(forest, words, np.array([r[1] for r in sample], np.int64), scale, similarity, block_rows)
     held = ["key", "n", "label", cols[word]]
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                b = whole.slice(start, 1024)
-                leaf, at = forest.route(b.column(3).to_numpy().view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf)] + [c.take(pa.array(at)) for c in b.columns], names=["leaf"] + held)
-
-    def pairs(t: pa.Table) -> pa.Table:
+            for start in range(0, whole.num_rows, 4096):
+                b = whole.slice(start, 4096)
+                group, at, side = groups.visits(b.column(3).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(0).to_numpy())
+                for i in range(0, len(group), 1 << 16):
+                    some = pa.array(at[i:i + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays([pa.array(group[i:i + (1 << 16)]), pa.array(side[i:i + (1 << 16)])] + [c.take(some) for c in b.columns], names=["grp", "side"] + held)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
         key, n = t["key"].to_numpy(), t["n"].to_numpy()
         order = np.lexsort((key, n))
-        key, n, own = key[order], n[order], t[cols[word]].to_numpy()[order].view(np.uint64)
+        key, n, own, side = key[order], n[order], t[cols[word]].to_numpy()[order].view(np.uint64), t["side"].to_numpy()[order]
         label = pc.coalesce(t["label"], t["key"]).to_numpy()[order]
-        at = leaf_pairs(own, n, label, max_bits, similarity, few)
-        return pa.table({"a": np.minimum(key[at[:, 0]], key[at[:, 1]]), "b": np.maximum(key[at[:, 0]], key[at[:, 1]])})
+        for at in leaf_pairs(own, n, label, side, max_bits, similarity, few):
+            a, b = key[at[:, 0]], key[at[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     label = F.when(F.col("label") != F.col("key"), F.col("label")).alias("label")
-    routed = nodes.select("key", "n", label, cols[word]).mapInArrow(visits, "leaf int, " + ", ".join(f"{c} long" for c in held))
-    found = routed.groupBy("leaf").applyInArrow(pairs, "a long, b long").distinct()
+    routed = nodes.select("key", "n", label, cols[word]).mapInArrow(visits, "grp long, side byte, " + ", ".join(f"{c} long" for c in held))
+    found = routed.groupBy("grp").applyInArrow(pairs, "a long, b long").distinct()
     for end in "ab":
         found = found.join(nodes.select(F.col("key").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in cols]), end)
     turned = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in cols[1:]), F.bit_count(F.col(f"a_{cols[0]}").bitwiseXOR(F.col(f"b_{cols[0]}"))))
@@ -317,7 +370,7 @@ def similar_components(docs: DataFrame, words: int, similarity: float, size: int
     nodes = durable(owners.join(classes, "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root"))
     rest = None
     for k in range(size):
-        more = propose(nodes, cols, k, max_bits, parts, all_bits, similarity, False)
+        more = durable(propose(nodes, cols, k, max_bits, parts, all_bits, similarity, False))  # one word after another
         rest = more if rest is None else rest.unionByName(more)
     links = links.unionByName(similar(durable(rest.distinct()), docs, owners, words, similarity))
     classes = connected_components(links, "a", "b").select(F.col("node").alias("key"), F.col("root"))
