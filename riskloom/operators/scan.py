@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.functions import paths, severity, texts
+from riskloom.functions import literals, paths, severity, texts
 from riskloom.sources.rules import Rule
 
 MATCH_COLUMNS = ("project string, path string, language string, rule_id string, pattern_ord int, kind string, "
@@ -24,13 +25,32 @@ def _applies(rule: Rule, language: Column) -> Column | None:
 
 
 def _hit_indexes(rules: list[Rule], language: Column, content: Column) -> Column:
-    """Indexes of the rules that occur at all: literal patterns, compiled once per task, in the JVM."""
+    """Indexes of the rules that may occur in a text: one pass of an automaton over the strings that the rules' matches must hold.
+    Rules that need no string are tried one by one in the JVM, as literal patterns that a task compiles once."""
+    needed = [literals.needs(r.pattern) for r in rules]
     tests = []
     for i, rule in enumerate(rules):
-        test = content.rlike(java_pattern(rule.pattern))
-        guard = _applies(rule, language)
-        tests.append(F.when(test if guard is None else guard & test, F.lit(i)))
-    return F.array_compact(F.array(*tests))
+        if not needed[i].strings:
+            test = content.rlike(java_pattern(rule.pattern))
+            guard = _applies(rule, language)
+            tests.append(F.when(test if guard is None else guard & test, F.lit(i)))
+    tried = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<int>")
+    if len(tests) == len(rules):
+        return tried
+    asked = [(i, n, rules[i].language) for i, n in enumerate(needed) if n.strings]
+
+    @F.pandas_udf("array<int>")
+    def held(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        finders: dict = {}
+        for languages, texts_ in batches:
+            out = []
+            for lang, text in zip(languages, texts_):
+                if lang not in finders:
+                    finders[lang] = literals.RuleFinder([(i, n) for i, n, of in asked if of in ("*", lang)])
+                out.append([] if text is None else finders[lang].rules_in(literals.fold(text)))
+            yield pd.Series(out, dtype=object)
+
+    return F.concat(held(language, content), tried)
 
 
 def if_any(items: Column) -> Column:
@@ -47,9 +67,8 @@ def scan_rules(files: DataFrame, rules: list[Rule], kind: str | None = None, aro
                carry: dict[str, Column] | None = None) -> DataFrame:
     """Every match of every rule of the file's language, with its offset and line.
 
-    No shuffle. Files without any hit are dropped by the JVM test; Python sees the remaining
-    (file, rules) pairs only and finds the exact offsets in one pass over each text. What later steps
-    need of the text comes along from the same pass, so that no text is joined again: `around` lines on
+    No shuffle. One automaton over the strings that the rules' matches must hold says which rules a file may match, whatever the number of
+    rules; files without any are dropped, and each pattern is run only around its strings. What later steps need of the text comes along from the same pass, so that no text is joined again: `around` lines on
     both sides (`_around`, the first is line `_from`), `span` characters on both sides (`_near`), and
     measures of the file (`carry`, by name).
     """
@@ -68,13 +87,14 @@ def scan_rules(files: DataFrame, rules: list[Rule], kind: str | None = None, aro
 
     def find(batches):
         compiled = [re.compile(t[-1], re.IGNORECASE | re.ASCII) for t in table]
+        needed = [literals.needs(t[-1]) for t in table]
         for batch in batches:
             rows = []
             for project, path, language, content, hit, *measures in batch.itertuples(index=False, name=None):
-                lines = content.split("\n") if around is not None else []
-                for i in hit:
+                lines, folded = content.split("\n") if around is not None else [], literals.fold(content)
+                for i in sorted(hit):
                     t, line, at = table[i], 1, 0
-                    for m in compiled[i].finditer(content):
+                    for m in literals.matches(compiled[i], needed[i], content, folded):
                         if m.end() == m.start():
                             continue
                         line += content.count("\n", at, m.start())
