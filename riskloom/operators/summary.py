@@ -39,7 +39,7 @@ def rule_fp_rate(verdicts: DataFrame) -> DataFrame:
 
 #: A segment that more texts of a rule share is hot and is not met on; spare segments a text may be cut into for that; texts of a rule
 #: in one block of the greedy run; texts without a choice of segments that the join may still carry.
-HOT, SPARE, BLOCK_TEXTS, MOST_HOT_TEXTS = 64, (0, 1, 2, 4, 8), 64, 1_024
+HOT, SPARE, BLOCK_TEXTS, MOST_HOT_TEXTS = 64, (0, 1, 2, 3, 4, 6, 8), 64, 1_024
 
 
 def _segments(texts_: DataFrame, threshold: float) -> DataFrame:
@@ -144,8 +144,8 @@ def cluster_similar(findings: DataFrame, threshold: float = 0.8, order: list[str
     each taken text goes to its first leader. Equal texts are one node, so a text that fills a third of
     the data is a single row here. Rounds are checkpointed.
 
-    While many texts share all of their segments (families of similar texts), the run goes block by block instead, which lists no
-    pairs; the result is the same. Null matches count as empty; empty texts are similar to nothing.
+    While many texts share all of their segments and the first of them take many others (families of similar texts), the run goes
+    block by block instead, which lists no pairs; the result is the same. Null matches count as empty; empty texts are similar to nothing.
     """
     nodes = findings.select("rule_id", F.coalesce("match", F.lit("")).alias("text"), *order).groupBy("rule_id", "text").agg(
         F.min(F.struct(*order)).alias("ord"), F.count("*").alias("rows"))
@@ -155,8 +155,12 @@ def cluster_similar(findings: DataFrame, threshold: float = 0.8, order: list[str
         index = durable(segment_index(nodes, threshold, hot))
         if index.where("NOT rare").select("rule_id", "r").distinct().count() <= most_hot:
             break
-        done, nodes = _first_block(nodes, threshold)
+        done, rest = _first_block(nodes, threshold)
         settled = done if settled is None else settled.unionByName(done)
+        nodes, index = rest, None
+        if done.count() < 2 * done.where("leader = text").count():  # no large family leads any more
+            break
+    index = durable(segment_index(nodes, threshold, hot)) if index is None else index
     pairs = similar_pairs(nodes, threshold, hot, index)
     o = nodes.select("rule_id", "text", F.struct("ord", "text").alias("o"))
     # links to earlier texts only

@@ -51,12 +51,12 @@ def test_clusters_equal_the_greedy_run(spark, hot, most_hot):
 
 
 def test_candidates_grow_with_the_texts_not_with_their_square(spark):
-    """All texts share one literal; the values differ."""
-    counts = []
+    """All texts share one literal; the values differ. A text meets at most `hot` others on each of its segments."""
     for n in (1_000, 4_000):
         rows = [r for r in made(random.Random(1), n, 0) if r[0] == "R1"]
         df = spark.createDataFrame(rows, "rule_id string, text string, file string, line int").select("rule_id", "text")
-        index = summary.segment_index(df, 0.8, 16)
-        assert index.where("NOT rare").select("r").distinct().count() <= n // 100
-        counts.append(summary.candidate_pairs(df, index, 0.8).count())
-    assert counts[1] <= 8 * max(counts[0], n // 4) and counts[1] < n * n / 100
+        index = summary.segment_index(df, 0.8)
+        assert index.where("NOT rare").select("r").distinct().count() <= n // 50
+        segments = index.count() / n
+        assert summary.candidate_pairs(df, index, 0.8).count() <= n * segments * summary.HOT and segments < 14
+        assert index.groupBy("rule_id", "seg").count().where(f"count > {len(summary.SPARE) * summary.HOT}").count() == 0
