@@ -46,6 +46,15 @@ COMPONENT_RULES = [
 ]
 
 
+def component_findings(rows: DataFrame) -> DataFrame:
+    """Rows (project, file, component, version, rule_name, cve, severity, fix_version) as findings."""
+    return rows.select(
+        "*", F.lit("component_scan").alias("source"), F.lit("supply-chain").alias("skill_id"), F.lit("COMPONENT_VULNERABILITY").alias("vuln_type"),
+        F.col("file").alias("location"), F.lit(1).alias("line"), F.lit(0.95).alias("confidence"), F.lit("CWE-1104").alias("cwe"),
+        F.concat(F.col("rule_name"), F.lit(" - "), F.col("component")).alias("title"),
+        F.concat(F.lit("Upgrade "), F.col("component"), F.lit(" to "), F.col("fix_version")).alias("remediation"))
+
+
 def match_components(deps: DataFrame, rules: list[ComponentRule] = COMPONENT_RULES) -> DataFrame:
     """Findings for dependencies in an affected range, one per project, component and advisory.
 
@@ -59,12 +68,7 @@ def match_components(deps: DataFrame, rules: list[ComponentRule] = COMPONENT_RUL
     hits = deps.select("project", "path", "group_id", "artifact", "version", F.explode(F.array_compact(F.array(*tests))).alias("h"))
     rows = hits.select(
         "project", F.col("path").alias("file"), F.concat_ws(":", F.nullif("group_id", F.lit("")), "artifact").alias("component"), "version", "h.*")
-    one = first_per(rows, ["project", "component", "cve"], ["file", "version", "rule_name"])
-    return one.select(
-        "*", F.lit("component_scan").alias("source"), F.lit("supply-chain").alias("skill_id"), F.lit("COMPONENT_VULNERABILITY").alias("vuln_type"),
-        F.col("file").alias("location"), F.lit(1).alias("line"), F.lit(0.95).alias("confidence"), F.lit("CWE-1104").alias("cwe"),
-        F.concat(F.col("rule_name"), F.lit(" - "), F.col("component")).alias("title"),
-        F.concat(F.lit("Upgrade "), F.col("component"), F.lit(" to "), F.col("fix_version")).alias("remediation"))
+    return component_findings(first_per(rows, ["project", "component", "cve"], ["file", "version", "rule_name"]))
 
 
 def component_stats(deps: DataFrame, findings: DataFrame) -> DataFrame:
