@@ -298,8 +298,8 @@ def _(spark, sf):
     return merge.unverified_flag(_both(spark, sf)).select("source", "file", "line", "rule_id", "unverified")
 
 
-@query("uncovered_files", f"""WITH {BOTH}, h AS (SELECT project, file AS path, bool_or(source = 'llm') AS m FROM u GROUP BY ALL), x AS (SELECT project, path, row_number() OVER (PARTITION BY project ORDER BY path) AS rn FROM docs WHERE path NOT IN (SELECT path FROM h))
- SELECT project, path, 'no_model_finding' AS reason FROM h WHERE NOT m UNION ALL SELECT project, path, 'never_reported' FROM x WHERE rn <= 5""")
+@query("uncovered_files", f"""WITH {BOTH}, h AS (SELECT project, file AS path, bool_or(source = 'llm') AS m FROM u GROUP BY ALL), x AS (SELECT project, path FROM docs WHERE path NOT IN (SELECT path FROM h))
+ SELECT project, path, 'no_model_finding' AS reason FROM h WHERE NOT m UNION ALL SELECT project, path, 'never_reported' FROM x""")
 def _(spark, sf):
     return merge.uncovered_files(document_files(spark, sf), _both(spark, sf))
 

@@ -267,9 +267,9 @@ def _(spark, sf):
 
 
 @query("update_status", f"""WITH {FINDINGS} SELECT file, line, rule_id, CASE WHEN EXISTS (SELECT 1 FROM f g WHERE g.file = f.file AND g.line = f.line AND g.vuln_type = f.vuln_type
-   AND g.severity = 'critical') THEN 'valid' ELSE 'open' END AS status FROM f WHERE rule_id NOT IN ('TXT-EMAIL', 'TXT-PHONE')""")
+   AND g.severity = 'critical') THEN 'valid' ELSE 'open' END AS status FROM f""")
 def _(spark, sf):
-    f = doc_findings(spark, sf).where(~F.col("rule_id").isin("TXT-EMAIL", "TXT-PHONE"))
+    f = doc_findings(spark, sf)
     valid = f.where("severity = 'critical'").withColumn("status", F.lit("valid"))
     return dedup.update_status(f, valid).select("file", "line", "rule_id", "status")
 

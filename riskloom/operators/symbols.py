@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskloom.functions.perfile import map_files
 from riskloom.functions.ranking import top_n
-from riskloom.functions.durable import durable
 from riskloom.functions.source_text import PARENS, Lines, blanked, closing_brace, indented_end, split_list
+from riskloom.operators.reach import reach
 
 SYMBOLS = ("kind string, name string, owner string, package string, type string, supers array<string>, "
            "params array<struct<type:string,name:string>>, line int, end_line int, modifiers array<string>")
@@ -103,8 +103,8 @@ def symbol_search(symbols_: DataFrame, cls: str | None = None, method: str | Non
     found = symbols_.where((F.col("kind") == kind) & (F.col("name") == name))
     if not cls:
         return found.withColumn("inherited", F.lit(False))
-    up = class_hierarchy(symbols_.where("kind = 'class'"), "super").where(F.col("class") == cls).select("project", F.col("related").alias("owner"))
     own = symbols_.where((F.col("kind") == "class") & (F.col("name") == cls)).select("project", F.col("name").alias("owner"))
+    up = class_hierarchy(symbols_, "super", classes=own.select("project", F.col("owner").alias("class"))).select("project", F.col("related").alias("owner"))
     return found.join(own.unionByName(up).distinct(), ["project", "owner"], "left_semi").withColumn("inherited", F.col("owner") != cls)
 
 
@@ -114,31 +114,13 @@ def class_edges(symbols_: DataFrame) -> DataFrame:
         "project", "child", F.substring_index("parent", ".", -1).alias("parent")).distinct()
 
 
-def reachable(edges: DataFrame, src: str, dst: str, max_depth: int | None = None) -> DataFrame:
-    """(project, src, dst, depth) for every pair linked by a path, at its least depth.
-
-    Each round extends the last one and drops pairs already known, so cycles end. Rounds are
-    checkpointed; they stop when nothing new appears or at max_depth.
-    """
-    e = durable(edges.select("project", src, dst).distinct())
-    front = e.where(F.col(src) != F.col(dst)).withColumn("depth", F.lit(1))
-    known, depth = front, 1
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        step = front.select("project", src, F.col(dst).alias("_mid")).join(e.select("project", F.col(src).alias("_mid"), dst), ["project", "_mid"])
-        front = durable(step.select("project", src, dst).distinct().where(F.col(src) != F.col(dst))
-                              .join(known.select("project", src, dst), ["project", src, dst], "left_anti").withColumn("depth", F.lit(depth)))
-        if not front.take(1):
-            break
-        known = known.unionByName(front)
-    return known
-
-
-def class_hierarchy(symbols_: DataFrame, direction: str = "super", max_depth: int | None = None) -> DataFrame:
-    """(project, class, related, depth): all super or all sub classes."""
-    pairs = reachable(class_edges(symbols_), "child", "parent", max_depth)
-    a, b = ("child", "parent") if direction == "super" else ("parent", "child")
-    return pairs.select("project", F.col(a).alias("class"), F.col(b).alias("related"), "depth")
+def class_hierarchy(symbols_: DataFrame, direction: str = "super", max_depth: int | None = None, classes: DataFrame | None = None) -> DataFrame:
+    """(project, class, related, depth): all super or all sub classes, of every class or of classes(project, class) only."""
+    src, dst = ("child", "parent") if direction == "super" else ("parent", "child")
+    edges = class_edges(symbols_).select("project", F.col(src).alias("src"), F.col(dst).alias("dst"))
+    of = edges.select("project", F.col("src").alias("class")) if classes is None else classes.select("project", "class")
+    found = reach(edges, of.select("project", F.col("class").alias("seed"), F.col("class").alias("node")), max_depth)
+    return found.where("depth > 0").select("project", F.col("seed").alias("class"), F.col("node").alias("related"), "depth")
 
 
 # ------------------------------------------------------------------ functions and calls
@@ -200,27 +182,22 @@ def call_edges(index: DataFrame) -> DataFrame:
     return same.unionByName(other).select("project", "path", "name", "to_path", "to_name")
 
 
-def call_tree(index: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
-    """(project, root_path, root, depth, path, name, line) from roots(project, path, name), each function once per root."""
-    edges = durable(call_edges(index))
+def call_tree(index: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """(project, root_path, root, depth, path, name, line) from roots(project, path, name), each function once per root, roots at depth 1;
+    all that is called from there, or `depth` levels of it."""
+    at = lambda path, name: F.struct(F.col(path).alias("path"), F.col(name).alias("name"))
+    edges = call_edges(index).select("project", at("path", "name").alias("src"), at("to_path", "to_name").alias("dst"))
     lines = index.groupBy("project", "path", "name").agg(F.min("line").alias("line"))
-    keys = ["project", "root_path", "root", "path", "name"]
-    front = roots.select("project", F.col("path").alias("root_path"), F.col("name").alias("root"), "path", "name").distinct().join(
-        lines, ["project", "path", "name"], "left_semi").select(*keys).withColumn("depth", F.lit(1))
-    known = front = durable(front)
-    for level in range(2, depth + 1):
-        step = front.join(edges, ["project", "path", "name"]).select("project", "root_path", "root", F.col("to_path").alias("path"), F.col("to_name").alias("name"))
-        front = durable(step.distinct().join(known.select(*keys), keys, "left_anti").withColumn("depth", F.lit(level)))
-        if not front.take(1):
-            break
-        known = known.unionByName(front)
-    return known.join(lines, ["project", "path", "name"]).select("project", "root_path", "root", "depth", "path", "name", "line")
-
-
-def dependency_context(findings: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 2, max_nodes: int | None = None) -> DataFrame:
+    real = roots.select("project", "path", "name").distinct().join(lines, ["project", "path", "name"], "left_semi")
+    found = reach(edges, real.select("project", at("path", "name").alias("seed"), at("path", "name").alias("node")), None if depth is None else depth - 1)
+    rows = found.select("project", F.col("seed.path").alias("root_path"), F.col("seed.name").alias("root"), (F.col("depth") + 1).alias("depth"), "node.path", "node.name")
+    return rows.join(lines, ["project", "path", "name"]).select("project", "root_path", "root", "depth", "path", "name", "line")
+
+
+def dependency_context(findings: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int | None = None, max_nodes: int | None = None) -> DataFrame:
     """findings(project, node) with what lies up- and downstream: counts, signal flags, combined risk.
 
-    edges(project, src, dst); nodes(project, node, code, extension). All nodes within `depth` steps count,
+    edges(project, src, dst); nodes(project, node, code, extension). All nodes that can be reached count (within `depth` steps, if given),
     or per finding node and direction the nearest max_nodes.
     """
     from riskloom.operators.hints import hint_profile
@@ -228,14 +205,8 @@ def dependency_context(findings: DataFrame, edges: DataFrame, nodes: DataFrame,
     start = findings.select("project", "node").distinct()
     near = None
     for direction, (a, b) in (("up", ("dst", "src")), ("down", ("src", "dst"))):
-        links = edges.select("project", F.col(a).alias("_from"), F.col(b).alias("_to")).distinct()
-        front = start.select("project", "node", F.col("node").alias("at")).withColumn("depth", F.lit(0))
-        seen = front
-        for d in range(1, depth + 1):
-            step = front.join(links, (front["project"] == links["project"]) & (front["at"] == links["_from"])).select(
-                front["project"], "node", F.col("_to").alias("at")).distinct()
-            front = step.join(seen.select("project", "node", "at"), ["project", "node", "at"], "left_anti").withColumn("depth", F.lit(d))
-            seen = seen.unionByName(front)
+        seen = reach(edges.select("project", F.col(a).alias("src"), F.col(b).alias("dst")), start.withColumn("seed", F.col("node")), depth).select(
+            "project", F.col("seed").alias("node"), F.col("node").alias("at"), "depth")
         few = top_n(seen.where("depth > 0"), max_nodes, [F.col("depth"), F.col("at")], by=["project", "node"]).withColumn("direction", F.lit(direction))
         near = few if near is None else near.unionByName(few)
     described = near.join(nodes.select("project", F.col("node").alias("at"), hint_profile(F.coalesce("code", F.lit("")), F.col("extension")).alias("h")),
