@@ -229,6 +229,8 @@ def size_band(n: np.ndarray, similarity: float) -> np.ndarray:
 
 
 GUEST, SECOND = 1, 2
+#: Rows of a leaf of the wide search: few large leaves, since a row visits the more of them the smaller they are, and sizes narrow the comparisons.
+NEAR_ROWS = 1 << 15
 
 
 def leaf_pairs(own: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, max_bits: int, similarity: float, few: bool) -> Iterator[np.ndarray]:
@@ -259,21 +261,25 @@ def leaf_pairs(own: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarr
 
 
 class Groups:
-    """The groups that rows visit: (leaf, size band), and pairs of blocks of those that the sample says hold more than `block_rows` rows."""
+    """The groups that rows visit: leaves, size bands of those that the sample says hold more than `block_rows` rows, and pairs of blocks of
+    bands that still do."""
 
     def __init__(self, forest: Forest, words: np.ndarray, n: np.ndarray, scale: float, similarity: float, block_rows: int):
         self.forest, self.similarity = forest, similarity
-        code, _, _ = self._codes(words, n)
-        codes, counts = np.unique(code, return_counts=True)
+        leaves, counts = np.unique(forest.route(words)[0], return_counts=True)
+        self.large = leaves[counts * scale > block_rows]
+        codes, counts = np.unique(self._codes(words, n)[0], return_counts=True)
         blocks = np.ceil(counts * scale / block_rows).astype(np.int64)
         self.hot, self.blocks = codes[blocks > 1], blocks[blocks > 1]
 
     def _codes(self, words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(leaf and band as one number, place, side) of every visit: each row goes to its own band and to the next one as a guest."""
+        """(leaf and band as one number, place, side) of every visit. A small leaf is one group; in a large one each row goes to its own
+        size band and to the next one as a guest."""
         leaf, at = self.forest.route(words)
-        band = size_band(n, self.similarity)[at] + 2
-        code = leaf.astype(np.int64) * 1024 + band
-        return np.concatenate((code, code + 1)), np.concatenate((at, at)), np.concatenate((np.zeros(len(at), np.int8), np.full(len(at), GUEST, np.int8)))
+        wide = np.isin(leaf, self.large)
+        code = leaf.astype(np.int64) * 1024 + np.where(wide, size_band(n, self.similarity)[at] + 2, 1023)
+        guests = np.flatnonzero(wide)
+        return np.concatenate((code, code[guests] + 1)), np.concatenate((at, at[guests])), np.concatenate((np.zeros(len(at), np.int8), np.full(len(guests), GUEST, np.int8)))
 
     def visits(self, words: np.ndarray, n: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(group, place, side) of every visit. In a group of k blocks a row of block i meets every block: k visits."""
@@ -290,11 +296,11 @@ class Groups:
 
 
 def propose(nodes: DataFrame, cols: list[str], word: int, max_bits: int, parts: int, all_bits: int, similarity: float, few: bool,
-            sample_rows: int = SAMPLE_ROWS, leaf_rows: int = 4 * LEAF_ROWS, block_rows: int = LEAF_ROWS) -> DataFrame:
+            sample_rows: int = SAMPLE_ROWS, leaf_rows: int = NEAR_ROWS, block_rows: int = 2 * NEAR_ROWS) -> DataFrame:
     """Pairs (a, b) of keys from one forest over word `word` of nodes (key, n, label, cols). A visit carries that word only; the other
     words are asked of the pairs. A null label is the key.
 
-    A leaf is cut by size bands (no pair is lost: sizes of similar sets differ by at most one band) and what is still large into blocks
+    A large leaf is cut by size bands (no pair is lost: sizes of similar sets differ by at most one band) and what is still large into blocks
     that meet two by two, so a group holds about 2 x `block_rows` rows at any size of table, and pairs leave it slice by slice."""
     count = nodes.count()
     part = min(1_000_000, int(1_000_000 * sample_rows / max(1, count)))
