@@ -77,7 +77,7 @@ nm AS (SELECT project, path, line_no AS sl, category AS sc, unnest(regexp_extrac
 us AS (SELECT nm.project, nm.path, sl, sc, name, cl.line_no, CASE WHEN contains(cl.line, '+') OR contains(cl.line, concat('$', '{{')) THEN 15e-2 ELSE 0e0 END + CASE WHEN contains(cl.line, '(') AND contains(cl.line, ')') THEN 1e-1 ELSE 0e0 END
    - CASE WHEN (lg = 'php' AND regexp_matches(cl.line, '(?i){SANS}')) OR (lg = 'java' AND regexp_matches(cl.line, '(?i){SANJ}')) THEN 3e-1 ELSE 0e0 END AS delta,
    (lg = 'php' AND regexp_matches(cl.line, '(?i){SANS}')) OR (lg = 'java' AND regexp_matches(cl.line, '(?i){SANJ}')) AS san
-   FROM nm JOIN cl ON cl.project = nm.project AND cl.path = nm.path AND cl.line_no > sl AND contains(cl.line, name)),
+   FROM nm JOIN cl ON cl.project = nm.project AND cl.path = nm.path AND cl.line_no > sl AND contains(cl.line, name) AND list_contains(regexp_extract_all(cl.line, '\\b([a-zA-Z_][a-zA-Z0-9_]*)\\b', 1), name)),
 tp AS (SELECT us.project, us.path AS file, sl AS source_line, sc AS source_category, h.line_no AS sink_line, h.category AS sink_category, count(*) AS steps, bool_or(san) AS is_sanitized,
    round(least(1e0, greatest(0e0, 7e-1 + sum(delta))), 6) AS confidence, array_to_string(list_sort(list_distinct(list(name))), ',') AS variables
    FROM us JOIN (SELECT DISTINCT project, path, line_no, category FROM hit WHERE kind = 'sink') h ON h.project = us.project AND h.path = us.path AND h.line_no > sl AND us.line_no <= h.line_no GROUP BY ALL)"""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom import dims
 from riskloom.functions import texts
+from riskloom.functions.durable import durable
 from riskloom.operators.scan import if_any, scan_rules, with_language
 from riskloom.sources.rules import Rule
 
@@ -36,46 +37,58 @@ def _sanitized(text: Column, language: Column, rules: list[Rule]) -> Column:
     return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 
-def taint_sources(files: DataFrame, sources: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Each input line with the later uses of its names: uses array<struct<line,name,delta,sanitized>>.
+def identifiers(files: DataFrame, sources: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(project, path, inputs, lines): per file with inputs, the names on each input line (repeats included), and which of those names stand on
+    which line, with what that line does to a value. One pass over each text; no text leaves it.
 
-    A use adds 0.15 for concatenation or interpolation and 0.1 for a call, and takes 0.3 when the
-    line sanitizes. A name that occurs twice on the input line counts twice. The input lines of a file
-    (numbers) meet its text as one row; uses leave it, texts do not.
+    sources(project, path, line, category). The input lines of a file (numbers) meet its text as one row.
     """
     marks = sources.groupBy("project", "path").agg(F.collect_set(F.struct("line", "category")).alias("_marks"))
     f = with_language(files).select("project", "path", "language", "content")
     cleaners = [r for r in rules if r.kind == "sanitizer"]
     df = marks.join(f, ["project", "path"]).select("project", "path", "language", "_marks", if_any(texts.lines_of(F.col("content"))).alias("_lines"))
-    # what a line does is worked out once per line, not once per name or input
-    about = F.transform("_lines", lambda x, i: F.struct(
-        (i + 1).alias("line"), x.alias("text"), _sanitized(x, F.col("language"), cleaners).alias("sanitized"),
-        (F.when(x.contains("+") | x.contains("${"), 0.15).otherwise(0.0)
-         + F.when(x.contains("(") & x.contains(")"), 0.1).otherwise(0.0)).alias("gain")))
-    df = df.select("project", "path", "_marks", if_any(about).alias("_about"))
-
-    def uses(line):
-        names = F.regexp_extract_all(F.element_at("_about", line)["text"], F.lit(NAME), F.lit(1))
-        return F.flatten(F.transform(names, lambda n: F.transform(
-            F.filter("_about", lambda a: (a["line"] > line) & a["text"].contains(n)),
-            lambda a: F.struct(a["line"].alias("line"), n.alias("name"),
-                               (a["gain"] - F.when(a["sanitized"], 0.3).otherwise(0.0)).alias("delta"), a["sanitized"].alias("sanitized")))))
-
-    every = F.transform("_marks", lambda m: F.struct(m["line"].alias("source_line"), m["category"].alias("source_category"), uses(m["line"]).alias("uses")))
-    df = df.select("project", "path", F.explode(F.filter(every, lambda e: F.size(e["uses"]) > 0)).alias("e")).select("project", "path", "e.*")
+    named = F.transform("_lines", lambda x: F.struct(x.alias("text"), F.regexp_extract_all(x, F.lit(NAME), F.lit(1)).alias("names")))
+    df = df.select("project", "path", "language", "_marks", if_any(named).alias("_named"))
+    inputs = F.transform("_marks", lambda m: F.struct(m["line"].alias("source_line"), m["category"].alias("source_category"), F.element_at("_named", m["line"])["names"].alias("names")))
+    wanted = F.array_distinct(F.flatten(F.transform("_marks", lambda m: F.element_at("_named", m["line"])["names"])))
+    df = df.select("project", "path", "language", inputs.alias("inputs"), wanted.alias("_wanted"), "_named")
+    here = F.transform("_named", lambda x, i: F.struct((i + 1).alias("line"), x["text"].alias("text"), F.array_intersect(x["names"], "_wanted").alias("names")))
+    df = df.select("project", "path", "language", "inputs", F.filter(here, lambda x: F.size(x["names"]) > 0).alias("_here"))
+    lines = F.transform("_here", lambda x: F.struct(
+        x["line"].alias("line"), x["names"].alias("names"), _sanitized(x["text"], F.col("language"), cleaners).alias("sanitized"),
+        (F.when(x["text"].contains("+") | x["text"].contains("${"), 0.15).otherwise(0.0)
+         + F.when(x["text"].contains("(") & x["text"].contains(")"), 0.1).otherwise(0.0)).alias("gain")))
+    return df.select("project", "path", "inputs", lines.alias("lines"))
+
+
+def taint_sources(files: DataFrame, sources: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Each input line with the later uses of its names: uses array<struct<line,name,delta,sanitized>>, by line and name.
+
+    A use is a later line on which the whole name stands (`id` is no use in `width`), once per name and line; a name that
+    occurs twice on the input line counts twice. A use adds 0.15 for concatenation or interpolation and 0.1 for a call, and takes 0.3
+    when the line sanitizes. Names meet by equality, file by file and name by name: the work is linear in identifiers and uses,
+    and a large file is spread by its names. Inputs whose names are never used again drop out.
+    """
+    found = durable(identifiers(files, sources, rules))
+    names = found.select("project", "path", F.explode("inputs").alias("i")).select("project", "path", "i.source_line", "i.source_category", F.explode("i.names").alias("name"))
+    lines = found.select("project", "path", F.explode("lines").alias("l")).select("project", "path", "l.*")
+    uses = lines.select("project", "path", "line", "sanitized", (F.col("gain") - F.when(F.col("sanitized"), 0.3).otherwise(0.0)).alias("delta"), F.explode("names").alias("name"))
+    met = names.join(uses, ["project", "path", "name"]).where(F.col("line") > F.col("source_line"))
+    df = met.groupBy("project", "path", "source_line", "source_category").agg(F.array_sort(F.collect_list(F.struct("line", "name", "delta", "sanitized"))).alias("uses"))
     return df.withColumn("first_use", F.array_min(F.transform("uses", lambda u: u["line"])))
 
 
 def taint_paths(files: DataFrame, rules: list[Rule]) -> DataFrame:
     """Input and sink lines of one file, the sink at or after the first use of a name from the input line.
 
-    One row per (input line, sink line) and categories. Inputs whose names are never used again
-    drop out before the join.
+    One row per (input line, sink line) and categories. A file's sinks are one row that its inputs look into, so a file with very many
+    inputs can be split over tasks.
     """
     found = scan_rules(files, [r for r in rules if r.kind in ("source", "sink")])
     sources = taint_sources(files, found.where("kind = 'source'"), rules)
-    sinks = found.where("kind = 'sink'").select("project", "path", F.col("line").alias("sink_line"), F.col("category").alias("sink_category")).distinct()
-    pairs = sources.join(sinks, ["project", "path"]).where((F.col("sink_line") > F.col("source_line")) & (F.col("first_use") <= F.col("sink_line")))
+    sinks = found.where("kind = 'sink'").groupBy("project", "path").agg(F.collect_set(F.struct(F.col("line").alias("sink_line"), F.col("category").alias("sink_category"))).alias("_sinks"))
+    reached = F.filter("_sinks", lambda s: (s["sink_line"] > F.col("source_line")) & (s["sink_line"] >= F.col("first_use")))
+    pairs = sources.join(sinks, ["project", "path"]).withColumn("_s", F.explode(reached)).select("*", "_s.*")
     steps = F.filter("uses", lambda u: u["line"] <= F.col("sink_line"))
     df = pairs.withColumn("_steps", steps)
     confidence = F.lit(0.7) + F.aggregate("_steps", F.lit(0.0), lambda a, u: a + u["delta"])
