@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.common import code_files, document_files, table
+from bindings.common import DOCS, code_files, document_files, table
 from bindings.source_queries import DEPS
 from riskloom.operators import advisories, reach, scan
-from riskloom.sources import manifests
+from riskloom.sources import hash_tree, manifests
 from riskloom.sources.rules import Rule
 
 QUERIES, ORACLES = {}, {}
@@ -71,3 +71,15 @@ def _(spark, sf):
     both = pairs.unionByName(pairs.select("project", F.col("dst").alias("src"), F.col("src").alias("dst")))
     seeds = table(spark, sf, "orders").where("o_orderkey % 500 = 0").select(F.lit("all").alias("project"), F.col("o_orderkey").alias("seed"), at("order", "o_orderkey").alias("node"))
     return reach.reach(both, seeds, 2).groupBy("seed", "depth").agg(F.count("*").alias("nodes"))
+
+
+@query("changes_by_tree", f"""WITH {DOCS}, old AS (SELECT project, path, CASE WHEN doc_id % 7 = 1 THEN concat(content, '!') ELSE content END AS content FROM docs WHERE doc_id % 11 <> 2),
+ new AS (SELECT project, path, content FROM docs WHERE doc_id % 13 <> 3)
+ SELECT project, path, CASE WHEN old.path IS NULL THEN 'added' WHEN new.path IS NULL THEN 'removed' ELSE 'changed' END AS change, left(sha256(coalesce(new.content, old.content)), 16) AS hash
+ FROM new FULL JOIN old USING (project, path) WHERE old.path IS NULL OR new.path IS NULL OR new.content <> old.content""")
+def _(spark, sf):
+    """Two snapshots made of all documents: some texts differ, some are missing on either side."""
+    files = document_files(spark, sf).withColumn("n", F.regexp_extract("path", r"doc_([0-9]+)", 1).cast("long"))
+    old = files.where("n % 11 <> 2").withColumn("content", F.when(F.col("n") % 7 == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    now, last = (hash_tree.tree_entries(f) for f in (files.where("n % 13 <> 3"), old))
+    return hash_tree.changes((hash_tree.hash_tree(now), now), (hash_tree.hash_tree(last), last))
