@@ -127,15 +127,18 @@ def _bridge(x: np.ndarray, links: np.ndarray, members: np.ndarray, top: int, bea
             return
         who, _ = beam_search(x, links, x[lost[:64]], np.full(len(lost[:64]), top), beam)
         for u, near in zip(lost, who):
-            free = near[near >= 0]
-            free = free[links[free, -1] < 0]
+            if met[u]:
+                continue
+            near = near[near >= 0]
+            free = near[links[near, -1] < 0]
             if len(free):
                 links[free[0], -1] = u
             else:  # every near point has its bridge: follow the chain of bridges to its end
-                p = near[0]
-                while links[p, -1] >= 0 and met[links[p, -1]]:
+                p = near[0] if len(near) else top
+                while links[p, -1] >= 0:
                     p = links[p, -1]
                 links[p, -1] = u
+            met[u] = True  # bridges lead from points that can be reached to points that could not, so they form chains, and each round ends some
 
 
 def build(x: np.ndarray, links: int = LINKS, beam: int = BUILD_BEAM, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -162,6 +165,31 @@ def build(x: np.ndarray, links: int = LINKS, beam: int = BUILD_BEAM, seed: int =
     return levels
 
 
+class Frame:
+    """The vectors of a shard centred and scaled in double precision, so that large values and common offsets keep their order in float32.
+    Queries are put into the same frame; one that lies very far outside is drawn in along its direction."""
+
+    FAR = 1e4
+
+    def __init__(self, x: np.ndarray):
+        self.size = float(np.abs(x).max()) or 1.0
+        y = x.astype(np.float64) / self.size
+        self.centre = y.mean(0)
+        self.spread = float(np.sqrt(((y - self.centre) ** 2).sum(1)).max()) or 1.0
+
+    def place(self, v: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore"):
+            y = np.clip((v.astype(np.float64) / self.size - self.centre) / self.spread, -1e150, 1e150)
+            norm = np.sqrt((y ** 2).sum(1, keepdims=True))
+            return np.where(norm > self.FAR, y * (self.FAR / np.maximum(norm, 1e-300)), y).astype(np.float32)
+
+
+def merged(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, node of each row): rows that are equal in float32 are one node."""
+    _, first, node = np.unique(x, axis=0, return_index=True, return_inverse=True)
+    return x[first], node.reshape(-1)
+
+
 def _full(level: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
     members, rows = level
     if len(rows) == n:
@@ -199,9 +227,10 @@ def _matrix(column, dtype) -> np.ndarray:
 
 
 def index_vectors(points: DataFrame, k: int, dtype: str, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
-    """The index (shard, dim, x, ids, ends, levels) with one row per shard and dimension, and the number of shards.
+    """The index (shard, dim, x, ids, ends, node, levels) with one row per shard and dimension, and the number of shards.
 
-    x holds the vectors, `ids` the smallest k + 1 ids of each, ending at `ends`; levels is an array of (members, width, neighbours).
+    x holds the vectors, `ids` the smallest k + 1 ids of each, ending at `ends`, and `node` the node of the graph that stands for each;
+    levels is an array of (members, width, neighbours) of nodes.
     """
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:  # equal vectors meet per batch first, each with its smallest ids
@@ -218,12 +247,13 @@ def index_vectors(points: DataFrame, k: int, dtype: str, shard_rows: int = SHARD
     def make(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("v")
         x = _matrix(pdf["v"], dtype)
-        levels = [{"members": m.astype("<i4").tobytes(), "width": g.shape[1], "neighbours": g.astype("<i4").tobytes()} for m, g in build(x)]
+        nodes, node = merged(Frame(x).place(x))
+        levels = [{"members": m.astype("<i4").tobytes(), "width": g.shape[1], "neighbours": g.astype("<i4").tobytes()} for m, g in build(nodes)]
         return pd.DataFrame({"shard": [key[0]], "dim": [key[1]], "x": [x.tobytes()], "ids": [np.concatenate(list(pdf["ids"])).astype("<i8").tobytes()],
-                             "ends": [np.cumsum([len(i) for i in pdf["ids"]]).astype("<i4").tobytes()], "levels": [levels]})
+                             "ends": [np.cumsum([len(i) for i in pdf["ids"]]).astype("<i4").tobytes()], "node": [node.astype("<i4").tobytes()], "levels": [levels]})
 
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).withColumn("dim", (F.octet_length("v") / width).cast("int"))
-    index = dealt.groupBy("shard", "dim").applyInPandas(make, "shard int, dim int, x binary, ids binary, ends binary, levels array<struct<members: binary, width: int, neighbours: binary>>")
+    index = dealt.groupBy("shard", "dim").applyInPandas(make, "shard int, dim int, x binary, ids binary, ends binary, node binary, levels array<struct<members: binary, width: int, neighbours: binary>>")
     return durable(index), shards
 
 
@@ -255,10 +285,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         starts = np.concatenate(([0], ends[:-1]))
         levels = [(np.frombuffer(lv["members"], "<i4").astype(np.int64), np.frombuffer(lv["neighbours"], "<i4").astype(np.int64).reshape(-1, lv["width"])) for lv in row["levels"]]
         q = np.stack([np.asarray(v, dtype) for v in right["v"]])
-        out = []
+        frame, node, out = Frame(x), np.frombuffer(row["node"], "<i4"), []
+        by_node = np.argsort(node, kind="stable")
+        first = np.searchsorted(node[by_node], np.arange(node.max() + 2))
+        nodes, placed = frame.place(x)[by_node[first[:-1]]], frame.place(q)
         for at in range(0, len(q), 256):
-            for own, v, points in zip(right["id"].to_numpy()[at:at + 256], q[at:at + 256], search(x, levels, q[at:at + 256], beam)):
-                points = points[points >= 0]
+            for own, v, near in zip(right["id"].to_numpy()[at:at + 256], q[at:at + 256], search(nodes, levels, placed[at:at + 256], beam)):
+                near = near[near >= 0]
+                if not len(near):
+                    continue
+                points = np.concatenate([by_node[first[i]:first[i + 1]] for i in near])
                 d = np.sqrt(((x[points].astype(np.float64) - v.astype(np.float64)) ** 2).sum(1))
                 owners = [ids[starts[p]:ends[p]] for p in points]
                 got, score = np.concatenate(owners), np.repeat(d, [len(o) for o in owners])

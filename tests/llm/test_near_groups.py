@@ -1,9 +1,9 @@
-"""Groups in which near-duplicate candidates meet: bounded at any size, and no pair lost."""
+"""Groups in which near-duplicate candidates meet: bounded at any size, and no pair lost. Vectors whose float32 form says little."""
 
 import numpy as np
 import pytest
 
-from riskloom.llm import simhash
+from riskloom.llm import hnsw, simhash
 
 
 def family(rnd, rows, hot):
@@ -57,3 +57,34 @@ def test_size_bands_of_similar_sizes_touch():
         reach = np.arange(a, min(3_000, int(a / 0.8) + 1))
         assert (np.abs(band[reach] - band[a]) <= 1).all()
     assert band[0] < band[1] - 1
+
+
+def recall(spark, x):
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in hnsw.nearest(df, df.where("vec_id % 50 = 0"), shard_rows=400).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    assert len(got) == len(range(0, len(x), 50)) and all(len(v) == 10 for v in got.values())
+    hits = 0
+    for q, found in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += sum(score <= np.sort(d)[9] * (1 + 1e-12) for score in found.values())
+        assert all(score == d[i] for i, score in found.items())
+    return hits / (10 * len(got))
+
+
+@pytest.mark.parametrize("name", ["huge", "offset", "near_equal", "mixed"])
+def test_vectors_that_float32_cannot_tell(spark, name):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(1_200, 12))
+    if name == "huge":
+        x *= 1e30
+    elif name == "offset":
+        x += 1e8
+    elif name == "near_equal":
+        x[300:700] = x[300] + rnd.normal(size=(400, 12)) * 1e-10
+    else:
+        x[::3] *= 1e25
+    assert recall(spark, x) >= 0.9
