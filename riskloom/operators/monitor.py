@@ -25,15 +25,16 @@ def rolling_failure_rate(log: DataFrame, seconds: int = 60, key: str = "key", mi
                          in_a_row: int = 5, slice_seconds: int = 3600) -> DataFrame:
     """Each call with the failure rate of the last seconds, the failures in a row so far, and an alarm.
 
-    log(id, ts, key, ok). A hot key does not become one task: rows are cut into time slices, each
+    log(id, ts, key, ok). A hot key does not become one task: rows are cut into time slices of any length, each
     slice also gets the rows of the last `seconds` before it, and windows run per (key, slice).
     Running totals and the run of failures carried into a slice come from one small row per slice.
     """
     # the window includes its own instant, so a call exactly `seconds` old still counts as out
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     df = log.withColumn("_us", us).withColumn("_s", F.floor(us / (slice_seconds * 1_000_000)))
-    late = F.col("_us") >= (F.col("_s") + 1) * (slice_seconds * 1_000_000) - seconds * 1_000_000
-    copies = df.withColumn("_slice", F.explode(F.when(late, F.array(F.col("_s"), F.col("_s") + 1)).otherwise(F.array(F.col("_s")))))
+    # a call is in the windows of all calls of the next `seconds`, in as many slices as they reach into
+    reach = F.floor((F.col("_us") + seconds * 1_000_000 - 1) / (slice_seconds * 1_000_000))
+    copies = df.withColumn("_slice", F.explode(F.sequence("_s", F.greatest("_s", reach))))
     own = F.col("_slice") == F.col("_s")
     last = W.partitionBy(key, "_slice").orderBy("_us").rangeBetween(-(seconds * 1_000_000) + 1, 0)
     seq = W.partitionBy(key, "_slice").orderBy("_us", "id").rowsBetween(W.unboundedPreceding, 0)

@@ -206,7 +206,10 @@ def match_confidence(line: Column, content_complexity: Column, boost: Column | N
 
 def scan_with_context(files: DataFrame, rules: list[Rule], window: int = 3,
                       fp_rates: DataFrame | None = None) -> DataFrame:
-    """Sources and sinks with their surrounding lines and a confidence."""
+    """Sources and sinks with their surrounding lines and a confidence, to which a rule adds its own `confidence_boost`."""
+    boosts = [x for r in rules if r.confidence_boost for x in (F.lit(f"{r.rule_id}\n{r.pattern_ord}"), F.lit(float(r.confidence_boost)))]
+    named = F.concat_ws("\n", "rule_id", F.col("pattern_ord").cast("string"))
+    boost = F.coalesce(F.try_element_at(F.create_map(*boosts), named), F.lit(0.0)) if boosts else None
     ctx = scan_rules(files, [r for r in rules if r.kind in ("source", "sink")], around=window,
                      carry={"_complexity": text_complexity(F.col("content"))})
     if fp_rates is not None:
@@ -214,7 +217,7 @@ def scan_with_context(files: DataFrame, rules: list[Rule], window: int = 3,
         ctx = ctx.join(F.broadcast(fp_rates.select("rule_id", "fp_rate")), "rule_id", "left")
     line = F.coalesce(texts.near_line(F.col("line")), F.lit(""))
     return (ctx.withColumn("context", texts.context_lines(F.col("line")))
-            .withColumn("confidence", match_confidence(line, F.col("_complexity"),
+            .withColumn("confidence", match_confidence(line, F.col("_complexity"), boost,
                                                        fp_rate=F.col("fp_rate") if fp_rates is not None else None))
             .drop("_around", "_from", "_complexity", "fp_rate"))
 
