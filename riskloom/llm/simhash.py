@@ -229,6 +229,8 @@ def size_band(n: np.ndarray, similarity: float) -> np.ndarray:
 
 
 GUEST, SECOND = 1, 2
+#: Comparisons made at once, over all rows of a slice and all that they may meet.
+CELLS = 1 << 18
 #: Rows of a leaf of the wide search: few large leaves, since a row visits the more of them the smaller they are, and sizes narrow the comparisons.
 NEAR_ROWS = 1 << 15
 
@@ -241,7 +243,8 @@ def leaf_pairs(own: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarr
     i, cross = 0, bool((side & SECOND).any())
     last = np.searchsorted(n, n / similarity + 1e-9, "right")
     while i < len(own):
-        step = max(1, min(len(own) - i, (1 << 18) // max(1, int(last[i]) - i)))
+        width = last[i:i + CELLS] - i  # never falls: later rows reach farther
+        step = max(1, int(np.searchsorted(np.arange(1, len(width) + 1) * width, CELLS, "right")))
         end = int(last[i + step - 1])
         a, b = np.nonzero(np.bitwise_count(own[i:i + step, None] ^ own[None, i:end]) <= max_bits)
         a, b = a + i, b + i

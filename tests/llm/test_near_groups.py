@@ -88,3 +88,16 @@ def test_vectors_that_float32_cannot_tell(spark, name):
     else:
         x[::3] *= 1e25
     assert recall(spark, x) >= 0.9
+
+
+def test_slices_are_bounded_where_sizes_differ(monkeypatch):
+    """A row that may meet hardly any other is no reason to compare thousands of rows with everything at once."""
+    rnd = np.random.default_rng(3)
+    rows = 6_000
+    words, n = rnd.integers(0, 2**63, rows).astype(np.uint64), np.sort(np.append(np.zeros(40, int), np.geomspace(1, 10**9, rows - 40).astype(int)))
+    seen, count = [], np.bitwise_count
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda x: (seen.append(x.size), count(x))[1])
+    found = [tuple(x) for p in simhash.leaf_pairs(words, n, np.arange(rows), np.zeros(rows, np.int8), 26, 0.8, False) for x in p.tolist()]
+    near = count(words[:, None] ^ words[None]) <= 26
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(near & (n[:, None] >= 0.8 * n[None] - 1e-9))) if a < b}
+    assert set(found) == want and len(found) == len(want) > 1_000 and max(seen) <= simhash.CELLS
