@@ -10,6 +10,7 @@ from bindings.common import (CODE, CODE_FINDINGS, CODE_LINES, CODE_RULES, CODE_S
                              review_findings, rule_values, table)
 from riskloom.functions import paths, severity, texts
 from riskloom.operators import dedup, scan, scoring
+from riskloom.operators.scan_sql import register_scan
 from riskloom.sources import corpus
 from riskloom.sources.rules import Rule
 
@@ -51,6 +52,12 @@ def _(spark, sf):
         "project", "path", "rule_id", "match", F.col("offset").alias("match_offset"), "line")
 
 
+@query("scan_rules_sql", ORACLES["scan_rules"])
+def _(spark, sf):
+    register_scan(spark, DOC_RULES)
+    return spark.sql("SELECT project, path, rule_id, match, `offset` AS match_offset, line FROM scan_rules(TABLE({files}))", files=document_files(spark, sf))
+
+
 @query("line_of_offset", f"""WITH {DOCS} SELECT path, CAST(len(string_split(substr(content, 1, len(content) // 2), chr(10))) AS INTEGER) AS middle_line FROM docs""")
 def _(spark, sf):
     c = F.col("content")
