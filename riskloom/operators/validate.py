@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom import dims
@@ -131,15 +136,57 @@ def verify_path(findings: DataFrame, files: DataFrame, sanitizers: dict[str, lis
             .withColumn("overall_score", F.when(known, score).otherwise(0)).drop("_file", "_line", "_at", "_around", "_from", "_near", "_group"))
 
 
+def first_lines(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(project, file, word) -> (project, file, word, n_lines, at): the first line of the file that holds the word, null if none does.
+
+    The distinct words asked of a file are gathered first, so that each text meets one row; one automaton over them passes the lower-case
+    text once, and only positions come back. Words are matched as they are given (lower-case ones find anything); null words have no line, the
+    empty word stands in line 1. Files nobody asks about are not read by Python; unknown files and null texts give no row.
+    """
+    words = asked.groupBy("project", "file").agg(F.collect_set(F.struct("word")).alias("words"))
+    whole = files.where(F.col("content").isNotNull()).select("project", F.col("path").alias("file"), F.lower("content").alias("text")).join(words, ["project", "file"])
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        for batch in batches:
+            rows = []
+            for project, file, text, structs in batch.itertuples(index=False, name=None):
+                wanted = [s["word"] for s in structs]
+                ends = np.array([m.start() for m in re.finditer("\n", text)] + [len(text)])
+                first = {"": 0} if "" in wanted else {}
+                auto = ahocorasick.Automaton()
+                for w in wanted:
+                    if w and "\n" not in w:
+                        auto.add_word(w, w)
+                left = len(auto)
+                if left:
+                    auto.make_automaton()
+                    for end, w in auto.iter(text):
+                        if w not in first:
+                            first[w] = end
+                            left -= 1
+                            if not left:
+                                break
+                rows += [(project, file, w, len(ends), int(np.searchsorted(ends, first[w])) + 1 if w in first else None) for w in wanted]
+            out = pd.DataFrame(rows, columns=["project", "file", "word", "n_lines", "at"])
+            yield out.astype({"at": "Int32"})
+
+    return whole.select("project", "file", "text", "words").mapInPandas(find, "project string, file string, word string, n_lines int, at int")
+
+
 def verify_chain(chain: DataFrame, files: DataFrame) -> DataFrame:
-    """Nodes(project, file, line, method) of call chains: does the line, or else the method, exist?"""
-    src = files.select("project", F.col("path").alias("file"), texts.lines_of(F.col("content")).alias("_lines"))
-    df = chain.join(src, ["project", "file"], "left")
-    by_method = F.try_element_at(F.filter(F.sequence(F.lit(1), F.greatest(F.size("_lines"), F.lit(1))), lambda i: F.lower(
-        F.coalesce(F.try_element_at("_lines", i), F.lit(""))).contains(F.lower("method"))), F.lit(1))
-    at = F.when(F.col("line").between(1, F.size("_lines")), F.col("line")).otherwise(by_method)
-    return df.withColumn("verified_line", F.when(F.col("_lines").isNotNull(), at)).withColumn(
-        "verified", F.col("verified_line").isNotNull()).drop("_lines")
+    """Nodes(project, file, line, method) of call chains: does the line, or else the method, exist?
+
+    Nodes keep all their columns; no row holds a text beside a node. Nodes of unknown files and nodes without line and method are not verified.
+    """
+    nodes = chain.withColumn("_word", F.lower("method"))
+    found = first_lines(files, nodes.select("project", "file", F.col("_word").alias("word"))).select(
+        F.col("project").alias("_project"), F.col("file").alias("_file"), F.col("word").alias("_asked"), F.col("n_lines").alias("_n"), F.col("at").alias("_at"))
+    met = nodes.join(found, (F.col("project") == F.col("_project")) & (F.col("file") == F.col("_file")) & F.col("_word").eqNullSafe(F.col("_asked")), "left")
+    at = F.when(F.col("line").between(1, F.col("_n")), F.col("line")).otherwise(F.col("_at"))
+    return met.withColumn("verified_line", F.when(F.col("_n").isNotNull(), at)).withColumn(
+        "verified", F.col("verified_line").isNotNull()).drop("_word", "_project", "_file", "_asked", "_n", "_at")
 
 
 def missing_evidence(findings: DataFrame) -> DataFrame:
