@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions import paths, texts
+from riskloom.functions.joins import growing
 from riskloom.operators.dedup import file_of, line_of
 from riskloom.operators.filters import is_test_path
 from riskloom.operators.scan import if_any, scan_rules
@@ -53,7 +54,7 @@ def with_source_lines(findings: DataFrame, files: DataFrame, how: str = "left")
     keyed = findings.withColumn("_file", file_of(findings)).withColumn("_line", line_of(findings))
     keys = ["project"] if "project" in findings.columns and "project" in files.columns else []
     texts_ = files.select(*keys, F.col("path").alias("_file"), texts.lines_of(F.col("content")).alias("_lines"))
-    return keyed.join(texts_, keys + ["_file"], how)
+    return keyed.join(growing(texts_), keys + ["_file"], how)
 
 
 def with_windows(findings: DataFrame, files: DataFrame, around: int) -> DataFrame:
@@ -66,12 +67,12 @@ def with_windows(findings: DataFrame, files: DataFrame, around: int) -> DataFram
         "_at", F.greatest(F.col("_line"), F.lit(1)))
     keys = (["project"] if "project" in findings.columns and "project" in files.columns else []) + ["_file"]
     asked = keyed.groupBy(*keys).agg(F.collect_set("_at").alias("_ats"))
-    whole = files.withColumn("_file", F.col("path")).select(*keys, "content").join(asked, keys)
+    whole = files.withColumn("_file", F.col("path")).select(*keys, "content").join(growing(asked), keys)
     rows = whole.select(*keys, "_ats", if_any(texts.lines_of(F.col("content"))).alias("_lines"))
     windows = rows.select(*keys, F.explode(F.transform("_ats", lambda a: F.struct(
         a.alias("_at"), F.greatest(a - around, F.lit(1)).alias("_from"),
         texts.line_window(F.col("_lines"), a, around, around).alias("_around")))).alias("w")).select(*keys, "w.*")
-    return keyed.join(windows, [*keys, "_at"], "left")
+    return keyed.join(growing(windows), [*keys, "_at"], "left")
 
 
 def guard_context(findings: DataFrame, files: DataFrame, snippet: bool = False) -> DataFrame:
@@ -268,7 +269,7 @@ def near_source_sink(files: DataFrame) -> DataFrame:
 
     marks = (files.where(texts.any_match(F.col("content"), NEAR_SOURCES, False))
              .select("project", "path", numbers(NEAR_SOURCES).alias("_src"), numbers(NEAR_SANITIZERS).alias("_san")))
-    near = sinks.join(marks, ["project", "path"]).withColumn(
+    near = sinks.join(growing(marks), ["project", "path"]).withColumn(
         "source_line", F.try_element_at(F.filter("_src", lambda n: n.between(F.col("line") - 29, F.col("line"))), F.lit(1)))
     clean = ~F.exists("_san", lambda n: (n > F.col("source_line")) & (n <= F.col("line")))
     return near.where(F.col("source_line").isNotNull()).where(clean).select(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskloom import dims
 from riskloom.functions import paths, severity
+from riskloom.functions.joins import growing
 from riskloom.functions.ranking import top_n
 from riskloom.operators.dedup import dedup_findings, exact_distinct, file_of, line_of
 from riskloom.operators.filters import confidence_filter, title_fp_filter
@@ -47,13 +48,13 @@ def cross_source_merge(findings: DataFrame, distance: int = 5) -> tuple[DataFram
     per_line = model.groupBy(*keys, F.col("_line").alias("_at")).agg(F.min(order).alias("_best"))
     lines = scan.select(*keys, "_line").distinct()
     near = lines.withColumn("_at", F.explode(F.sequence(F.col("_line") - distance, F.col("_line") + distance)))
-    cover = near.join(per_line, [*keys, "_at"]).groupBy(*keys, "_line").agg(F.min("_best").alias("_best"))
-    judged = scan.join(cover, [*keys, "_line"], "left")
+    cover = near.join(growing(per_line), [*keys, "_at"]).groupBy(*keys, "_line").agg(F.min("_best").alias("_best"))
+    judged = scan.join(growing(cover), [*keys, "_line"], "left")
     merged = judged.where(F.col("_best").isNotNull()).select(
         *project, F.struct(*[F.col(f"_best.{c}").alias(c) for c in IDENTITY]).alias("into"), "source", "vuln_type", "location", "title")
     counts = merged.groupBy(*project, *[F.col(f"into.{c}").alias(c) for c in IDENTITY]).agg(F.count("*").alias("merged_count"))
     cols = findings.columns
-    kept_model = findings.where(F.col("source").isin(MODEL_SOURCES)).join(counts, [*project, *IDENTITY], "left")
+    kept_model = findings.where(F.col("source").isin(MODEL_SOURCES)).join(growing(counts), [*project, *IDENTITY], "left")
     kept_scan = judged.where(F.col("_best").isNull()).select(*cols, F.lit(0).cast("long").alias("merged_count"))
     other = findings.where(~F.col("source").isin(MODEL_SOURCES + SCAN_SOURCES)).withColumn("merged_count", F.lit(0).cast("long"))
     kept = kept_model.select(*cols, F.coalesce("merged_count", F.lit(0)).alias("merged_count")).unionByName(kept_scan).unionByName(other)
@@ -81,14 +82,14 @@ def type_gap_map(findings: DataFrame, n: int | None = None) -> DataFrame:
     df = normalize_type(findings, "gap", out="norm_type").withColumn("gap_file", _file(findings)).withColumn("_line", line_of(findings))
     keys = ["project", "gap_file", "norm_type"]
     model = df.where(F.col("source").isin(MODEL_SOURCES)).select(*keys).distinct()
-    scans = df.where(F.col("source").isin(SCAN_SOURCES)).join(model, keys, "left_anti")
+    scans = df.where(F.col("source").isin(SCAN_SOURCES)).join(growing(model), keys, "left_anti")
     rank = severity.severity_rank(F.col("severity"))
     gaps = scans.groupBy(*keys).agg(F.max_by("severity", rank).alias("max_severity"), F.max(rank).alias("_rank"), F.count("*").alias("findings"))
     gaps = gaps.where(F.col("_rank") >= 3).drop("_rank")
     if n is not None:
         gaps = top_n(gaps, n, [F.col("gap_file"), F.col("norm_type")], by=["project"])
-    members = group_members(scans.join(gaps.select(*keys), keys, "left_semi"), keys)
-    return gaps.join(members, keys)
+    members = group_members(scans.join(growing(gaps.select(*keys)), keys, "left_semi"), keys)
+    return gaps.join(growing(members), keys)
 
 
 def group_members(findings: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,7 +105,7 @@ def unverified_flag(findings: DataFrame) -> DataFrame:
     df = findings.withColumn("_f", _file(findings))
     seen = df.where(by_model).select("project", "_f", "vuln_type").distinct().withColumn("_seen", F.lit(True))
     hit = (F.col("source") == "quick_scan") & F.lower("severity").isin("critical", "high") & F.col("_seen").isNull()
-    return df.join(seen, ["project", "_f", "vuln_type"], "left").withColumn("unverified", hit).select(*findings.columns, "unverified")
+    return df.join(growing(seen), ["project", "_f", "vuln_type"], "left").withColumn("unverified", hit).select(*findings.columns, "unverified")
 
 
 def uncovered_files(files: DataFrame, findings: DataFrame, extra: int | None = None) -> DataFrame:
@@ -112,7 +113,7 @@ def uncovered_files(files: DataFrame, findings: DataFrame, extra: int | None = N
     hits = findings.select("project", _file(findings).alias("path"), (F.col("source") == "llm").alias("m")).groupBy("project", "path").agg(
         F.bool_or("m").alias("m"))
     gap = hits.where(~F.col("m")).select("project", "path", F.lit("no_model_finding").alias("reason"))
-    missed = files.select("project", "path").join(hits.select("project", "path"), ["project", "path"], "left_anti")
+    missed = files.select("project", "path").join(growing(hits.select("project", "path")), ["project", "path"], "left_anti")
     return gap.unionByName(top_n(missed, extra, [F.col("path")], by=["project"]).withColumn("reason", F.lit("never_reported")))
 
 
@@ -124,5 +125,5 @@ def final_counts(findings: DataFrame, calls: DataFrame | None = None) -> DataFra
         F.count(F.when(ok & F.col("source").isin("quick_scan", "taint", "rule", "pattern"), 1)).alias("scan"))
     if calls is not None:
         c = calls.groupBy("project").agg(F.count(F.when(F.col("called"), 1)).alias("calls"), F.count(F.when(~F.col("called"), 1)).alias("skipped"))
-        out = out.join(c, "project", "full").na.fill(0)
+        out = out.join(growing(c), "project", "full").na.fill(0)
     return out

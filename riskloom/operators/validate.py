@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom import dims
 from riskloom.functions import paths, severity, texts
+from riskloom.functions.joins import growing
 from riskloom.functions.severity import round_half_up
 from riskloom.operators.context import with_source_lines, with_windows
 from riskloom.operators.filters import type_supported
@@ -144,7 +145,7 @@ def first_lines(files: DataFrame, asked: DataFrame) -> DataFrame:
     empty word stands in line 1. Files nobody asks about are not read by Python; unknown files and null texts give no row.
     """
     words = asked.groupBy("project", "file").agg(F.collect_set(F.struct("word")).alias("words"))
-    whole = files.where(F.col("content").isNotNull()).select("project", F.col("path").alias("file"), F.lower("content").alias("text")).join(words, ["project", "file"])
+    whole = files.where(F.col("content").isNotNull()).select("project", F.col("path").alias("file"), F.lower("content").alias("text")).join(growing(words), ["project", "file"])
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
@@ -183,7 +184,7 @@ def verify_chain(chain: DataFrame, files: DataFrame) -> DataFrame:
     nodes = chain.withColumn("_word", F.lower("method"))
     found = first_lines(files, nodes.select("project", "file", F.col("_word").alias("word"))).select(
         F.col("project").alias("_project"), F.col("file").alias("_file"), F.col("word").alias("_asked"), F.col("n_lines").alias("_n"), F.col("at").alias("_at"))
-    met = nodes.join(found, (F.col("project") == F.col("_project")) & (F.col("file") == F.col("_file")) & F.col("_word").eqNullSafe(F.col("_asked")), "left")
+    met = nodes.join(growing(found), (F.col("project") == F.col("_project")) & (F.col("file") == F.col("_file")) & F.col("_word").eqNullSafe(F.col("_asked")), "left")
     at = F.when(F.col("line").between(1, F.col("_n")), F.col("line")).otherwise(F.col("_at"))
     return met.withColumn("verified_line", F.when(F.col("_n").isNotNull(), at)).withColumn(
         "verified", F.col("verified_line").isNotNull()).drop("_word", "_project", "_file", "_asked", "_n", "_at")
