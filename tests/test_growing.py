@@ -1,6 +1,6 @@
 """Faults that show only on large or divided tables."""
 
-from riskloom.operators import context, scan, validate
+from riskloom.operators import context, scan, taint, validate
 from riskloom.sources.rules import Rule
 
 RULES = [Rule("S", r"request\.args", kind="source", language="python", category="user_input"),
@@ -22,3 +22,12 @@ def test_texts_and_windows_are_never_broadcast(spark):
     found = scan.make_findings(scan.scan_lines(files, [RULES[1]]), "quick_scan")
     for df in (context.guard_context(found, files), context.context_flags(found, files), validate.verify_path(found, files, strict=True)):
         assert "Broadcast" not in _plan(df) and df.count() == 20
+
+
+def test_taint_sides_are_never_broadcast(spark):
+    files = _files(spark)
+    paths = taint.taint_paths(files, RULES)
+    between = taint.sanitizer_between(paths, files, RULES)
+    for df in (taint.taint_summary(paths, taint.taint_findings(paths)), between):
+        assert "Broadcast" not in _plan(df)
+    assert {(r["file"], tuple(r["sanitizer_lines"])) for r in between.collect()} == {(f"a{k}.py", (2,)) for k in range(20)}
