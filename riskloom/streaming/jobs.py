@@ -28,10 +28,13 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def stream_table(spark: SparkSession, folder: str, file_glob: str, files_per_batch: int | None = None) -> DataFrame:
-    """A parquet folder as a stream; the schema is that of the files present."""
-    schema = spark.read.option("pathGlobFilter", file_glob).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
+    """What `file_glob` names below a folder as a stream: parquet files, or folders of parquet files. The schema is that of the files present."""
+    path = f"{folder.rstrip('/')}/{file_glob}"
+    schema = spark.read.parquet(path).schema
+    # a stream takes a single file only by a pattern
+    path = path if any(c in file_glob for c in "*?[{") else f"{folder.rstrip('/')}/[{file_glob[0]}]{file_glob[1:]}"
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
 def stream_scan(files: DataFrame, rules: list[Rule], exact_offsets: bool = False) -> DataFrame:
