@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
+
+from riskloom.functions.pieces import map_rows
 
 
 def map_files(files: DataFrame, read, schema: str, where: Column | None = None) -> DataFrame:
@@ -15,24 +16,8 @@ def map_files(files: DataFrame, read, schema: str, where: Column | None = None)
 
     df = with_language(files)
     df = df if where is None else df.where(where)
-    names = ["project", "path"] + [c.strip().split(" ")[0].split(":")[0] for c in _split(schema)]
-
-    def run(batches):
-        for batch in batches:
-            rows = [(project, path, *row) for project, path, language, content in batch.itertuples(index=False)
-                    for row in read(path, language, content)]
-            yield pd.DataFrame(rows, columns=names)
-
-    return df.select("project", "path", "language", "content").mapInPandas(run, f"project string, path string, {schema}")
-
-
-def _split(schema: str) -> list[str]:
-    out, depth, cur = [], 0, ""
-    for ch in schema:
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and depth == 0:
-            out.append(cur)
-            cur = ""
-        else:
-            cur += ch
-    return out + [cur]
+
+    def each():
+        return lambda project, path, language, content: ((project, path, *row) for row in read(path, language, content))
+
+    return map_rows(df.select("project", "path", "language", "content"), each, f"project string, path string, {schema}")
