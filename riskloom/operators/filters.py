@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom import dims
 from riskloom.functions import paths, severity, texts
+from riskloom.functions.joins import growing
 from riskloom.functions.severity import round_half_up
 from riskloom.sources.rules import Rule, rules_frame
 
@@ -218,7 +219,7 @@ def incremental_skip(files: DataFrame, changes: DataFrame) -> DataFrame:
 
     changes(project, path, changed_lines array<int>, only_whitespace boolean); files without a row are not judged.
     """
-    df = files.join(changes, ["project", "path"], "left")
+    df = files.join(growing(changes), ["project", "path"], "left")
     lines = texts.lines_of(F.col("content"))
     inside = F.filter("changed_lines", lambda n: (n > 0) & (n <= F.size(lines)))
     visible = F.exists(inside, lambda n: F.trim(F.element_at(lines, n)) != "")
@@ -231,7 +232,7 @@ def changed_lines(old: DataFrame, new: DataFrame) -> DataFrame:
     """changes(project, path, changed_lines, only_whitespace) between two versions, line by line in place."""
     a = old.select("project", "path", F.split("content", "\n", -1).alias("_a"))
     b = new.select("project", "path", F.split("content", "\n", -1).alias("_b"))
-    both = b.join(a, ["project", "path"]).withColumn("_n", F.greatest(F.size("_a"), F.size("_b")))
+    both = b.join(growing(a), ["project", "path"]).withColumn("_n", F.greatest(F.size("_a"), F.size("_b")))
 
     def at(arr, i):
         return F.try_element_at(arr, i)

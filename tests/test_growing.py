@@ -1,6 +1,6 @@
-"""Faults that show only on large or divided tables."""
+"""Joins of sides that all grow with the corpus are shuffled."""
 
-from riskloom.operators import context, scan, taint, validate
+from riskloom.operators import context, filters, scan, taint, validate
 from riskloom.sources.rules import Rule
 
 RULES = [Rule("S", r"request\.args", kind="source", language="python", category="user_input"),
@@ -31,3 +31,11 @@ def test_taint_sides_are_never_broadcast(spark):
     for df in (taint.taint_summary(paths, taint.taint_findings(paths)), between):
         assert "Broadcast" not in _plan(df)
     assert {(r["file"], tuple(r["sanitizer_lines"])) for r in between.collect()} == {(f"a{k}.py", (2,)) for k in range(20)}
+
+
+def test_versions_snippets_and_chains_are_never_broadcast(spark):
+    files = _files(spark)
+    found = scan.make_findings(scan.scan_lines(files, [RULES[1]]), "quick_scan")
+    nodes = found.select("project", "file", "line", "match").withColumnRenamed("match", "method")
+    for df in (filters.incremental_skip(files, filters.changed_lines(files, files)), validate.validate_snippet(found, files), validate.verify_chain(nodes, files)):
+        assert "Broadcast" not in _plan(df) and df.count() == 20
