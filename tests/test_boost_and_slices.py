@@ -32,3 +32,17 @@ def test_slices_shorter_than_the_window(spark):
     for size in (7, 20, 60, 120):
         got = {r["id"]: (r["window_calls"], r["window_failures"]) for r in monitor.rolling_failure_rate(df, 60, slice_seconds=size).collect()}
         assert got == want
+
+
+def test_rates_do_not_visit_a_window_again_for_each_of_its_calls(spark):
+    """A window over all rows is a running total; frames that move at both ends cost rows times window."""
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(seconds=i // 50), None if i % 7 == 0 else i % 3 == 0) for i in range(2_000)]
+    df = spark.createDataFrame([(i, t, "hot", ok) for i, t, ok in rows], "id long, ts timestamp, key string, ok boolean")
+    found = monitor.rolling_failure_rate(df, 20, slice_seconds=30)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RangeFrame, -" not in plan
+    got = {r["id"]: (r["window_calls"], r["window_failures"]) for r in found.collect()}
+    for i, t, _ in rows[::97]:
+        inside = [ok for _, x, ok in rows if t - timedelta(seconds=20) < x <= t]
+        assert got[i] == (len(inside), sum(ok is False for ok in inside))
