@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from riskloom.functions.durable import durable
 
-def numbered(df: DataFrame, keys: list[str], levels: list[str], order: list[str], out: str = "rn") -> DataFrame:
+
+def numbered(df: DataFrame, keys: list[str], levels: list[str], order: list[str], out: str = "rn", keep: bool = True) -> DataFrame:
     """Gap-free row numbers within `keys`, ordered by `levels` (coarse to fine) and then `order`.
 
     A plain row_number() sorts each key in one task. Here only the rows below the finest level are
@@ -13,7 +15,10 @@ def numbered(df: DataFrame, keys: list[str], levels: list[str], order: list[str]
     over counts, which are combined on the map side before they move. Levels nest: the running
     sums of the finest level are added to those of the level above, so no window ever holds more
     than the distinct children of one parent. Key and level columns must not be null.
+    The rows are worked out once and kept: the counts and the numbering both read them, and a scan of texts may stand behind them.
+    Without `keep` they are worked out twice, which is less where little stands behind them.
     """
+    df = durable(df) if keep else df
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     finest = keys + levels
     counts = df.groupBy(*finest).agg(F.count("*").alias("_n"))

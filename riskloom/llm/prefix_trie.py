@@ -41,7 +41,7 @@ def digest_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     at = F.coalesce(F.col(turn_col).cast("long"), F.lit(-(2**63)))
     rows = turns.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).cast("long").alias("conv"), F.floor(at / BLOCK).cast("long").alias("_run"), at.alias("_at"),
                                                          F.col(turn_col).isNotNull().alias("_is"), said.alias("said"), F.length(text).cast("long").alias("chars"))
-    placed = numbered(rows, ["conv"], ["_run", "_at"], ["_is", "said"], "pos")
+    placed = numbered(rows, ["conv"], ["_run", "_at"], ["_is", "said"], "pos", keep=False)
     return placed.select("conv", F.col("pos").cast("long").alias("pos"), "said", "chars")
 
 
