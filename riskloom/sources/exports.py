@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from riskloom.dims import lookup
 from riskloom.functions import paths
+from riskloom.functions.durable import durable
 from riskloom.functions.ranking import numbered
 
 # SARIF level of a severity.
@@ -73,7 +74,7 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 
     Rules are numbered by first appearance; the window runs over the distinct rules of a project only.
     """
-    df = _ordered(findings).withColumn("_rule", F.coalesce(F.nullif("vuln_type", F.lit("")), F.lit("UNKNOWN")))
+    df = durable(_ordered(findings).withColumn("_rule", F.coalesce(F.nullif("vuln_type", F.lit("")), F.lit("UNKNOWN"))))
     seen = df.groupBy("project", "_rule").agg(F.min("ord").alias("_first"))
     index = seen.select("project", "_rule", (F.row_number().over(W.partitionBy("project").orderBy("_first")) - 1).alias("rule_index"))
     df = df.join(index, ["project", "_rule"])
