@@ -54,11 +54,10 @@ def audit(files: DataFrame, rules: list[Rule], detectors: list[DataFrame] | None
     """Runs the built-in scan, takes the findings of other detectors, merges, enriches and numbers them.
 
     A detector is any `files -> findings` result: tool reports, reviewer output, component matches.
-    With `keep` the detected and the numbered findings are checkpointed, since the merge and every
-    report read them several times; texts are scanned once.
+    The merge keeps the detected findings, so texts are scanned once. With `keep` the numbered findings are checkpointed
+    too, since every report reads them.
     """
     both = merge.union_detectors([detect(files, rules), *(detectors or [])])
-    both = durable(both) if keep else both
     kept, merged = merge.cross_source_merge(title_fp_filter(both))
     ranked = dedup.assign_ids(confidence_filter(enrich_findings(kept, gbt), min_confidence))
     return Audit(files, durable(ranked) if keep else ranked, merged)
