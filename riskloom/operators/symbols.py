@@ -7,6 +7,7 @@ from bisect import bisect_right
 
 from pyspark.sql import DataFrame, functions as F
 
+from riskloom.functions.durable import durable
 from riskloom.functions.perfile import map_files
 from riskloom.functions.ranking import top_n
 from riskloom.functions.source_text import PARENS, Lines, blanked, closing_brace, indented_end, split_list
@@ -186,9 +187,10 @@ def call_tree(index: DataFrame, roots: DataFrame, depth: int | None = None) -> D
     """(project, root_path, root, depth, path, name, line) from roots(project, path, name), each function once per root, roots at depth 1;
     all that is called from there, or `depth` levels of it."""
     at = lambda path, name: F.struct(F.col(path).alias("path"), F.col(name).alias("name"))
+    index = durable(index.select("project", "path", "name", "line", "calls"))  # edges and lines read it several times
     edges = call_edges(index).select("project", at("path", "name").alias("src"), at("to_path", "to_name").alias("dst"))
     lines = index.groupBy("project", "path", "name").agg(F.min("line").alias("line"))
-    real = roots.select("project", "path", "name").distinct().join(lines, ["project", "path", "name"], "left_semi")
+    real = durable(roots.select("project", "path", "name").distinct()).join(lines, ["project", "path", "name"], "left_semi")
     found = reach(edges, real.select("project", at("path", "name").alias("seed"), at("path", "name").alias("node")), None if depth is None else depth - 1)
     rows = found.select("project", F.col("seed.path").alias("root_path"), F.col("seed.name").alias("root"), (F.col("depth") + 1).alias("depth"), "node.path", "node.name")
     return rows.join(lines, ["project", "path", "name"]).select("project", "root_path", "root", "depth", "path", "name", "line")
