@@ -15,6 +15,8 @@ def parted_edges(edges: DataFrame, fan: int = FAN) -> tuple[DataFrame, DataFrame
     e = durable(edges.select("project", "src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct())
     hot = durable(e.groupBy("project", "src").agg(F.count("*").alias("_n")).where(F.col("_n") > fan).select(
         "project", F.col("src").alias("node"), F.ceil(F.col("_n") / fan).cast("int").alias("parts")))
+    if not hot.take(1):
+        return e.withColumn("part", F.lit(0)), hot
     found = e.join(hot.withColumnRenamed("node", "src"), ["project", "src"], "left")
     part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1)).cast("long")).cast("int")
     return durable(found.select("project", "src", "dst", part.alias("part"))), hot
