@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.durable import durable
+from riskloom.functions.joins import growing
 from riskloom.llm.html_text import STOP_WORDS
 
 GROUP_ROWS = 6_000
@@ -136,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Without both labels anywhere weights stay zero and every score equals `cut`.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("y"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(known, "__id").select("t", F.col("y").cast("int").alias("y"), F.xxhash64("__id", "t").alias("h"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(growing(known), "__id").select("t", F.col("y").cast("int").alias("y"), F.xxhash64("__id", "t").alias("h"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -28,3 +28,12 @@ def test_order_of_bits():
     x = np.array([-3.5, -1e-30, 0.0, 1e-30, 2.0, 1e9], np.float32)
     bits = bradley_terry._to_bits(x)
     assert (np.diff(bits) > 0).all() and np.array_equal(bradley_terry._from_bits(bits), x)
+
+
+def test_labels_grow_with_the_documents(spark, monkeypatch):
+    """The join of texts and labels is shuffled at every size, so that its disk grows as the input does."""
+    plans, keep = [], bradley_terry.durable
+    monkeypatch.setattr(bradley_terry, "durable", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df))[1])
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), (F.col("id") + 1).cast("int")).alias("text"))
+    bradley_terry.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
