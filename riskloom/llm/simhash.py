@@ -9,7 +9,7 @@ least one leaf, and leaves are compared on whole fingerprints. The trees are gro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,8 +91,10 @@ class Forest:
         self.parts, self.radius, self.leaves, self.trees = parts, max_bits // parts, 0, []
         edges = [64 * k // parts for k in range(parts + 1)]
         self.masks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+        self.ends = []  # the first leaf after each tree
         for mask in self.masks:
             self.trees.append(self._grow(np.sort(sample & np.uint64(mask)), scale, leaf_rows, 0))
+            self.ends.append(self.leaves)
 
     def _grow(self, x: np.ndarray, scale: float, leaf_rows: int, depth: int):
         values = np.unique(x)
@@ -235,11 +237,13 @@ CELLS = 1 << 18
 NEAR_ROWS = 1 << 15
 
 
-def leaf_pairs(own: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, max_bits: int, similarity: float, few: bool) -> Iterator[np.ndarray]:
+def leaf_pairs(own: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, max_bits: int, similarity: float, few: bool,
+               wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[np.ndarray]:
     """(i, j) of rows, ordered by `n`, whose sizes allow the similarity, whose words are within `max_bits`, and whose labels differ; in slices.
 
     `side` has GUEST for rows of the band below, which do not meet each other here, and SECOND for rows of the second of two blocks; then
-    only pairs between the blocks count. `few`: for each i only the nearest j and the last, enough to join most of a family."""
+    only pairs between the blocks count. `wanted` says which of the pairs (i, j) count at all. `few`: for each i only the nearest j and the
+    last of those, enough to join most of a family."""
     i, cross = 0, bool((side & SECOND).any())
     last = np.searchsorted(n, n / similarity + 1e-9, "right")
     while i < len(own):
@@ -252,6 +256,9 @@ def leaf_pairs(own: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarr
         if cross:
             good &= (side[a] ^ side[b]) & SECOND > 0
         a, b = a[good], b[good]
+        if wanted is not None and len(a):
+            good = wanted(a, b)
+            a, b = a[good], b[good]
         if few and len(a):
             order = np.lexsort((np.bitwise_count(own[a] ^ own[b]), a))
             nearest = order[np.unique(a[order], return_index=True)[1]]
@@ -300,8 +307,10 @@ class Groups:
 
 def propose(nodes: DataFrame, cols: list[str], word: int, max_bits: int, parts: int, all_bits: int, similarity: float, few: bool,
             sample_rows: int = SAMPLE_ROWS, leaf_rows: int = NEAR_ROWS, block_rows: int = 2 * NEAR_ROWS) -> DataFrame:
-    """Pairs (a, b) of keys from one forest over word `word` of nodes (key, n, label, cols). A visit carries that word only; the other
-    words are asked of the pairs. A null label is the key.
+    """Pairs (a, b) of keys from one forest over word `word` of nodes (key, n, label, cols), all words together within `all_bits`.
+    A null label is the key. A visit carries all words, so that a group gives only pairs that pass every test, and a pair comes from one place:
+    the first word that proposes it (words before `word` have forests of their own) and, there, the tree of the first run of bits in which it is
+    within the radius, where it is sure to meet.
 
     A large leaf is cut by size bands (no pair is lost: sizes of similar sets differ by at most one band) and what is still large into blocks
     that meet two by two, so a group holds about 2 x `block_rows` rows at any size of table, and pairs leave it slice by slice."""
@@ -312,13 +321,13 @@ def propose(nodes: DataFrame, cols: list[str], word: int, max_bits: int, parts:
     scale = count / max(1, len(sample))
     forest = Forest(words, scale, max_bits, parts, leaf_rows)
     groups = Groups(forest, words, np.array([r[1] for r in sample], np.int64), scale, similarity, block_rows)
-    held = ["key", "n", "label", cols[word]]
+    held = ["key", "n", "label", *cols]
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
                 b = whole.slice(start, 4096)
-                group, at, side = groups.visits(b.column(3).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(0).to_numpy())
+                group, at, side = groups.visits(b.column(3 + word).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(0).to_numpy())
                 for i in range(0, len(group), 1 << 16):
                     some = pa.array(at[i:i + (1 << 16)])
                     yield pa.RecordBatch.from_arrays([pa.array(group[i:i + (1 << 16)]), pa.array(side[i:i + (1 << 16)])] + [c.take(some) for c in b.columns], names=["grp", "side"] + held)
@@ -327,19 +336,34 @@ def propose(nodes: DataFrame, cols: list[str], word: int, max_bits: int, parts:
         t = pa.Table.from_batches(list(batches))
         key, n = t["key"].to_numpy(), t["n"].to_numpy()
         order = np.lexsort((key, n))
-        key, n, own, side = key[order], n[order], t[cols[word]].to_numpy()[order].view(np.uint64), t["side"].to_numpy()[order]
+        key, n, side = key[order], n[order], t["side"].to_numpy()[order]
+        all_words = [t[c].to_numpy()[order].view(np.uint64) for c in cols]
+        own = all_words[word]
+        tree = int(np.searchsorted(forest.ends, t["grp"][0].as_py() >> 34, "right"))
         label = pc.coalesce(t["label"], t["key"]).to_numpy()[order]
-        for at in leaf_pairs(own, n, label, side, max_bits, similarity, few):
+
+        def wanted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            good, d = np.ones(len(a), bool), own[a] ^ own[b]
+            for mask in forest.masks[:tree]:
+                good &= np.bitwise_count(d & np.uint64(mask)) > forest.radius
+            a, b, at = a[good], b[good], np.flatnonzero(good)
+            turned = np.zeros(len(a), np.int64)
+            fresh = np.ones(len(a), bool)
+            for k, w in enumerate(all_words):
+                bits = np.bitwise_count(w[a] ^ w[b])
+                turned += bits
+                if k < word:
+                    fresh &= bits > max_bits
+            good[at] = fresh & (turned <= all_bits)
+            return good
+
+        for at in leaf_pairs(own, n, label, side, max_bits, similarity, few, wanted):
             a, b = key[at[:, 0]], key[at[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     label = F.when(F.col("label") != F.col("key"), F.col("label")).alias("label")
-    routed = nodes.select("key", "n", label, cols[word]).mapInArrow(visits, "grp long, side byte, " + ", ".join(f"{c} long" for c in held))
-    found = routed.groupBy("grp").applyInArrow(pairs, "a long, b long").distinct()
-    for end in "ab":
-        found = found.join(nodes.select(F.col("key").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in cols]), end)
-    turned = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in cols[1:]), F.bit_count(F.col(f"a_{cols[0]}").bitwiseXOR(F.col(f"b_{cols[0]}"))))
-    return found.where(turned <= all_bits).select("a", "b")
+    routed = nodes.select("key", "n", label, *cols).mapInArrow(visits, "grp long, side byte, " + ", ".join(f"{c} long" for c in held))
+    return routed.groupBy("grp").applyInArrow(pairs, "a long, b long").distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame, owners: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -373,7 +397,7 @@ def similar_components(docs: DataFrame, words: int, similarity: float, size: int
     prints = durable(shingle_prints(docs, words, size))
     owners = durable(prints.groupBy("key", "n", *cols).agg(F.min("id").alias("first_id")))
     alone = owners.withColumn("label", F.col("key"))
-    pairs = durable(propose(alone, cols, 0, max_bits, parts, all_bits, similarity, True).distinct())
+    pairs = durable(propose(alone, cols, 0, max_bits, parts, all_bits, similarity, True))
     links = similar(pairs, docs, owners, words, similarity)
     classes = connected_components(links, "a", "b").select(F.col("node").alias("key"), F.col("root"))
     nodes = durable(owners.join(classes, "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root"))
@@ -381,7 +405,7 @@ def similar_components(docs: DataFrame, words: int, similarity: float, size: int
     for k in range(size):
         more = durable(propose(nodes, cols, k, max_bits, parts, all_bits, similarity, False))  # one word after another
         rest = more if rest is None else rest.unionByName(more)
-    links = links.unionByName(similar(durable(rest.distinct()), docs, owners, words, similarity))
+    links = links.unionByName(similar(rest, docs, owners, words, similarity))
     classes = connected_components(links, "a", "b").select(F.col("node").alias("key"), F.col("root"))
     named = durable(owners.select("key", "first_id").join(classes, "key", "left").withColumn("root", F.coalesce("root", "key")))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))

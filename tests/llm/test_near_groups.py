@@ -101,3 +101,23 @@ def test_slices_are_bounded_where_sizes_differ(monkeypatch):
     near = count(words[:, None] ^ words[None]) <= 26
     want = {(int(a), int(b)) for a, b in zip(*np.nonzero(near & (n[:, None] >= 0.8 * n[None] - 1e-9))) if a < b}
     assert set(found) == want and len(found) == len(want) > 1_000 and max(seen) <= simhash.CELLS
+
+
+def test_proposals_are_whole_and_come_once(spark):
+    """Every pair within the bits of one of the words and of all words is proposed, by one word, and nothing else leaves a group."""
+    rnd = np.random.default_rng(11)
+    rows, cols = 700, ["f0", "f1"]
+    words = rnd.integers(-2**63, 2**63, (rows, 2)).astype(np.int64)
+    for i in range(1, 300):  # a family; some members are near in one word only
+        words[i] = words[0]
+        for w, turns in ((0, rnd.integers(0, 12)), (1, rnd.integers(0, 40))):
+            for b in rnd.integers(0, 64, turns):
+                words[i, w] ^= np.int64(np.uint64(1 << int(b)).astype(np.int64))
+    n, key = rnd.integers(90, 110, rows), rnd.permutation(rows * 10)[:rows]
+    nodes = spark.createDataFrame([(int(key[i]), int(n[i]), int(key[i]), int(words[i, 0]), int(words[i, 1])) for i in range(rows)], "key long, n long, label long, f0 long, f1 long").repartition(3)
+    got = [[(r["a"], r["b"]) for r in simhash.propose(nodes, cols, w, 13, 7, 30, 0.8, False, leaf_rows=100, block_rows=60).collect()] for w in (0, 1)]
+    u = words.view(np.uint64)
+    bits = np.bitwise_count(u[:, None] ^ u[None]).astype(int)
+    good = (bits <= 13).any(2) & (bits.sum(2) <= 30) & (np.minimum(n[:, None], n[None]) >= 0.8 * np.maximum(n[:, None], n[None]) - 1e-9)
+    want = {tuple(sorted((int(key[a]), int(key[b])))) for a, b in zip(*np.nonzero(good)) if a < b}
+    assert set(got[0]) | set(got[1]) == want and len(got[0]) + len(got[1]) == len(want) > 2_000 and got[1]
