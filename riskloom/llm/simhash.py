@@ -305,15 +305,16 @@ class Groups:
         return (code << 24) + low * 4096 + high, at, side + np.where((block == high) & (low < high), SECOND, 0).astype(np.int8)
 
 
-def propose(nodes: DataFrame, cols: list[str], word: int, max_bits: int, parts: int, all_bits: int, similarity: float, few: bool,
-            sample_rows: int = SAMPLE_ROWS, leaf_rows: int = NEAR_ROWS, block_rows: int = 2 * NEAR_ROWS) -> DataFrame:
-    """Pairs (a, b) of keys from one forest over word `word` of nodes (key, n, label, cols), all words together within `all_bits`.
-    A null label is the key. A visit carries all words, so that a group gives only pairs that pass every test, and a pair comes from one place:
-    the first word that proposes it (words before `word` have forests of their own) and, there, the tree of the first run of bits in which it is
-    within the radius, where it is sure to meet.
+def _in_groups(nodes: DataFrame, cols: list[str], word: int, max_bits: int, parts: int, all_bits: int, similarity: float, few: bool,
+               sample_rows: int, leaf_rows: int, block_rows: int, leave: Callable, schema: str) -> DataFrame:
+    """What `leave` gives for the groups of one forest over word `word` of nodes (key, n, label, cols): a generator over
+    (group, key, n, pairs), the rows in order of (n, key), where pairs(skip) gives (i, j) slice by slice and leaves out those that
+    skip(i, j) names. A null label is the key. A visit carries all words, so that only pairs that pass every test are given, and a pair
+    comes from one place: the first word that proposes it (words before `word` have forests of their own) and, there, the tree of the
+    first run of bits in which it is within the radius, where it is sure to meet.
 
     A large leaf is cut by size bands (no pair is lost: sizes of similar sets differ by at most one band) and what is still large into blocks
-    that meet two by two, so a group holds about 2 x `block_rows` rows at any size of table, and pairs leave it slice by slice."""
+    that meet two by two, so a group holds about 2 x `block_rows` rows at any size of table."""
     count = nodes.count()
     part = min(1_000_000, int(1_000_000 * sample_rows / max(1, count)))
     sample = nodes.where(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) < part).select(cols[word], "n").collect()  # about sample_rows hashes
@@ -332,18 +333,19 @@ def propose(nodes: DataFrame, cols: list[str], word: int, max_bits: int, parts:
                     some = pa.array(at[i:i + (1 << 16)])
                     yield pa.RecordBatch.from_arrays([pa.array(group[i:i + (1 << 16)]), pa.array(side[i:i + (1 << 16)])] + [c.take(some) for c in b.columns], names=["grp", "side"] + held)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
         key, n = t["key"].to_numpy(), t["n"].to_numpy()
         order = np.lexsort((key, n))
         key, n, side = key[order], n[order], t["side"].to_numpy()[order]
         all_words = [t[c].to_numpy()[order].view(np.uint64) for c in cols]
-        own = all_words[word]
-        tree = int(np.searchsorted(forest.ends, t["grp"][0].as_py() >> 34, "right"))
+        own, group = all_words[word], t["grp"][0].as_py()
+        tree = int(np.searchsorted(forest.ends, group >> 34, "right"))
         label = pc.coalesce(t["label"], t["key"]).to_numpy()[order]
 
-        def wanted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            good, d = np.ones(len(a), bool), own[a] ^ own[b]
+        def wanted(a: np.ndarray, b: np.ndarray, skip: Callable | None) -> np.ndarray:
+            good = np.ones(len(a), bool) if skip is None else ~skip(a, b)
+            d = own[a] ^ own[b]
             for mask in forest.masks[:tree]:
                 good &= np.bitwise_count(d & np.uint64(mask)) > forest.radius
             a, b, at = a[good], b[good], np.flatnonzero(good)
@@ -357,55 +359,134 @@ def propose(nodes: DataFrame, cols: list[str], word: int, max_bits: int, parts:
             good[at] = fresh & (turned <= all_bits)
             return good
 
-        for at in leaf_pairs(own, n, label, side, max_bits, similarity, few, wanted):
-            a, b = key[at[:, 0]], key[at[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        yield from leave(group, key, n, lambda skip=None: leaf_pairs(own, n, label, side, max_bits, similarity, few, lambda a, b: wanted(a, b, skip)))
 
     label = F.when(F.col("label") != F.col("key"), F.col("label")).alias("label")
     routed = nodes.select("key", "n", label, *cols).mapInArrow(visits, "grp long, side byte, " + ", ".join(f"{c} long" for c in held))
-    return routed.groupBy("grp").applyInArrow(pairs, "a long, b long").distinct()
+    return routed.groupBy("grp").applyInArrow(meet, schema)
 
 
-def similar(pairs: DataFrame, texts: DataFrame, owners: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have that Jaccard similarity or more. texts(id, t), owners(key, first_id)."""
-    needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(owners.select("key", F.col("first_id").alias("id")), "key")
+def propose(nodes: DataFrame, cols: list[str], word: int, max_bits: int, parts: int, all_bits: int, similarity: float, few: bool,
+            sample_rows: int = SAMPLE_ROWS, leaf_rows: int = NEAR_ROWS, block_rows: int = 2 * NEAR_ROWS) -> DataFrame:
+    """Pairs (a, b) of keys from one forest over word `word` of nodes (key, n, label, cols), all words together within `all_bits`: the list
+    itself, which grows with the square of a family. `meetings` gives the rows of it instead."""
+
+    def leave(group: int, key: np.ndarray, n: np.ndarray, pairs: Callable) -> Iterator[pa.RecordBatch]:
+        for at in pairs():
+            a, b = key[at[:, 0]], key[at[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return _in_groups(nodes, cols, word, max_bits, parts, all_bits, similarity, few, sample_rows, leaf_rows, block_rows, leave, "a long, b long").distinct()
+
+
+#: Bytes of shingle sets in a block; two blocks meet in a task.
+SET_BYTES = 8 << 20
+#: Words of 64 bits that tell of each of as many hash values whether a set holds an odd number of shingles with it.
+ODD_WORDS = 16
+
+
+def meetings(nodes: DataFrame, cols: list[str], word: int, max_bits: int, parts: int, all_bits: int, similarity: float,
+             sample_rows: int = SAMPLE_ROWS, leaf_rows: int = NEAR_ROWS, block_rows: int = 2 * NEAR_ROWS, set_bytes: int = SET_BYTES) -> DataFrame:
+    """(word, grp, low, high, side, key): where the pairs of `propose` meet. One row for each row of a group that has a partner there, not one
+    for each pair. Rows of a group are cut by size into blocks of about `set_bytes` of shingles (low, high: the two blocks that meet,
+    side SECOND in the second), and a row is sent to the blocks it has partners in."""
+
+    def leave(group: int, key: np.ndarray, n: np.ndarray, pairs: Callable) -> Iterator[pa.RecordBatch]:
+        tile = np.cumsum(8 * n) // set_bytes
+        tile = np.unique(tile, return_inverse=True)[1]
+        met = np.zeros((len(key), tile[-1] + 1), bool)
+        for at in pairs(lambda a, b: met[a, tile[b]] & met[b, tile[a]]):
+            a, b = at[:, 0], at[:, 1]
+            met[a, tile[b]] = met[b, tile[a]] = True
+        some = np.flatnonzero(met.any(axis=1))
+        if not len(some):
+            return
+        block = np.cumsum(np.bincount(tile[some], 8 * n[some], met.shape[1])) // set_bytes  # tiles of which few rows have partners share a block
+        block = np.unique(block, return_inverse=True)[1]
+        own, key = block[tile[some]], key[some]
+        meets = np.stack([met[some][:, block == k].any(axis=1) for k in range(block[-1] + 1)], 1)
+        for low in range(block[-1] + 1):
+            for high in range(low, block[-1] + 1):
+                first, second = (own == low) & meets[:, high], (own == high) & meets[:, low] & (low != high)
+                at = np.flatnonzero(first | second)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x, np.int32)) for x in (word, low, high)] + [pa.array(np.full(len(at), group)), pa.array(second[at] * np.int8(SECOND)), pa.array(key[at])],
+                                                     names=["word", "low", "high", "grp", "side", "key"])
+
+    return _in_groups(nodes, cols, word, max_bits, parts, all_bits, similarity, False, sample_rows, leaf_rows, block_rows, leave, "word int, low int, high int, grp long, side byte, key long")
+
+
+def odd_bits(sets: list[np.ndarray], size: int = ODD_WORDS) -> np.ndarray:
+    """`size` words for each set. Two sets differ in at least as many shingles as these words differ in bits: what is too far here is too
+    far in truth."""
+    out = np.zeros((len(sets), 64 * size), np.uint8)
+    for r, x in enumerate(sets):
+        out[r] = np.bincount((x % np.uint64(64 * size)).astype(np.int64), minlength=64 * size) & 1
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def set_links(sets: list[np.ndarray], own: np.ndarray, all_words: np.ndarray, side: np.ndarray, max_bits: int, all_bits: int, similarity: float) -> list[tuple[int, int]]:
+    """Positions (i, j) of links that join what is similar among sets ordered by size: at most one fewer than sets. Pairs within the bits are
+    compared exactly, except where other links join them already or the odd bits say that they differ too much."""
+    n, label, odd, found = np.array([len(x) for x in sets]), np.arange(len(sets)), odd_bits(sets), []
+
+    def wanted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        good = np.bitwise_count(all_words[a] ^ all_words[b]).sum(1, dtype=np.int64) <= all_bits
+        at = np.flatnonzero(good)
+        for i in range(0, len(at), 1 << 14):
+            some = at[i:i + (1 << 14)]
+            differ = np.bitwise_count(odd[a[some]] ^ odd[b[some]]).sum(1, dtype=np.int64)
+            good[some] = differ <= (n[a[some]] + n[b[some]]) * (1 - similarity) / (1 + similarity) + 1e-6
+        return good
+
+    for at in leaf_pairs(own, n, label, side, max_bits, similarity, False, wanted):
+        for i, j in at.tolist():
+            if label[i] == label[j]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= similarity * (n[i] + n[j] - both) - 1e-9:
+                found.append((i, j))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def similar_links(met: DataFrame, texts: DataFrame, owners: DataFrame, cols: list[str], words: int, max_bits: int, all_bits: int, similarity: float) -> DataFrame:
+    """Links (a, b) of keys whose sets of shingles have that Jaccard similarity or more, enough of them to join all that are similar where they
+    meet: fewer than rows of `met`. texts(id, t), owners(key, cols, first_id)."""
+    needed = met.select("key").distinct().join(owners.select("key", *cols, F.col("first_id").alias("id")), "key")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], names=["key", "s"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([shingle_set(t.as_py(), words).tobytes() for t in b.column(len(cols) + 1)], pa.binary())], names=["key", *cols, "s"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        key, held = t["key"].to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in t["s"]]
+        order = np.lexsort((key, [len(x) for x in held]))
+        key, held, side = key[order], [held[i] for i in order], t["side"].to_numpy()[order]
+        all_words = np.stack([t[c].to_numpy()[order].view(np.uint64) for c in cols], 1)
+        own = np.ascontiguousarray(all_words[:, t["word"][0].as_py()])
+        found = np.array(set_links(held, own, all_words, side, max_bits, all_bits, similarity), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(key[found[:, 0]]), pa.array(key[found[:, 1]])], names=["a", "b"])
 
-    whole = durable(texts.join(needed, "id").select("key", "t").dropDuplicates(["key"]).mapInArrow(sets, "key long, s binary"))
-    met = pairs.join(whole.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(whole.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
-    return durable(met.select("a", "b", "x", "y").mapInArrow(meet, "a long, b long"))
+    schema = "key long, " + ", ".join(f"{c} long" for c in cols)
+    whole = texts.join(needed, "id").select("key", *cols, "t").dropDuplicates(["key"]).mapInArrow(sets, schema + ", s binary")
+    return met.join(whole, "key").groupBy("word", "grp", "low", "high").applyInArrow(links, "a long, b long")
 
 
 def similar_components(docs: DataFrame, words: int, similarity: float, size: int, max_bits: int, parts: int, all_bits: int) -> DataFrame:
     """(id, component_id) for rows (id, t): components over all proposed pairs whose shingle sets have the similarity.
 
-    A first round proposes few links per row and joins families of near copies; the second proposes every pair not yet in one component.
+    No list of pairs is made: rows with partners meet again with their sets, and what leaves a meeting are fewer links than rows.
     """
     cols = [f"f{k}" for k in range(size)]
     prints = durable(shingle_prints(docs, words, size))
     owners = durable(prints.groupBy("key", "n", *cols).agg(F.min("id").alias("first_id")))
-    alone = owners.withColumn("label", F.col("key"))
-    pairs = durable(propose(alone, cols, 0, max_bits, parts, all_bits, similarity, True))
-    links = similar(pairs, docs, owners, words, similarity)
-    classes = connected_components(links, "a", "b").select(F.col("node").alias("key"), F.col("root"))
-    nodes = durable(owners.join(classes, "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root"))
-    rest = None
+    alone, met = owners.withColumn("label", F.col("key")), None
     for k in range(size):
-        more = durable(propose(nodes, cols, k, max_bits, parts, all_bits, similarity, False))  # one word after another
-        rest = more if rest is None else rest.unionByName(more)
-    links = links.unionByName(similar(rest, docs, owners, words, similarity))
+        more = durable(meetings(alone, cols, k, max_bits, parts, all_bits, similarity))  # one word after another
+        met = more if met is None else met.unionByName(more)
+    links = similar_links(met, docs, owners, cols, words, max_bits, all_bits, similarity)
     classes = connected_components(links, "a", "b").select(F.col("node").alias("key"), F.col("root"))
     named = durable(owners.select("key", "first_id").join(classes, "key", "left").withColumn("root", F.coalesce("root", "key")))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))

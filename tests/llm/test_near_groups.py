@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.llm import hnsw, simhash
 
@@ -121,3 +122,56 @@ def test_proposals_are_whole_and_come_once(spark):
     good = (bits <= 13).any(2) & (bits.sum(2) <= 30) & (np.minimum(n[:, None], n[None]) >= 0.8 * np.maximum(n[:, None], n[None]) - 1e-9)
     want = {tuple(sorted((int(key[a]), int(key[b])))) for a, b in zip(*np.nonzero(good)) if a < b}
     assert set(got[0]) | set(got[1]) == want and len(got[0]) + len(got[1]) == len(want) > 2_000 and got[1]
+
+
+def texts_of_a_family(rnd, rows):
+    """Texts whose shingle sets share from half to nearly all: most pairs are proposed, and about half of them are refused."""
+    base = [f"w{i}" for i in range(120)]
+    out = []
+    for r in range(rows):
+        words = list(base)
+        for i in rnd.choice(120, int(rnd.integers(1, 5)), replace=False):
+            words[i] = f"x{r % 23 if r % 2 else r}_{i}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("set_bytes, leaf_rows, block_rows", [(1 << 23, 500, 500), (20_000, 100, 150)])
+def test_a_family_leaves_links_and_no_list_of_pairs(spark, set_bytes, leaf_rows, block_rows):
+    rnd = np.random.default_rng(5)
+    rows, cols = 240, ["f0", "f1", "f2", "f3"]
+    texts = texts_of_a_family(rnd, rows)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    owners = simhash.shingle_prints(docs, 5, 4).withColumnRenamed("id", "first_id").withColumn("label", F.col("key")).cache()
+    at = {r["key"]: r["first_id"] for r in owners.collect()}
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    met, listed = None, set()
+    for k in range(4):
+        more = simhash.meetings(owners, cols, k, 13, 7, 76, 0.8, leaf_rows=leaf_rows, block_rows=block_rows, set_bytes=set_bytes)
+        met = more if met is None else met.unionByName(more)
+        listed |= {(at[r["a"]], at[r["b"]]) for r in simhash.propose(owners, cols, k, 13, 7, 76, 0.8, False, leaf_rows=leaf_rows, block_rows=block_rows).collect()}
+    links = [(at[r["a"]], at[r["b"]]) for r in simhash.similar_links(met, docs, owners, cols, 5, 13, 76, 0.8).collect()]
+
+    def joined(pairs):
+        root = list(range(rows))
+        for a, b in pairs:
+            if root[a] != root[b]:
+                root = [root[a] if x == root[b] else x for x in root]
+        return {frozenset(i for i in range(rows) if root[i] == k) for k in set(root)}
+
+    good = {(a, b) for a, b in listed if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in links)
+    assert joined(links) == joined(good) and 1_000 < len(good) < len(listed)
+    assert len(links) < met.count()
+    if set_bytes > 20_000:
+        assert met.count() < len(listed) / 2
+
+
+def test_odd_bits_never_say_more_than_the_sets():
+    rnd = np.random.default_rng(9)
+    sets = [np.unique(rnd.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 1, 40, 300, 5_000)]
+    sets += [np.unique(np.append(s[: len(s) * 9 // 10], rnd.integers(0, 2**63, len(s) // 10).astype(np.uint64))) for s in sets]
+    odd = simhash.odd_bits(sets)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert np.bitwise_count(odd[i] ^ odd[j]).sum() <= len(np.setxor1d(x, y))
