@@ -1,9 +1,11 @@
 """Language-model scores by Brown classes: exchange clustering puts words into classes; a text's probability is that of its class
 transitions times that of each word within its class, mixed with the word's own share.
 
-What the model keeps is bounded by its parameters, what it counts is not: every training word is counted, and looked up exactly
-when scoring. The `events` commonest words are clustered one by one; all other words are clustered in `shapes` groups by their last
-three bytes, so every word, known or not, has a class. Bigrams of events are counted over the whole training text.
+What the driver keeps is bounded by parameters, what the model counts is not: every training word is counted, has a class of its own
+bigrams, and is looked up exactly when scoring. The `events` commonest words are exchanged one by one, together with `shapes` groups of
+the others by their last three bytes. Then every other counted word leaves its group for the class under which its own neighbours,
+all its occurrences, are likeliest; class bigrams are counted anew over the whole training text. A group's class is left only to words
+that no training text holds.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,7 @@ from riskloom.functions.durable import durable
 END = "\n"  # no word holds a line break
 HEAD_WORDS, HEAD_BYTES = 131_072, 64
 FLUSH = 250_000
+GAP = 255  # in a sequence of classes: a word whose class comes from the whole table
 
 
 @dataclass
@@ -37,7 +41,8 @@ class Settings:
 
 @dataclass
 class Model:
-    """Bounded by Settings and HEAD_WORDS. `head` holds counts of the commonest words; `counts` is the whole table in Spark."""
+    """Bounded by Settings and HEAD_WORDS. `head` and `events` hold counts of the commonest words and their places in `class_of`, which after
+    the first `events` + 1 has the shapes' classes; `counts` is the whole table in Spark: word, n, c (its class)."""
 
     settings: Settings
     tokens: int
@@ -157,9 +162,146 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, size: int, clas
     return class_of
 
 
+def neighbours(texts: DataFrame, events: dict, head: list[bytes], class_of: np.ndarray, s: Settings) -> DataFrame:
+    """(word, lr, n) for every occurrence of a word that is no event: class before it * classes + class after it."""
+    sent = texts.sparkSession.sparkContext.broadcast((events, head, class_of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        events, head, class_of = sent.value
+        names, at, square = pa.array([w.decode() for w in head], pa.string()), {w: k for k, w in enumerate(head)}, s.classes**2
+        held: list[np.ndarray] = []
+        rows, rare = 0, Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                codes, n = np.unique(np.concatenate(held), return_counts=True)
+                for i in range(0, len(codes), 1 << 16):
+                    some = codes[i:i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(some // square)), pa.array((some % square).astype(np.int32)), pa.array(n[i:i + (1 << 16)].astype(np.int64))], names=["word", "lr", "n"])
+            if rare:
+                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _ in rare], pa.string()), pa.array([x for _, x in rare], pa.int32()), pa.array(list(rare.values()), pa.int64())], names=["word", "lr", "n"])
+            held.clear()
+            rare.clear()
+
+        for b in batches:
+            for t in b.column(0):
+                words = _words(t.as_py())
+                c = class_of[np.concatenate(([0], _event_ids(words, events, s.events + 1, s.shapes), [0]))]
+                lr = c[:-2] * s.classes + c[2:]
+                kind = np.fromiter((-2 if w in events else at.get(w, -1) for w in words), np.int64, len(words))
+                common, others = kind >= 0, np.flatnonzero(kind == -1)
+                held.append(kind[common] * square + lr[common])
+                rows += len(held[-1])
+                rare.update(zip([words[i] for i in others.tolist()], lr[others].tolist()))
+                if rows > 1_000_000 or len(rare) > FLUSH:
+                    yield from out()
+                    rows = 0
+        yield from out()
+
+    return texts.mapInArrow(run, "word string, lr int, n long")
+
+
+def place(grams: DataFrame, log_step: np.ndarray, log_total: np.ndarray) -> DataFrame:
+    """(word, c): the class, never that of the end, under which all occurrences of the word among their neighbours are likeliest."""
+    k = len(log_total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 4_096):
+                b = whole.slice(i, 4_096)
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(1)).to_numpy())
+                lr, n = b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy().astype(float)
+                before = np.bincount(row * k + lr // k, n, b.num_rows * k).reshape(-1, k)
+                after = np.bincount(row * k + lr % k, n, b.num_rows * k).reshape(-1, k)
+                gain = before @ log_step + after @ log_step.T - before.sum(1)[:, None] * log_total[None, :]
+                gain[:, 0] = -np.inf
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gain.argmax(1).astype(np.int32))], names=["word", "c"])
+
+    summed = grams.repartition("word").groupBy("word", "lr").agg(F.sum("n").alias("n"))
+    return summed.groupBy("word").agg(F.collect_list("lr").alias("lr"), F.collect_list("n").alias("n")).mapInArrow(run, "word string, c int")
+
+
+def in_classes(docs: DataFrame, head: dict, events: dict, class_of: np.ndarray, counts: DataFrame, s: Settings) -> DataFrame:
+    """(row, id, n_tokens, n_known, s, seq, gaps) for rows (id, t): classes of the text's words between two ends, one byte each, with gaps for
+    words outside the head; `gaps` lists their classes and positions, met in the whole table. s: sum of log10(count + add)."""
+    kind, add, end_count = docs.schema["id"].dataType.simpleString(), s.add, head.get(END.encode(), 0)
+    sent = docs.sparkSession.sparkContext.broadcast({w: (int(class_of[events[w]]), float(np.log10(n + add))) for w, n in head.items()})
+    schema = f"row long, word string, id {kind}, pos array<int>, tokens long, known long, counted double, seq binary"
+    end_rate = float(np.log10(end_count + add))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_words, none = sent.value, (GAP, 0.0)
+        names = [x.split()[0] for x in schema.split(", ")]
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                rows, words_out, ids, flat, ends, tokens, known, counted, seqs = ([] for _ in range(9))
+                for row, own, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                    words = _words(t.as_py())
+                    found = [known_words.get(w, none) for w in words]
+                    seq = bytes([0, *[x[0] for x in found], 0])
+                    rest: dict = {}
+                    for i in np.flatnonzero(np.frombuffer(seq, np.uint8) == GAP).tolist():
+                        rest.setdefault(words[i - 1], []).append(i)
+                    for w, places in rest.items():
+                        flat += places
+                        ends.append(len(flat))
+                    rows += [row] * (len(rest) + 1)
+                    words_out += [w.decode() for w in rest]
+                    words_out.append(f"{END}{row}")  # meets no word
+                    for column, empty, value in ((ids, None, own), (tokens, 0, len(words) + 1), (known, 0, len(words) - sum(map(len, rest.values())) + (end_count > 0)),
+                                                 (counted, 0.0, sum([x[1] for x in found], end_rate)), (seqs, None, seq)):
+                        column += [empty] * len(rest)
+                        column.append(value)
+                    ends.append(len(flat))
+                pos = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(flat, pa.int32()))
+                kinds = [(rows, pa.int64()), (words_out, pa.string()), (ids, b.column(1).type), (pos, None), (tokens, pa.int64()), (known, pa.int64()), (counted, pa.float64()), (seqs, pa.binary())]
+                yield pa.RecordBatch.from_arrays([x if k is None else pa.array(x, k) for x, k in kinds], names=names)
+
+    passed = docs.select(F.monotonically_increasing_id().alias("row"), "id", "t").mapInArrow(run, schema)
+    met = passed.join(counts, "word", "left")
+    n, tf = F.coalesce("n", F.lit(0)), F.size("pos")
+    shapes = F.array(*[F.lit(int(c)) for c in class_of[s.events + 1:s.events + 1 + s.shapes]])
+    c = F.coalesce("c", F.get(shapes, F.pmod(F.crc32(F.expr("substring(encode(word, 'UTF-8'), -3, 3)")), F.lit(s.shapes)).cast("int")))
+    return met.groupBy("row").agg(F.max("id").alias("id"), F.sum("tokens").alias("n_tokens"), F.sum(F.col("known") + F.when(n > 0, tf).otherwise(0)).alias("n_known"),
+                                  F.sum(F.col("counted") + F.when(tf > 0, tf * F.log10(n + add)).otherwise(0.0)).alias("s"), F.first("seq", ignorenulls=True).alias("seq"),
+                                  F.collect_list(F.when(tf > 0, F.struct(c.alias("c"), "pos"))).alias("gaps"))
+
+
+def _steps(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, next class, row) for every step of every text of a batch of `in_classes`, the steps to its first word and to its end included."""
+    seq, gaps = b.column(b.schema.get_field_index("seq")).to_pylist(), b.column(b.schema.get_field_index("gaps"))
+    sizes = np.array([len(x) for x in seq], np.int64)
+    start, x = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(seq), np.uint8).copy()
+    row, flat = np.repeat(np.arange(len(seq)), pc.list_value_length(gaps).to_numpy()), gaps.flatten()
+    c, pos = flat.field("c").to_numpy(), flat.field("pos")
+    n = pc.list_value_length(pos).to_numpy()
+    x[np.repeat(start[row], n) + pos.flatten().to_numpy()] = np.repeat(c, n)
+    inside = np.ones(len(x), bool)
+    inside[start + sizes - 1] = False
+    at = np.flatnonzero(inside)
+    return x[at], x[at + 1], np.repeat(np.arange(len(seq)), sizes - 1)
+
+
+def count_steps(classed: DataFrame, classes: int) -> np.ndarray:
+    """Bigrams of classes over all texts of `in_classes`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes**2, np.int64)
+        for b in batches:
+            left, right, _ = _steps(b)
+            total += np.bincount(left.astype(np.int64) * classes + right, minlength=classes**2)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes**2)), pa.array(total)], names=["pair", "n"])
+
+    got = classed.select("seq", "gaps").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    return np.bincount(got["pair"].to_numpy(), got["n"].to_numpy(), classes**2).reshape(classes, classes)
+
+
 def train(docs: DataFrame, text_col: str = "text", settings: Settings | None = None) -> Model:
     """Learns from every row of `docs`. Null texts count as empty. No rows: an empty model, whose scores follow from no counts."""
     s = settings or Settings()
+    if s.classes >= GAP:
+        raise ValueError(f"fewer than {GAP} classes")
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
     counts = durable(count_words(texts))
@@ -171,7 +313,8 @@ def train(docs: DataFrame, text_col: str = "text", settings: Settings | None = N
         if room < 0:
             break
         least = r["k"]
-    top = counts.where((F.col("word") == END) | (short & (step >= least if least is not None else F.lit(False)))).toArrow()  # at most HEAD_WORDS + 1 words, 8 MB
+    common = (F.col("word") == END) | (short & (step >= least if least is not None else F.lit(False)))
+    top = counts.where(common).toArrow()  # at most HEAD_WORDS + 1 words, 8 MB
     head = {w.encode(): n for n, w in sorted(zip(top["n"].to_pylist(), top["word"].to_pylist()), key=lambda x: (-x[0], x[1]))}
     chosen = [w for w in head if w != END.encode()][: s.events]
     events = {w: k + 1 for k, w in enumerate(chosen)} | {END.encode(): 0}
@@ -182,13 +325,20 @@ def train(docs: DataFrame, text_col: str = "text", settings: Settings | None = N
     del got, pairs, top
     class_of = exchange(left, right, n, size, s.classes, s.rounds)
     pair = np.bincount(class_of[left] * s.classes + class_of[right], n, s.classes**2).reshape(s.classes, s.classes)
+    step = np.log((pair + s.add) / (pair.sum(1, keepdims=True) + s.add * s.classes))
+    grams = neighbours(texts, events, [w for w in head if w not in events], class_of, s)
+    placed = place(grams, step, np.log(pair.sum(0) + s.add))
+    kinds = spark.createDataFrame([(w.decode(), int(class_of[k])) for w, k in events.items()], "word string, e int")  # at most `events` + 1 rows
+    counts = durable(counts.join(placed, "word", "left").join(F.broadcast(kinds), "word", "left").select("word", "n", F.coalesce("e", "c").alias("c")))
+    own = counts.where(common).select("word", "c").toArrow()  # the head again
+    own = dict(zip(own["word"].to_pylist(), own["c"].to_pylist()))
+    later = [w for w in head if w not in events]
+    events |= {w: size + k for k, w in enumerate(later)}
+    class_of = np.append(class_of, np.array([own[w.decode()] for w in later], np.int64))
+    pair = count_steps(in_classes(texts.select(F.lit(0).alias("id"), "t"), head, events, class_of, counts, s), s.classes)
     transition = (pair + s.add) / (pair.sum(1, keepdims=True) + s.add * s.classes)
-    kinds = spark.createDataFrame([(w.decode(), int(k)) for w, k in events.items()], "word string, e long")  # at most `events` + 1 rows
-    shape = s.events + 1 + F.pmod(F.crc32(F.expr("substring(encode(word, 'UTF-8'), -3, 3)")), F.lit(s.shapes))
-    named = F.broadcast(spark.createDataFrame([(k, int(c)) for k, c in enumerate(class_of)], "e long, c int"))
-    by_class = (counts.join(F.broadcast(kinds), "word", "left").withColumn("e", F.coalesce("e", shape)).join(named, "e").groupBy("c").agg(F.sum("n"), F.count("*")).collect())
     spread = np.full(s.classes, s.add)
-    for c, n, v in by_class:
+    for c, n, v in counts.groupBy("c").agg(F.sum("n"), F.count("*")).collect():
         spread[c] = n + s.add * (v + 1)
     return Model(s, tokens or 0, types or 0, head, events, class_of, transition, spread, counts)
 
@@ -196,52 +346,20 @@ def train(docs: DataFrame, text_col: str = "text", settings: Settings | None = N
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score per input row (log10 over the whole text and its end).
 
-    A word's count comes from the bounded head or, for the rest, from a join with the whole table; rows that repeat a word meet it
+    A word's count and class come from the bounded head or, for the rest, from a join with the whole table; rows that repeat a word meet it
     once. Null and empty texts have one token, the end. Repeated rows each give a row; other columns are not read.
     """
     s, kind = model.settings, docs.schema[id_col].dataType.simpleString()
     whole = model.tokens + s.add * (model.types + 1)
-    sent = docs.sparkSession.sparkContext.broadcast((model.head, model.events, model.class_of, np.log10(s.mix * model.transition / model.spread[None, :] + (1 - s.mix) / whole)))
-    end_count, add = model.head.get(END.encode(), 0), s.add
-    schema = f"row long, word string, id {kind}, tf long, tokens long, known long, counted double, mixed double"
+    logs = np.log10(s.mix * model.transition / model.spread[None, :] + (1 - s.mix) / whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, events, class_of, logs = sent.value
-        rate = {w: float(np.log10(n + add)) for w, n in head.items()}
-        end_rate = float(np.log10(end_count + add))
-        names = [x.split()[0] for x in schema.split(", ")]
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                rows, words_out, ids, tf, tokens, known, counted, mixed = ([] for _ in range(8))
-                part = b.slice(at, 500)
-                for row, own, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
-                    words = _words(t.as_py())
-                    rest = Counter([w for w in words if w not in rate])
-                    c = class_of[np.concatenate(([0], _event_ids(words, events, s.events + 1, s.shapes), [0]))]
-                    for w, n in rest.items():
-                        rows.append(row)
-                        words_out.append(w.decode())
-                        ids.append(None)
-                        tf.append(n)
-                        tokens.append(0)
-                        known.append(0)
-                        counted.append(0.0)
-                        mixed.append(0.0)
-                    rows.append(row)
-                    words_out.append(f"{END}{row}")  # meets no word
-                    ids.append(own)
-                    tf.append(0)
-                    tokens.append(len(words) + 1)
-                    known.append(len(words) - sum(rest.values()) + (end_count > 0))
-                    counted.append(sum([rate[w] for w in words if w in rate], end_rate))
-                    mixed.append(float(logs[c[:-1], c[1:]].sum()))
-                kinds = [pa.int64(), pa.string(), b.column(1).type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((rows, words_out, ids, tf, tokens, known, counted, mixed), kinds)], names=names)
-
-    passed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t")).mapInArrow(run, schema)
-    met = passed.join(model.counts, "word", "left")
-    n = F.coalesce("n", F.lit(0))
-    sums = met.groupBy("row").agg(F.max("id").alias(id_col), F.sum("tokens").alias("n_tokens"), F.sum(F.col("known") + F.when(n > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-                                  F.sum(F.col("counted") + F.when(F.col("tf") > 0, F.col("tf") * F.log10(n + add)).otherwise(0.0)).alias("s"), F.sum("mixed").alias("m"))
-    return sums.select(id_col, "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"),
+            left, right, row = _steps(b)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(np.bincount(row, logs[left, right], b.num_rows))], names=["id", "n_tokens", "n_known", "s", "m"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    classed = in_classes(texts, model.head, model.events, model.class_of, model.counts, s)
+    sums = classed.select("id", "n_tokens", "n_known", "s", "seq", "gaps").mapInArrow(run, f"id {kind}, n_tokens long, n_known long, s double, m double")
+    return sums.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"),
                        (F.col("s") - F.col("n_tokens") * float(np.log10(whole))).alias("base_score"), (F.col("s") + F.col("m")).alias("score"))

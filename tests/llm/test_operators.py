@@ -583,3 +583,34 @@ def test_pipeline_stages(spark):
     assert all(set(at[b]) <= set(at[a]) for a, b in zip(order, order[1:])) and set(at[order[0]]) == set(at[order[1]]) and set(at[order[3]]) == set(at[order[4]])
     assert len({r["text"] for r in left.values()}) == len(left) and all(r["round_trip"] and r["n_tokens"] == len(r["token_ids"]) for r in at[order[4]].values())
     assert p.run(spark, SF).count() == len(left)
+
+
+def test_brown_places_every_counted_word_by_its_own_neighbours(spark, monkeypatch):
+    """Two kinds of words far rarer than the events, with endings that say nothing, fall apart by what stands beside them; scores are those of
+    a plain model with the same classes, also for runs of words outside the head."""
+    monkeypatch.setattr(brown, "HEAD_WORDS", 12)
+    r = random.Random(8)
+    common, rare = {k: [f"{k}{i}" for i in range(5)] for k in "ab"}, {k: [f"{k}word{i}same" for i in range(40)] for k in "ab"}
+    texts = [" ".join(r.choice(common[k] * 16 + rare[k]) for _ in range(36)) for k in "ab" for _ in range(60)] + ["aword1same bword2same bword3same"]
+    s = brown.Settings(events=10, shapes=4, classes=3, rounds=8)
+    model = brown.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), settings=s)
+    counts = {x["word"]: (x["n"], x["c"]) for x in model.counts.collect()}
+    kinds = [{counts[w][1] for w in rare[k] + common[k]} for k in "ab"]
+    assert [len(k) for k in kinds] == [1, 1] and kinds[0] != kinds[1] and counts["\n"][1] == 0
+    tokens = [[0, *[counts[w][1] for w in t.split()], 0] for t in texts]
+    pair = np.full((3, 3), 0.5)
+    for c in tokens:
+        np.add.at(pair, (c[:-1], c[1:]), 1)
+    step = pair / pair.sum(1, keepdims=True)
+    assert np.allclose(model.transition, step)
+    n, v = model.tokens, model.types
+    got = {x["doc_id"]: x["score"] for x in brown.score(spark.createDataFrame(list(enumerate([*texts, "unseen aword1same", ""])), "doc_id long, text string"), model).collect()}
+    spread = [sum(k + 0.5 for k, c in counts.values() if c == d) + 0.5 for d in range(3)]
+    unseen = int(model.class_of[s.events + 1 + zlib.crc32(b"een") % s.shapes])
+    for i, t in enumerate([*texts, "unseen aword1same", ""]):
+        want, at = 0.0, 0
+        for w in [*t.split(), "\n"]:
+            k, c = counts.get(w, (0, unseen))
+            want += math.log10((k + 0.5) * (s.mix * step[at, c] / spread[c] + (1 - s.mix) / (n + 0.5 * (v + 1))))
+            at = c
+        assert math.isclose(got[i], want, rel_tol=1e-9)
