@@ -162,46 +162,50 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, size: int, clas
     return class_of
 
 
-def neighbours(texts: DataFrame, events: dict, head: list[bytes], class_of: np.ndarray, s: Settings) -> DataFrame:
-    """(word, lr, n) for every occurrence of a word that is no event: class before it * classes + class after it."""
-    sent = texts.sparkSession.sparkContext.broadcast((events, head, class_of))
+def neighbours(texts: DataFrame, events: dict, class_of: np.ndarray, s: Settings) -> DataFrame:
+    """(word, code, n), lists that count the classes beside the occurrences of a word that is no event: before it (class) and after it
+    (classes + class). One row for a word from each piece of a task, at most 2 * classes codes in it."""
+    sent = texts.sparkSession.sparkContext.broadcast((events, class_of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        events, head, class_of = sent.value
-        names, at, square = pa.array([w.decode() for w in head], pa.string()), {w: k for k, w in enumerate(head)}, s.classes**2
+        events, class_of = sent.value
+        wide = 2 * s.classes
+        ids: dict = {}
         held: list[np.ndarray] = []
-        rows, rare = 0, Counter()
+        rows = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            if held:
-                codes, n = np.unique(np.concatenate(held), return_counts=True)
-                for i in range(0, len(codes), 1 << 16):
-                    some = codes[i:i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(some // square)), pa.array((some % square).astype(np.int32)), pa.array(n[i:i + (1 << 16)].astype(np.int64))], names=["word", "lr", "n"])
-            if rare:
-                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _ in rare], pa.string()), pa.array([x for _, x in rare], pa.int32()), pa.array(list(rare.values()), pa.int64())], names=["word", "lr", "n"])
+            codes, n = np.unique(np.concatenate(held), return_counts=True)
+            ends = np.searchsorted(codes, np.arange(len(ids) + 1) * wide).astype(np.int32)  # ids have come in order, each with codes
+            words, codes = pa.array([w.decode() for w in ids], pa.string()), (codes % wide).astype(np.int32)
+            for i in range(0, len(words), 1 << 14):
+                at = ends[i:i + (1 << 14) + 1]
+                inside = slice(at[0], at[-1])
+                lists = [pa.ListArray.from_arrays(pa.array(at - at[0]), pa.array(x[inside].astype(np.int32))) for x in (codes, n)]
+                yield pa.RecordBatch.from_arrays([words[i:i + (1 << 14)], *lists], names=["word", "code", "n"])
+            ids.clear()
             held.clear()
-            rare.clear()
 
         for b in batches:
             for t in b.column(0):
                 words = _words(t.as_py())
                 c = class_of[np.concatenate(([0], _event_ids(words, events, s.events + 1, s.shapes), [0]))]
-                lr = c[:-2] * s.classes + c[2:]
-                kind = np.fromiter((-2 if w in events else at.get(w, -1) for w in words), np.int64, len(words))
-                common, others = kind >= 0, np.flatnonzero(kind == -1)
-                held.append(kind[common] * square + lr[common])
-                rows += len(held[-1])
-                rare.update(zip([words[i] for i in others.tolist()], lr[others].tolist()))
-                if rows > 1_000_000 or len(rare) > FLUSH:
+                at = [i for i, w in enumerate(words) if w not in events]
+                if not at:
+                    continue
+                own = np.fromiter((ids.setdefault(words[i], len(ids)) for i in at), np.int64, len(at)) * wide
+                held += [own + c[at], own + s.classes + c[np.array(at) + 2]]
+                rows += len(at)
+                if rows > 1_000_000 or len(ids) > FLUSH:
                     yield from out()
                     rows = 0
-        yield from out()
+        if held:
+            yield from out()
 
-    return texts.mapInArrow(run, "word string, lr int, n long")
+    return texts.mapInArrow(run, "word string, code array<int>, n array<int>")
 
 
-def place(grams: DataFrame, log_step: np.ndarray, log_total: np.ndarray) -> DataFrame:
+def place(beside: DataFrame, log_step: np.ndarray, log_total: np.ndarray) -> DataFrame:
     """(word, c): the class, never that of the end, under which all occurrences of the word among their neighbours are likeliest."""
     k = len(log_total)
 
@@ -210,15 +214,14 @@ def place(grams: DataFrame, log_step: np.ndarray, log_total: np.ndarray) -> Data
             for i in range(0, whole.num_rows, 4_096):
                 b = whole.slice(i, 4_096)
                 row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(1)).to_numpy())
-                lr, n = b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy().astype(float)
-                before = np.bincount(row * k + lr // k, n, b.num_rows * k).reshape(-1, k)
-                after = np.bincount(row * k + lr % k, n, b.num_rows * k).reshape(-1, k)
+                seen = np.bincount(row * 2 * k + b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy().astype(float), b.num_rows * 2 * k).reshape(-1, 2 * k)
+                before, after = seen[:, :k], seen[:, k:]
                 gain = before @ log_step + after @ log_step.T - before.sum(1)[:, None] * log_total[None, :]
                 gain[:, 0] = -np.inf
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gain.argmax(1).astype(np.int32))], names=["word", "c"])
 
-    summed = grams.repartition("word").groupBy("word", "lr").agg(F.sum("n").alias("n"))
-    return summed.groupBy("word").agg(F.collect_list("lr").alias("lr"), F.collect_list("n").alias("n")).mapInArrow(run, "word string, c int")
+    whole = beside.groupBy("word").agg(F.flatten(F.collect_list("code")).alias("code"), F.flatten(F.collect_list("n")).alias("n"))
+    return whole.mapInArrow(run, "word string, c int")
 
 
 def in_classes(docs: DataFrame, head: dict, events: dict, class_of: np.ndarray, counts: DataFrame, s: Settings) -> DataFrame:
@@ -326,8 +329,7 @@ def train(docs: DataFrame, text_col: str = "text", settings: Settings | None = N
     class_of = exchange(left, right, n, size, s.classes, s.rounds)
     pair = np.bincount(class_of[left] * s.classes + class_of[right], n, s.classes**2).reshape(s.classes, s.classes)
     step = np.log((pair + s.add) / (pair.sum(1, keepdims=True) + s.add * s.classes))
-    grams = neighbours(texts, events, [w for w in head if w not in events], class_of, s)
-    placed = place(grams, step, np.log(pair.sum(0) + s.add))
+    placed = place(neighbours(texts, events, class_of, s), step, np.log(pair.sum(0) + s.add))
     kinds = spark.createDataFrame([(w.decode(), int(class_of[k])) for w, k in events.items()], "word string, e int")  # at most `events` + 1 rows
     counts = durable(counts.join(placed, "word", "left").join(F.broadcast(kinds), "word", "left").select("word", "n", F.coalesce("e", "c").alias("c")))
     own = counts.where(common).select("word", "c").toArrow()  # the head again
