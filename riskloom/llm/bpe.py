@@ -2,18 +2,18 @@
 
 Ranks come from a public `.tiktoken` file whose path is a parameter; it must exist on every worker (or be shipped with
 `addFile`). Each byte stands for one printable character, so merges work on bytes; each match of the pattern is encoded
-separately. Ids of pieces are remembered per task in a bounded table, as most pieces of a corpus repeat.
+separately. Ids of pieces are remembered per task in a bounded table, as most pieces of a corpus repeat. Ids are spelt out by Arrow.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,21 +37,44 @@ class ByteTable:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.tokens: dict[int, bytes] = {r: w for w, r in ranks.items()}
+        self.spelt = pa.array([self.tokens.get(i) for i in range(max(self.tokens, default=-1) + 1)], pa.binary())
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def decode_lists(self, lists: pa.ListArray) -> pa.BinaryArray:
+        """The bytes of each list of ids; a null list gives null."""
+        spelt = self.spelt.take(lists.flatten())
+        if spelt.null_count:
+            raise KeyError("an id that the vocabulary does not hold")
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        starts = pa.array(np.append(0, ends), pa.int32())
+        return pc.binary_join(pa.ListArray.from_arrays(starts, spelt, mask=lists.is_null()), b"")
+
     def decode(self, ids) -> str:
         """Text of the ids; characters split over tokens are put together, bytes that are no UTF-8 become U+FFFD."""
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
+class Pieces(dict):
+    """Ids by piece, at most `kept` of them; those of a piece not met before are worked out when it is looked up."""
+
+    def __init__(self, ids_of: Callable[[str], bytes], kept: int):
+        self.ids_of, self.kept = ids_of, kept
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.kept:
+            self.clear()
+        self[piece] = ids = self.ids_of(piece)
+        return ids
+
+
 class ByteBPE(ByteTable):
     """Encoder and decoder of one vocabulary. Unknown ids and ids out of range raise on decoding."""
 
     def __init__(self, ranks_path: str, pattern: str, kept: int = PIECES_KEPT):
         import regex
-        from tokenizers import Tokenizer, models
+        from tokenizers import models
 
         ranks = read_ranks(ranks_path)
         super().__init__(ranks)
@@ -63,30 +86,26 @@ class ByteBPE(ByteTable):
             cuts = [(word[:i], word[i:]) for i in range(1, len(word))]
             cuts = [(a, b) for a, b in cuts if ranks.get(a, rank) < rank and ranks.get(b, rank) < rank]
             merges += [(spell(a), spell(b)) for a, b in cuts]
-        self.model = Tokenizer(models.BPE(vocab={spell(w): r for w, r in ranks.items()}, merges=merges, ignore_merges=True))
-        self.find, self.kept, self._ids = regex.compile(pattern).findall, kept, {}
+        self.model = models.BPE(vocab={spell(w): r for w, r in ranks.items()}, merges=merges, ignore_merges=True)
+        self.find, self._ids = regex.compile(pattern).findall, Pieces(self._piece_ids, kept)
 
     def encode(self, text: str) -> list[int]:
         """Ids of the whole text, each match of the pattern by itself; special tokens in the text are ordinary text."""
         return np.frombuffer(self.encode_many([text])[0], "<u4").tolist()
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers. Pieces not met before go to the model together."""
-        found = [self.find(t) for t in texts]
-        known, met = self._ids, set().union(*found)
-        fresh = list(met.difference(known))
-        if fresh:
-            if len(known) + len(fresh) > self.kept:
-                known, fresh = {}, list(met)
-                self._ids = known
-            known.update(zip(fresh, self._model_ids(fresh)))
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in found]
-
-    def _model_ids(self, pieces: list[str]) -> list[bytes]:
-        made = self.model.encode([p.encode("utf-8").decode("latin-1").translate(self._spell) for p in pieces], is_pretokenized=True, add_special_tokens=False)
-        raw, ends = np.array(made.ids, "<u4").tobytes(), 4 * np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(pieces)), "right")
-        ends = ends.tolist()
-        return [raw[a:b] for a, b in zip([0] + ends[:-1], ends)]
+        """Ids of each text as little-endian unsigned 32-bit numbers. Each text's pieces are looked up while they are at hand."""
+        return [b"".join(map(self._ids.__getitem__, self.find(t))) for t in texts]
+
+    def encode_lists(self, texts: list[str]) -> pa.ListArray:
+        """Ids of each text as a list of 32-bit numbers."""
+        made = self.encode_many(texts)
+        ends = np.cumsum([len(x) // 4 for x in made])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.frombuffer(b"".join(made), "<i4")))
+
+    def _piece_ids(self, piece: str) -> bytes:
+        spelt = piece.encode("utf-8").decode("latin-1").translate(self._spell)
+        return np.array([token.id for token in self.model.tokenize(spelt)], "<u4").tobytes()
 
     def offsets(self, text: str, ids: list[int]) -> tuple[list[int], list[int]]:
         """First and end character of each token. A token that holds part of a character's bytes covers the whole character."""
@@ -122,11 +141,10 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
         for b in batches:
             texts = b.column(b.num_columns - 1)
             for at in range(0, b.num_rows, 512):  # ids and offsets of some texts at a time
-                part = [t.as_py() for t in texts[at:at + 512]]
-                ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in coder.encode_many(part)]
-                cols = [pa.array(ids, pa.list_(pa.int32()))]
+                part = texts[at:at + 512].to_pylist()
+                cols = [coder.encode_lists(part)]
                 if with_offsets:
-                    spans = [coder.offsets(t, i.tolist()) for t, i in zip(part, ids)]
+                    spans = [coder.offsets(t, i) for t, i in zip(part, cols[0].to_pylist())]
                     cols += [pa.array([s[k] for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([c[at:at + 512] for c in b.columns[:-1]] + cols, names=kept + new)
 
@@ -141,13 +159,35 @@ def decode_ids(rows: DataFrame, ranks_path: str, ids_col: str = "token_ids", out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ByteTable(read_ranks(ranks_path))
         for b in batches:
-            ids = b.column(kept.index(ids_col))
-            made = [None if i is None else coder.decode_bytes(i) for i in (x.values.tolist() if x.is_valid else None for x in ids)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], names=kept + [out])
+            yield pa.RecordBatch.from_arrays([*b.columns, coder.decode_lists(b.column(kept.index(ids_col)))], names=kept + [out])
 
     return rows.select(*kept).mapInArrow(run, schema)
 
 
+def encode_and_check(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """`docs` with `token_ids` array<int>, `n_tokens` long and `round_trip`: whether the bytes of the ids are those of the text.
+
+    What `encode_texts` and `decode_ids` give, in one pass, so that texts and ids go through Python once. Rules for rows, nulls and
+    columns are those of `encode_texts`.
+    """
+    new = ["token_ids", "n_tokens", "round_trip"]
+    kept = [c for c in docs.columns if c not in new]
+    source = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema] + ["token_ids array<int>, n_tokens long, round_trip boolean"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(ranks_path, pattern)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):  # ids of some texts at a time
+                b = whole.slice(at, 512)
+                texts = b.column(b.num_columns - 1)
+                ids = coder.encode_lists(texts.to_pylist())
+                cols = [ids, pc.list_value_length(ids).cast(pa.int64()), pc.equal(coder.decode_lists(ids), texts.cast(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(b.columns[:-1] + cols, names=kept + new)
+
+    return source.mapInArrow(run, schema)
+
+
 def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit), decoded_sha256 (of the bytes decoded from the ids).
 

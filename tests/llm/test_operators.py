@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +297,32 @@ def test_bpe_odd_rows(odd, none):
     assert bpe.round_trip_digests(none, path, pattern).count() == 0 and bpe.encode_texts(none, path, pattern).count() == 0
 
 
+def test_bpe_encodes_and_checks_in_one_pass(odd, none):
+    import corpus_pipeline as p
+
+    path, pattern = tokenizer()
+    done = p.encoding(odd.sparkSession, odd, SF)
+    assert done._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    two = bpe.decode_ids(bpe.encode_texts(odd, path, pattern), path).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    two = two.withColumn("round_trip", F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).drop("decoded")
+    assert done.columns == two.columns and [t for _, t in done.dtypes] == [t for _, t in two.dtypes]
+    assert sorted(map(repr, done.collect())) == sorted(map(repr, two.collect())) and all(r["round_trip"] for r in done.collect())
+    assert bpe.encode_and_check(none, path, pattern).count() == 0
+
+
+def test_bpe_lists_are_spelt_like_single_texts(coder):
+    texts = ["naïve 😀", "", " the the", "\n\n x"]
+    ids = coder.encode_lists(texts)
+    assert ids.to_pylist() == [coder.encode(t) for t in texts] and coder.decode_lists(ids).to_pylist() == [t.encode() for t in texts]
+    some = pa.array([ids[0].as_py(), None, [], ids[2].as_py()], pa.list_(pa.int32()))
+    assert coder.decode_lists(some[1:]).to_pylist() == [None, b"", texts[2].encode()]
+    for wrong in (-1, 1 << 30, None):
+        with pytest.raises(Exception):
+            coder.decode_lists(pa.array([[wrong]], pa.list_(pa.int32())))
+    with pytest.raises(KeyError):
+        bpe.ByteTable({b"a": 0, b"b": 2}).decode_lists(pa.array([[1]], pa.list_(pa.int32())))
+
+
 # -- 6 ---------------------------------------------------------------------------------------------------------------------
 def test_line_chunks(spark, odd, none):
     r = random.Random(8)
