@@ -10,6 +10,7 @@ least one leaf, and leaves are compared on whole fingerprints. The trees are gro
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -34,14 +35,10 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     tokens = (text or "").encode().lower().split()
     if not tokens:
         return np.empty(0, np.uint64)
-    joined = b" ".join(tokens)
     if len(tokens) < words:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_digest
-    spans = zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1:].tolist())
-    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in spans]), ">u8").astype(np.uint64)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(tokens), SEED)], np.uint64)
+    runs = map(b" ".join, zip(*(tokens[i:] for i in range(words))))
+    return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, len(tokens) - words + 1)
 
 
 def fingerprint(text: str | None, words: int = 4, size: int = 1) -> np.ndarray:
@@ -50,21 +47,17 @@ def fingerprint(text: str | None, words: int = 4, size: int = 1) -> np.ndarray:
 
 
 def fingerprint_of(h: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros(size, np.uint64)
-    if not len(h):
-        return out
-    for k in range(size):
-        x = h
-        if k:
-            x = h * np.uint64(_MIX[(k - 1) % 3]) + np.uint64(k)
+    ones = np.zeros(64 * size, np.int64)
+    for i in range(0, len(h), _BLOCK):
+        words = [h[i:i + _BLOCK]]
+        for k in range(1, size):
+            x = words[0] * np.uint64(_MIX[(k - 1) % 3]) + np.uint64(k)
             x = (x ^ (x >> np.uint64(29))) * np.uint64(_MIX[k % 3])
-            x = x ^ (x >> np.uint64(32))
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(x), _BLOCK):
-            raw = x[i:i + _BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(raw, axis=1).sum(0, dtype=np.int64)
-        out[k] = int.from_bytes(np.packbits(2 * ones > len(x)).tobytes(), "big")
-    return out
+            words.append(x ^ (x >> np.uint64(32)))
+        raw = np.stack(words, 1).astype(">u8").view(np.uint8)
+        for j in range(0, len(raw), 255):  # as many ones as a byte counts
+            ones += np.unpackbits(raw[j:j + 255], axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h)).view(">u8").astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, size: int = 1) -> DataFrame:
@@ -205,7 +198,8 @@ NEAR = {"words": 5, "similarity": 0.8, "size": 4, "max_bits": 13, "parts": 7, "a
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, words))
+    h = np.sort(shingle_hashes(text, words))  # np.unique puts the values in a hash table first
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
 
 
 def shingle_prints(docs: DataFrame, words: int, size: int) -> DataFrame:
@@ -233,41 +227,64 @@ def size_band(n: np.ndarray, similarity: float) -> np.ndarray:
 GUEST, SECOND = 1, 2
 #: Comparisons made at once, over all rows of a slice and all that they may meet.
 CELLS = 1 << 18
+#: Rows of like runs of bits that are compared at once with all that are near in that run.
+RUN_ROWS = 256
 #: Rows of a leaf of the wide search: few large leaves, since a row visits the more of them the smaller they are, and sizes narrow the comparisons.
 NEAR_ROWS = 1 << 15
+#: Rows of a leaf in a large table, where leaves of `NEAR_ROWS` would send a row to many more of them.
+MOST_ROWS = 1 << 17
+
+
+def near_rows(count: int) -> int:
+    """Rows of a leaf of the wide search: a sixteenth of the table, so that there are enough leaves to share out, within the bounds."""
+    return min(MOST_ROWS, max(NEAR_ROWS, count // 16))
+
+
+def run_blocks(own: np.ndarray, mask: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows dealt by their run of bits `mask`, about `RUN_ROWS` or one value at a time: each row once, with all rows whose run is within
+    `radius` of one of these. Both in order."""
+    values, value, counts = np.unique(own & np.uint64(mask), return_inverse=True, return_counts=True)
+    block = (np.cumsum(counts) - 1) // RUN_ROWS
+    for k in np.unique(block):
+        dealt = block == k
+        near = (np.bitwise_count(values[:, None] ^ values[None, dealt]) <= radius).any(axis=1)
+        yield np.flatnonzero(dealt[value]), np.flatnonzero(near[value])
 
 
 def leaf_pairs(own: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, max_bits: int, similarity: float, few: bool,
-               wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[np.ndarray]:
+               wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, run: tuple[int, int] | None = None) -> Iterator[np.ndarray]:
     """(i, j) of rows, ordered by `n`, whose sizes allow the similarity, whose words are within `max_bits`, and whose labels differ; in slices.
 
     `side` has GUEST for rows of the band below, which do not meet each other here, and SECOND for rows of the second of two blocks; then
     only pairs between the blocks count. `wanted` says which of the pairs (i, j) count at all. `few`: for each i only the nearest j and the
-    last of those, enough to join most of a family."""
-    i, cross = 0, bool((side & SECOND).any())
+    last of those, enough to join most of a family. `run`: only rows within a radius on a run of bits (its mask, the radius) are compared."""
+    cross = bool((side & SECOND).any())
     last = np.searchsorted(n, n / similarity + 1e-9, "right")
-    while i < len(own):
-        width = last[i:i + CELLS] - i  # never falls: later rows reach farther
-        step = max(1, int(np.searchsorted(np.arange(1, len(width) + 1) * width, CELLS, "right")))
-        end = int(last[i + step - 1])
-        a, b = np.nonzero(np.bitwise_count(own[i:i + step, None] ^ own[None, i:end]) <= max_bits)
-        a, b = a + i, b + i
-        good = (b > a) & (b < last[a]) & (label[a] != label[b]) & ((side[a] & side[b] & GUEST) == 0)
-        if cross:
-            good &= (side[a] ^ side[b]) & SECOND > 0
-        a, b = a[good], b[good]
-        if wanted is not None and len(a):
-            good = wanted(a, b)
+    for rows, met in run_blocks(own, *run) if run else [(np.arange(len(own)),) * 2]:
+        words, first, after, i = own[met], np.searchsorted(met, rows), np.searchsorted(met, last[rows]), 0
+        while i < len(rows):
+            width = after[i:i + CELLS] - first[i]  # never falls: later rows reach farther
+            step = max(1, int(np.searchsorted(np.arange(1, len(width) + 1) * width, CELLS, "right")))
+            start, end = first[i], after[i:i + step][-1]
+            near = np.bitwise_count(own[rows[i:i + step], None] ^ words[None, start:end]) <= max_bits
+            a, b = np.divmod(np.flatnonzero(near), near.shape[1])  # flat: nonzero is slow on two axes
+            a, b = rows[a + i], met[b + start]
+            good = (b > a) & (b < last[a]) & (label[a] != label[b]) & ((side[a] & side[b] & GUEST) == 0)
+            if cross:
+                good &= (side[a] ^ side[b]) & SECOND > 0
             a, b = a[good], b[good]
-        if few and len(a):
-            order = np.lexsort((np.bitwise_count(own[a] ^ own[b]), a))
-            nearest = order[np.unique(a[order], return_index=True)[1]]
-            final = len(a) - 1 - np.unique(a[::-1], return_index=True)[1]
-            pick = np.union1d(nearest, final)
-            a, b = a[pick], b[pick]
-        if len(a):
-            yield np.stack((a, b), 1)
-        i += step
+            if wanted is not None and len(a):
+                good = wanted(a, b)
+                a, b = a[good], b[good]
+            if few and len(a):
+                order = np.lexsort((np.bitwise_count(own[a] ^ own[b]), a))
+                nearest = order[np.unique(a[order], return_index=True)[1]]
+                final = len(a) - 1 - np.unique(a[::-1], return_index=True)[1]
+                pick = np.union1d(nearest, final)
+                a, b = a[pick], b[pick]
+            if len(a):
+                yield np.stack((a, b), 1)
+            i += step
 
 
 class Groups:
@@ -306,12 +323,12 @@ class Groups:
 
 
 def _in_groups(nodes: DataFrame, cols: list[str], word: int, max_bits: int, parts: int, all_bits: int, similarity: float, few: bool,
-               sample_rows: int, leaf_rows: int, block_rows: int, leave: Callable, schema: str) -> DataFrame:
+               sample_rows: int, leaf_rows: int | None, block_rows: int | None, leave: Callable, schema: str) -> DataFrame:
     """What `leave` gives for the groups of one forest over word `word` of nodes (key, n, label, cols): a generator over
     (group, key, n, pairs), the rows in order of (n, key), where pairs(skip) gives (i, j) slice by slice and leaves out those that
     skip(i, j) names. A null label is the key. A visit carries all words, so that only pairs that pass every test are given, and a pair
     comes from one place: the first word that proposes it (words before `word` have forests of their own) and, there, the tree of the
-    first run of bits in which it is within the radius, where it is sure to meet.
+    first run of bits in which it is within the radius, where it is sure to meet; rows farther apart in that run are not compared there.
 
     A large leaf is cut by size bands (no pair is lost: sizes of similar sets differ by at most one band) and what is still large into blocks
     that meet two by two, so a group holds about 2 x `block_rows` rows at any size of table."""
@@ -320,6 +337,8 @@ def _in_groups(nodes: DataFrame, cols: list[str], word: int, max_bits: int, part
     sample = nodes.where(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) < part).select(cols[word], "n").collect()  # about sample_rows hashes
     words = np.array([r[0] for r in sample], np.int64).view(np.uint64)
     scale = count / max(1, len(sample))
+    leaf_rows = leaf_rows or near_rows(count)
+    block_rows = block_rows or max(2 * NEAR_ROWS, leaf_rows)
     forest = Forest(words, scale, max_bits, parts, leaf_rows)
     groups = Groups(forest, words, np.array([r[1] for r in sample], np.int64), scale, similarity, block_rows)
     held = ["key", "n", "label", *cols]
@@ -341,6 +360,7 @@ def _in_groups(nodes: DataFrame, cols: list[str], word: int, max_bits: int, part
         all_words = [t[c].to_numpy()[order].view(np.uint64) for c in cols]
         own, group = all_words[word], t["grp"][0].as_py()
         tree = int(np.searchsorted(forest.ends, group >> 34, "right"))
+        run = forest.masks[tree], forest.radius
         label = pc.coalesce(t["label"], t["key"]).to_numpy()[order]
 
         def wanted(a: np.ndarray, b: np.ndarray, skip: Callable | None) -> np.ndarray:
@@ -359,7 +379,7 @@ def _in_groups(nodes: DataFrame, cols: list[str], word: int, max_bits: int, part
             good[at] = fresh & (turned <= all_bits)
             return good
 
-        yield from leave(group, key, n, lambda skip=None: leaf_pairs(own, n, label, side, max_bits, similarity, few, lambda a, b: wanted(a, b, skip)))
+        yield from leave(group, key, n, lambda skip=None: leaf_pairs(own, n, label, side, max_bits, similarity, few, lambda a, b: wanted(a, b, skip), run))
 
     label = F.when(F.col("label") != F.col("key"), F.col("label")).alias("label")
     routed = nodes.select("key", "n", label, *cols).mapInArrow(visits, "grp long, side byte, " + ", ".join(f"{c} long" for c in held))
@@ -367,7 +387,7 @@ def _in_groups(nodes: DataFrame, cols: list[str], word: int, max_bits: int, part
 
 
 def propose(nodes: DataFrame, cols: list[str], word: int, max_bits: int, parts: int, all_bits: int, similarity: float, few: bool,
-            sample_rows: int = SAMPLE_ROWS, leaf_rows: int = NEAR_ROWS, block_rows: int = 2 * NEAR_ROWS) -> DataFrame:
+            sample_rows: int = SAMPLE_ROWS, leaf_rows: int | None = None, block_rows: int | None = None) -> DataFrame:
     """Pairs (a, b) of keys from one forest over word `word` of nodes (key, n, label, cols), all words together within `all_bits`: the list
     itself, which grows with the square of a family. `meetings` gives the rows of it instead."""
 
@@ -386,7 +406,7 @@ ODD_WORDS = 16
 
 
 def meetings(nodes: DataFrame, cols: list[str], word: int, max_bits: int, parts: int, all_bits: int, similarity: float,
-             sample_rows: int = SAMPLE_ROWS, leaf_rows: int = NEAR_ROWS, block_rows: int = 2 * NEAR_ROWS, set_bytes: int = SET_BYTES) -> DataFrame:
+             sample_rows: int = SAMPLE_ROWS, leaf_rows: int | None = None, block_rows: int | None = None, set_bytes: int = SET_BYTES) -> DataFrame:
     """(word, grp, low, high, side, key): where the pairs of `propose` meet. One row for each row of a group that has a partner there, not one
     for each pair. Rows of a group are cut by size into blocks of about `set_bytes` of shingles (low, high: the two blocks that meet,
     side SECOND in the second), and a row is sent to the blocks it has partners in."""

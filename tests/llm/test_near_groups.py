@@ -175,3 +175,48 @@ def test_odd_bits_never_say_more_than_the_sets():
     for i, x in enumerate(sets):
         for j, y in enumerate(sets):
             assert np.bitwise_count(odd[i] ^ odd[j]).sum() <= len(np.setxor1d(x, y))
+
+
+def test_only_rows_near_in_the_run_of_a_tree_are_compared(monkeypatch):
+    """The trees together find every pair, though each compares only rows that are within its radius on its own run of bits."""
+    rnd = np.random.default_rng(13)
+    words, n, key = family(rnd, 12_000, 400)
+    order = np.lexsort((key, n))
+    words, n, key = words[order], n[order], key[order]
+    forest = simhash.Forest(words, 1.0, 13, 7, len(words))
+    compared, count = [], np.bitwise_count
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda x: (compared.append(x.size), count(x))[1])
+    monkeypatch.setattr(simhash, "RUN_ROWS", 16)
+    found = {}
+    for mask in forest.masks:
+        for p in simhash.leaf_pairs(words, n, key, np.zeros(len(n), np.int8), 13, 0.8, False, run=(mask, forest.radius)):
+            found |= dict.fromkeys(map(tuple, p.tolist()))
+    with_runs, compared[:] = sum(compared), []
+    want = {tuple(x) for p in simhash.leaf_pairs(words, n, key, np.zeros(len(n), np.int8), 13, 0.8, False) for x in p.tolist()}
+    assert set(found) == want and len(want) > 50_000
+    assert with_runs < 7 * sum(compared) / 3
+
+
+def test_run_blocks_take_every_row_once():
+    rnd = np.random.default_rng(2)
+    words = rnd.integers(0, 2**63, 3_000).astype(np.uint64)
+    mask, seen = (1 << 20) - (1 << 11), []
+    for rows, met in simhash.run_blocks(words, mask, 1):
+        near = np.bitwise_count((words[:, None] ^ words[None, rows]) & np.uint64(mask)) <= 1
+        assert (np.diff(rows) > 0).all() and (met == np.flatnonzero(near.any(axis=1))).all()
+        seen += rows.tolist()
+    assert sorted(seen) == list(range(3_000))
+    assert list(simhash.run_blocks(words[:0], mask, 1)) == []
+
+
+def test_leaves_grow_with_the_table_within_bounds():
+    """A row of a large table visits fewer leaves, and no leaf is cut for being as large as leaves are meant to be."""
+    assert [simhash.near_rows(x) for x in (0, 500_000, 1_600_000, 10**9)] == [1 << 15, 1 << 15, 100_000, 1 << 17]
+    rnd = np.random.default_rng(4)
+    words, n = rnd.integers(0, 2**63, 8_000).astype(np.uint64), rnd.integers(1, 400, 8_000)
+    visits = []
+    for rows in (simhash.NEAR_ROWS, simhash.near_rows(3_000_000)):
+        groups = simhash.Groups(simhash.Forest(words, 375.0, 13, 7, rows), words, n, 375.0, 0.8, max(2 * simhash.NEAR_ROWS, rows))
+        assert not len(groups.large) and not len(groups.hot)
+        visits.append(len(groups.visits(words, n, np.arange(8_000))[0]))
+    assert visits[1] < 0.7 * visits[0]
