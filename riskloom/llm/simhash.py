@@ -322,6 +322,23 @@ class Groups:
         return (code << 24) + low * 4096 + high, at, side + np.where((block == high) & (low < high), SECOND, 0).astype(np.int8)
 
 
+#: Rows that are dealt to groups at a time.
+SENT_ROWS = 1 << 13
+
+
+def larger(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, `rows` or more at a time, less than twice as many: batches may be small for the sake of texts, which these do not have."""
+    held = []
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            held.append(b.slice(at, rows))
+            if sum(x.num_rows for x in held) >= rows:
+                yield pa.concat_batches(held)
+                held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _in_groups(nodes: DataFrame, cols: list[str], word: int, max_bits: int, parts: int, all_bits: int, similarity: float, few: bool,
                sample_rows: int, leaf_rows: int | None, block_rows: int | None, leave: Callable, schema: str) -> DataFrame:
     """What `leave` gives for the groups of one forest over word `word` of nodes (key, n, label, cols): a generator over
@@ -331,7 +348,7 @@ def _in_groups(nodes: DataFrame, cols: list[str], word: int, max_bits: int, part
     first run of bits in which it is within the radius, where it is sure to meet; rows farther apart in that run are not compared there.
 
     A large leaf is cut by size bands (no pair is lost: sizes of similar sets differ by at most one band) and what is still large into blocks
-    that meet two by two, so a group holds about 2 x `block_rows` rows at any size of table."""
+    that meet two by two, so a group holds about 2 x `block_rows` rows at any size of table. Rows that leave a task for one group go together, in arrays."""
     count = nodes.count()
     part = min(1_000_000, int(1_000_000 * sample_rows / max(1, count)))
     sample = nodes.where(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) < part).select(cols[word], "n").collect()  # about sample_rows hashes
@@ -344,21 +361,24 @@ def _in_groups(nodes: DataFrame, cols: list[str], word: int, max_bits: int, part
     held = ["key", "n", "label", *cols]
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 4096):
-                b = whole.slice(start, 4096)
-                group, at, side = groups.visits(b.column(3 + word).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(0).to_numpy())
-                for i in range(0, len(group), 1 << 16):
-                    some = pa.array(at[i:i + (1 << 16)])
-                    yield pa.RecordBatch.from_arrays([pa.array(group[i:i + (1 << 16)]), pa.array(side[i:i + (1 << 16)])] + [c.take(some) for c in b.columns], names=["grp", "side"] + held)
+        for b in larger(batches, SENT_ROWS):
+            group, at, side = groups.visits(b.column(3 + word).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(0).to_numpy())
+            order = np.argsort(group, kind="stable")
+            for i in range(0, len(group), 1 << 16):
+                some = order[i:i + (1 << 16)]
+                first = np.flatnonzero(np.diff(group[some], prepend=-1))  # of each group
+                ends, rows = pa.array(np.append(first, len(some)), pa.int32()), pa.array(at[some])
+                lists = [pa.ListArray.from_arrays(ends, c) for c in (pa.array(side[some]), *(c.take(rows) for c in b.columns))]
+                yield pa.RecordBatch.from_arrays([pa.array(group[some][first]), *lists], names=["grp", "side"] + held)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
+        lists = pa.Table.from_batches(list(batches))
+        t = {c: lists[c].combine_chunks().flatten() for c in ["side"] + held}
         key, n = t["key"].to_numpy(), t["n"].to_numpy()
         order = np.lexsort((key, n))
         key, n, side = key[order], n[order], t["side"].to_numpy()[order]
         all_words = [t[c].to_numpy()[order].view(np.uint64) for c in cols]
-        own, group = all_words[word], t["grp"][0].as_py()
+        own, group = all_words[word], lists["grp"][0].as_py()
         tree = int(np.searchsorted(forest.ends, group >> 34, "right"))
         run = forest.masks[tree], forest.radius
         label = pc.coalesce(t["label"], t["key"]).to_numpy()[order]
@@ -382,7 +402,7 @@ def _in_groups(nodes: DataFrame, cols: list[str], word: int, max_bits: int, part
         yield from leave(group, key, n, lambda skip=None: leaf_pairs(own, n, label, side, max_bits, similarity, few, lambda a, b: wanted(a, b, skip), run))
 
     label = F.when(F.col("label") != F.col("key"), F.col("label")).alias("label")
-    routed = nodes.select("key", "n", label, *cols).mapInArrow(visits, "grp long, side byte, " + ", ".join(f"{c} long" for c in held))
+    routed = nodes.select("key", "n", label, *cols).mapInArrow(visits, "grp long, side array<byte>, " + ", ".join(f"{c} array<long>" for c in held))
     return routed.groupBy("grp").applyInArrow(meet, schema)
 
 

@@ -1,6 +1,7 @@
 """Groups in which near-duplicate candidates meet: bounded at any size, and no pair lost. Vectors whose float32 form says little."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +221,36 @@ def test_leaves_grow_with_the_table_within_bounds():
         assert not len(groups.large) and not len(groups.hot)
         visits.append(len(groups.visits(words, n, np.arange(8_000))[0]))
     assert visits[1] < 0.7 * visits[0]
+
+
+def test_rows_of_a_group_travel_together(spark):
+    """Arrays of rows by group are shuffled, not one row a visit, and every visit arrives, also from small batches."""
+    rnd = np.random.default_rng(6)
+    words, key = rnd.integers(-2**63, 2**63, 3_000), rnd.permutation(3_000)
+    nodes = spark.createDataFrame([(int(k), 100, int(k), int(w)) for k, w in zip(key, words)], "key long, n long, label long, f0 long").repartition(2)
+
+    def leave(group, key, n, pairs):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), group)), pa.array(key)], names=["grp", "key"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "70")
+    try:
+        found = simhash._in_groups(nodes, ["f0"], 0, 13, 7, 76, 0.8, False, 3_000, 200, 400, leave, "grp long, key long")
+        got = sorted((r["grp"], r["key"]) for r in found.collect())
+    finally:
+        spark.conf.set(name, before)
+    assert "key:array<bigint>" in found._jdf.queryExecution().analyzed().children().apply(0).schema().simpleString()
+    words, n = words.view(np.uint64), np.full(3_000, 100)
+    forest = simhash.Forest(words, 1.0, 13, 7, 200)
+    group, at, _ = simhash.Groups(forest, words, n, 1.0, 0.8, 400).visits(words, n, key)
+    assert got == sorted(zip(group.tolist(), key[at].tolist())) and len(got) > 7 * 3_000
+
+
+@pytest.mark.parametrize("sizes", [[], [0, 3], [500] * 9, [20_000, 1, 8_192], [1] * 10])
+def test_larger_batches_hold_the_same_rows(sizes):
+    ends = np.cumsum([0, *sizes])
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(a, b))], names=["x"]) for a, b in zip(ends, ends[1:])]
+    made = list(simhash.larger(batches, 2_000))
+    assert [x for b in made for x in b.column(0).to_pylist()] == list(range(sum(sizes)))
+    assert all(2_000 <= b.num_rows < 4_000 for b in made[:-1])
